@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boundary_bpe, chat_snapshots, feistel_pii, kneser_ney, license_join, minhash_containment, random_index_quality, url_rules
+from . import boundary_bpe, chat_snapshots, feistel_pii, kneser_ney, license_join, minhash_containment, random_index_quality, trie_join, url_rules
 
 
 def tokenizer_path() -> str:
@@ -44,6 +44,11 @@ def op5_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", kneser_ney.held_out("doc_id").alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
+def op6_trie_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 85 in a hundred 4-word shingles."""
+    return trie_join.ngram_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_random_index_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every whole text."""
     out = random_index_quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
