@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boundary_bpe, chat_snapshots, feistel_pii, kneser_ney, license_join, minhash_containment, random_index_quality, trie_join, url_rules
+from . import boundary_bpe, chat_snapshots, feistel_pii, kmeans_tree, kneser_ney, license_join, minhash_containment, random_index_quality, trie_join, url_rules
 
 
 def tokenizer_path() -> str:
@@ -24,6 +24,11 @@ def op1_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_snapshots.collapse_snapshots(_table(spark, sf_dir, "conversations"))
 
 
+def op2_kmeans_tree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    return kmeans_tree.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the whole text with pseudonyms, how many of each kind."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
