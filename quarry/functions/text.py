@@ -131,7 +131,7 @@ def salvaged_json(raw: Column, schema: str) -> Column:
 
 def listed(text: Column) -> Column:
     """A comma list as an array without blanks."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def highlighted(text: Column, query: str) -> Column:

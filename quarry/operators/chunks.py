@@ -38,7 +38,7 @@ def even_tables(md: Column) -> Column:
 
     def line(x: Column) -> Column:
         bare = F.regexp_replace(F.trim(x), r"^\|+|\|+$", "")
-        return F.when(F.trim(x).rlike(r"^\|.*\|$"), F.concat(F.lit("| "), F.array_join(F.transform(F.split(bare, r"\|", -1), F.trim), " | "), F.lit(" |"))).otherwise(x)
+        return F.when(F.trim(x).rlike(r"^\|.*\|$"), F.concat(F.lit("| "), F.array_join(F.transform(F.split(bare, r"\|", -1), lambda c: F.trim(c)), " | "), F.lit(" |"))).otherwise(x)
 
     return F.array_join(F.transform(F.split(md, "\n", -1), line), "\n")
 

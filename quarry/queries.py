@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import equations, skills
 from quarry.functions import security as sec
 from quarry.functions import text as tx
-from quarry.operators import acl, audit, chunks, documents, graph, retrieval, workflow
+from quarry.operators import acl, audit, chunks, control, documents, extract, graph, retrieval, workflow
 from quarry.plans.views import spark_view, with_views
 from quarry.streaming import flows
 
@@ -779,3 +780,104 @@ def stream_incremental_graph(spark: SparkSession, sf: str) -> DataFrame:
     store = flows.work_folder(spark, "edges")
     flows.incremental_edges(raw, store)
     return spark.read.parquet(f"{store}/v*").select("src", "dst", F.col("weight").cast("double").alias("weight"))
+
+
+# -- extraction, skills, control ---------------------------------------------
+
+
+@query("SELECT doc_id, t AS name FROM (SELECT doc_id, text, unnest(['stupid', 'worthless', 'disgusting', 'License']) AS t FROM documents) x WHERE contains(lower(text), lower(t))")
+def extracted_entities(spark: SparkSession, sf: str) -> DataFrame:
+    docs = extract.dictionary_answers(spark_view(spark, sf, "v_docs"), {"stupid": "term", "worthless": "term", "disgusting": "term", "License": "condition"})
+    return extract.raw_entities(docs).select(F.floor(F.col("ord") / 1000).alias("doc_id"), "name")
+
+
+@query("""WITH f AS (SELECT doc_id, list_filter(['License', 'disgusting', 'stupid', 'worthless'], lambda t: contains(lower(text), lower(t))) AS l FROM documents)
+SELECT lower(l[k]) AS src, lower(l[k + 1]) AS dst, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT l, unnest(range(1, len(l))) AS k FROM f) x GROUP BY 1, 2""")
+def extracted_edges(spark: SparkSession, sf: str) -> DataFrame:
+    docs = extract.dictionary_answers(spark_view(spark, sf, "v_docs"), dict.fromkeys(("stupid", "worthless", "disgusting", "License"), "condition"))
+    return graph.upsert_edges(extract.raw_edges(docs, extract.raw_entities(docs))).select("src", "dst", F.col("weight").cast("double").alias("weight"))
+
+
+@query("SELECT n_regionkey AS table_id, n_name AS subject, 'key' AS key, CAST(n_nationkey AS STRING) AS value FROM nation")
+def table_facts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark_view(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("table_id")).agg(F.collect_list(F.array("n_name", F.col("n_nationkey").cast("string"))).alias("r"))
+    return extract.table_facts(rows.select("table_id", F.concat(F.array(F.array(F.lit("name"), F.lit("key"))), "r").alias("rows")))
+
+
+@query("SELECT doc_id, 'img' || doc_id || '.png' AS src, 'a b' AS alt FROM documents")
+def document_images(spark: SparkSession, sf: str) -> DataFrame:
+    tree = F.concat(F.lit('{"blocks": [{"t": "Para", "c": [{"t": "Image", "c": [["", [], []], [{"t": "Str", "c": "a"}, {"t": "Space"}, {"t": "Str", "c": "b"}], ["img'), F.col("doc_id").cast("string"), F.lit('.png", ""]]}]}]}'))
+    return spark_view(spark, sf, "documents").select("doc_id", F.explode(extract.document_images(tree)).alias("i")).select("doc_id", "i.src", "i.alt")
+
+
+@query()
+def equation_omml(spark: SparkSession, sf: str) -> DataFrame:
+    script = F.concat(F.lit("SUM from {i=1} to {"), F.col("n_nationkey").cast("string"), F.lit("} x_i^2 over sqrt{alpha}"))
+    return spark_view(spark, sf, "nation").select("n_nationkey", equations.equation(script).alias("omml"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'module: os' WHEN 1 THEN 'call: eval' ELSE '' END AS problems FROM documents")
+def code_validate(spark: SparkSession, sf: str) -> DataFrame:
+    source = F.when(F.col("doc_id") % 3 == 0, "import os\ndef run(): return 1").when(F.col("doc_id") % 3 == 1, "def run(x): return eval(x)").otherwise("import math\ndef run(x): return math.sqrt(x)")
+    return spark_view(spark, sf, "documents").select("doc_id", F.array_join(skills.validated(source), ",").alias("problems"))
+
+
+@query("SELECT doc_id, 'skill' || doc_id AS skill, 'custom' AS category FROM documents")
+def code_header(spark: SparkSession, sf: str) -> DataFrame:
+    source = F.concat(F.lit("# skill: skill"), F.col("doc_id").cast("string"), F.lit("\n# category: custom\nx = 1\n# late: no\n"))
+    rows = spark_view(spark, sf, "documents").select("doc_id", skills.header(source).alias("h"))
+    return rows.select("doc_id", F.col("h")["skill"].alias("skill"), F.col("h")["category"].alias("category"))
+
+
+@query("SELECT doc_id, length(text) > 100 OR length(text) - length(replace(text, '?', '')) > 1 OR contains(lower(text), 'think') AS hard FROM documents")
+def query_router(spark: SparkSession, sf: str) -> DataFrame:
+    return spark_view(spark, sf, "documents").select("doc_id", control.hard_question(F.col("text")).alias("hard"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 4 = 0 AS success, CASE o_orderkey % 4 WHEN 1 THEN 'E001' WHEN 2 THEN 'E777' END AS error_code FROM orders")
+def legacy_response(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    body = F.when(k == 0, '{"header": {"resultCode": "0000"}}').when(k == 1, '{"header": {"resultCode": "E001"}}').when(k == 2, '{"header": {"resultCode": "E777"}}').otherwise("not json")
+    made = control.response_result(F.lit(200), body)
+    return spark_view(spark, sf, "orders").select("o_orderkey", made["success"].alias("success"), made["error_code"].alias("error_code"))
+
+
+@query("SELECT skill, CASE WHEN skill IN ('score', 'audit') THEN 'custom' ELSE endpoint END AS endpoint FROM {v_skills} s")
+def registry_layers(spark: SparkSession, sf: str) -> DataFrame:
+    base = spark_view(spark, sf, "v_skills").select("skill", "endpoint")
+    return control.layered([base, base.where("skill in ('score', 'audit')").withColumn("endpoint", F.lit("custom"))], "skill")
+
+
+@query("SELECT path, count(DISTINCT effective_date) > 1 AS many FROM {v_versions} v GROUP BY path")
+def many_versions(spark: SparkSession, sf: str) -> DataFrame:
+    return control.many_versions(spark_view(spark, sf, "v_versions").select("path", F.col("effective_date").alias("label")))
+
+
+@query("SELECT conv_id AS call, sha256(string_agg(text, '' ORDER BY turn)) AS text FROM conversations GROUP BY conv_id")
+def continued_text(spark: SparkSession, sf: str) -> DataFrame:
+    parts = spark_view(spark, sf, "conversations").select(F.col("conv_id").alias("call"), F.col("turn").alias("ord"), F.col("text").alias("piece"))
+    return control.continued_text(parts).withColumn("text", F.sha2("text", 256))
+
+
+@query("SELECT n_nationkey AS idx, n_name AS name, 1000 AS memory_total FROM nation")
+def device_lines(spark: SparkSession, sf: str) -> DataFrame:
+    line = F.concat_ws(", ", F.col("n_nationkey").cast("string"), "n_name", F.lit("1000"), F.lit("10"), F.lit("990"), F.lit("5"), F.lit("40"))
+    return control.device_lines(spark_view(spark, sf, "nation").select(line.alias("line"))).select("idx", "name", "memory_total")
+
+
+@query("SELECT 'u1' AS user_id, 'main' AS label, 'sk-abcde...wxyz' AS key")
+def masked_keys(spark: SparkSession, sf: str) -> DataFrame:
+    keys = spark.createDataFrame([("u1", "main", "sk-abcdefghijklmnopqrstuvwxyz"), ("u2", "x", "sk-0123456789")], "user_id string, label string, key string")
+    return control.masked_keys(keys, "u1", False)
+
+
+@query("SELECT path, security_grade FROM {v_docs} d WHERE security_grade < 3 AND path = '/Shared/it/d21.md'")
+def point_read(spark: SparkSession, sf: str) -> DataFrame:
+    who = _who(spark, sf, "admin01")
+    return spark_view(spark, sf, "v_docs").where((F.col("path") == "/Shared/it/d21.md") & who.allowed(F.col("path"))).where("security_grade < 3").select("path", "security_grade")
+
+
+@query("""SELECT community, count(*) AS n_matched FROM (SELECT DISTINCT dst AS community, src AS id FROM {v_tree_edges} e) m WHERE id IN ('supplier:1', 'supplier:2', 'nation:3') GROUP BY community""")
+def community_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    members = spark_view(spark, sf, "v_tree_edges").select(F.col("dst").alias("community"), F.col("src").alias("id")).distinct()
+    return retrieval.overlapping_communities(members, spark_view(spark, sf, "v_nodes").where("id in ('supplier:1', 'supplier:2', 'nation:3')"))
