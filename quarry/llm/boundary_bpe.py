@@ -141,7 +141,7 @@ class BoundaryBpe:
             doc = int(np.searchsorted(offs, a, "right")) - 1
             total = np.concatenate([[0], np.cumsum(tokens)])
             i = 0
-            for j in bounds.tolist():
+            for j in np.unique(bounds).tolist():
                 at = a + int(ends[j - 1])
                 while offs[doc + 1] < at:
                     doc += 1

@@ -101,18 +101,22 @@ class CharacterModels:
 
     def __init__(self, texts: dict[str, list[str]]):
         self.languages = sorted(texts)
-        grams: list[list[tuple[np.ndarray, ...]]] = []
+        grams: list[list[np.ndarray]] = []
+        contexts: list[list[np.ndarray]] = []
+        pad = np.full(ORDER - 1, _GAP, np.uint32)
         for lang in self.languages:
-            per_order: list[dict] = []
             parts: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
+            before: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
             for t in texts[lang]:
-                for k, h in enumerate(_ngram_hashes(_codes(t))):
-                    parts[k].append(h)
-            hashes = [np.concatenate(p) if p else np.zeros(0, np.uint64) for p in parts]
-            grams.append(hashes)
-        self._fit(grams)
-
-    def _fit(self, grams: list[list[np.ndarray]]) -> None:
+                for k, h in enumerate(_ngram_hashes(np.concatenate([pad, _codes(t)]))):
+                    parts[k].append(h[ORDER - 1 :])
+                    before[k].append(h[ORDER - 2 : -1])
+            grams.append([np.concatenate(p) if p else np.zeros(0, np.uint64) for p in parts])
+            contexts.append([np.concatenate(p) if p else np.zeros(0, np.uint64) for p in before])
+        self._fit(grams, contexts)
+
+    def _fit(self, grams: list[list[np.ndarray]], contexts: list[list[np.ndarray]]) -> None:
+        """grams[language][k - 1]: the k-gram that ends with each character; contexts: the one that ends just before it."""
         n_lang = len(self.languages)
         self.index: list[SortedHashes] = []
         self.logp: list[np.ndarray] = []
@@ -120,10 +124,9 @@ class CharacterModels:
         # what each n-gram's tail (one character less of history) and context (one character less at the end) are
         joint = []
         for k in range(ORDER):
-            keys = np.unique(np.concatenate([g[k] for g in grams])) if n_lang else np.zeros(0, np.uint64)
+            keys = np.unique(np.concatenate([g[k] for g in (*grams, *contexts)])) if n_lang else np.zeros(0, np.uint64)
             joint.append(keys)
             self.index.append(SortedHashes(keys))
-        lower_prob = np.full((1, n_lang), 0.0)
         counts: list[np.ndarray] = []
         tails: list[np.ndarray] = []
         heads: list[np.ndarray] = []
@@ -136,8 +139,7 @@ class CharacterModels:
                 own[:, j] = np.bincount(at, minlength=len(joint[k]))
                 if k:
                     tail[at] = np.searchsorted(joint[k - 1], grams[j][k - 1])
-                    prior = np.concatenate([grams[j][k - 1][:1], grams[j][k - 1][:-1]])
-                    head[at] = np.searchsorted(joint[k - 1], prior)
+                    head[at] = np.searchsorted(joint[k - 1], contexts[j][k - 1])
             counts.append(own)
             tails.append(tail)
             heads.append(head)
@@ -146,7 +148,7 @@ class CharacterModels:
             follow = np.zeros_like(counts[k])
             np.add.at(follow, tails[k + 1], counts[k + 1] > 0)
             counts[k] = follow
-        size = max(1, len(joint[0]))
+        size = max(1, int((counts[0] > 0).any(1).sum()))
         probs: list[np.ndarray] = []
         for k in range(ORDER):
             c = counts[k]
