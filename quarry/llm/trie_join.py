@@ -16,9 +16,11 @@ min(spare(n1), spare(n2)) n-grams of both prefixes.  So
 3. the others meet in blocks, those of one smallest shared n-gram, each block cut
    into chunks of bounded size that all hold the block's smallest class (the
    pivot); every chunk is joined by the trie below;
-4. pairs of different components that share enough prefix n-grams, and that the
-   distances to a common pivot do not part (the Jaccard distance is a metric),
-   are joined by the trie as well, so no link between components is missed.
+4. the classes are put into cells of bounded size (those of a block that are
+   connected with its pivot, and the others); cells that share enough prefix
+   n-grams and hold different components are paired, paired cells are regrouped
+   by size, and every pair of these is joined by the trie as well, so no link
+   between components is missed.
 
 The trie holds the sets of a chunk, each ordered with the chunk's common n-grams
 first, as paths; n-grams without a branch are one node.  A probe walks down it,
@@ -198,13 +200,13 @@ def _full_sets(texts: DataFrame, k: int, wanted: DataFrame, pick_limit: int) ->
 class PrefixTree:
     """Ordered sets as paths; a node is a run of n-grams without a branch."""
 
-    __slots__ = ("runs", "children", "below", "ending", "longest", "sizes", "order")
+    __slots__ = ("grams", "rank", "runs", "children", "below", "ending", "longest", "least", "sizes", "order")
 
     def __init__(self, sets: list[np.ndarray]):
         grams, counts = np.unique(np.concatenate(sets), return_counts=True)
-        rank = np.empty(len(grams), np.int64)
-        rank[np.lexsort((grams, -counts))] = np.arange(len(grams))  # common first, so that paths are shared
-        paths = [np.sort(rank[np.searchsorted(grams, s)]) for s in sets]
+        self.grams, self.rank = grams, np.empty(len(grams), np.int64)
+        self.rank[np.lexsort((grams, -counts))] = np.arange(len(grams))  # common first, so that paths are shared
+        paths = [np.sort(self.rank[np.searchsorted(grams, s)]) for s in sets]
         self.order = sorted(range(len(paths)), key=lambda i: paths[i].tolist())
         ordered = [paths[i] for i in self.order]
         self.sizes = np.array([len(p) for p in ordered])
@@ -213,6 +215,7 @@ class PrefixTree:
         self.below: list[tuple[int, int]] = []
         self.ending: list[int] = []  # below[0] : ending are the sets that end with the node
         self.longest: list[int] = []
+        self.least: list[int] = []
         self._grow(ordered)
 
     def _grow(self, paths: list[np.ndarray]) -> None:
@@ -229,6 +232,7 @@ class PrefixTree:
             self.children.append([])
             self.below.append((lo, hi))
             self.longest.append(int(self.sizes[lo:hi].max()) - stop)
+            self.least.append(int(self.sizes[lo:hi].min()))
             if parent >= 0:
                 self.children[parent].append(node)
             i = lo
@@ -242,9 +246,13 @@ class PrefixTree:
                 todo.append((i, j, stop, node))
                 i = j
 
-    def probe(self, me: np.ndarray, percent: int, skip) -> Iterator[tuple[int, int]]:
-        """(place, shared) of every set that links with the set at place `me` of the path order; skip(lo, hi): none of these is wanted."""
-        mine = len(me)
+    def path(self, own: np.ndarray) -> np.ndarray:
+        """The n-grams of a set that the tree knows, in its order."""
+        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+        return np.sort(self.rank[at[self.grams[at] == own]])
+
+    def probe(self, me: np.ndarray, mine: int, percent: int, skip) -> Iterator[int]:
+        """The places of all sets that link with a set of `mine` n-grams whose path is me; skip(lo, hi): none of these is wanted."""
         todo = [(0, 0, 0)]
         while todo:
             node, shared, passed = todo.pop()
@@ -255,19 +263,17 @@ class PrefixTree:
             if len(run):
                 a = int(np.searchsorted(me, run[0]))
                 b = int(np.searchsorted(me, run[-1], "right"))
-                part = me[a:b]
-                if len(part):
-                    at = np.minimum(np.searchsorted(run, part), len(run) - 1)
-                    shared += int((run[at] == part).sum())
+                if b > a:
+                    part = me[a:b]
+                    shared += int((run[np.minimum(np.searchsorted(run, part), len(run) - 1)] == part).sum())
                 passed = b
-            depth_sizes = self.sizes[lo:hi]
-            rest = min(mine - passed, self.longest[node])
             # 100 * s >= percent * (x + y - s) must be possible for the smallest set below
-            if (100 + percent) * (shared + rest) < percent * (mine + int(depth_sizes.min())):
+            rest = min(len(me) - passed, self.longest[node])
+            if (100 + percent) * (shared + rest) < percent * (mine + self.least[node]):
                 continue
             for k in range(lo, self.ending[node]):
                 if (100 + percent) * shared >= percent * (mine + int(self.sizes[k])):
-                    yield k, shared
+                    yield k
             for child in self.children[node]:
                 todo.append((child, shared, passed))
 
@@ -284,68 +290,44 @@ class _Forest:
         return True
 
 
-def join_chunk(sids: np.ndarray, packed: list[bytes], known: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect the sets of a chunk as all its links would; known: components known so far (equal where connected)."""
+def join_chunk(sids: np.ndarray, packed: list[bytes], known: np.ndarray, percent: int, probing: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect the sets of a chunk as all its links would; known: components known so far (equal where connected).
+
+    probing: which of them are held against the others, if not all against all.
+    """
     sets = [np.frombuffer(p, np.uint64) for p in packed]
-    tree = PrefixTree(sets)
-    paths = _paths_of(tree, len(sets))
-    names = sids[tree.order]
-    _, start = np.unique(known[tree.order], return_inverse=True)
+    targets = np.arange(len(sets)) if probing is None else np.flatnonzero(~probing)
+    tree = PrefixTree([sets[i] for i in targets])
+    at = targets[tree.order]  # the set at each place of the tree
+    probes = at if probing is None else np.flatnonzero(probing)
     forest = _Forest(len(sets))
     first: dict[int, int] = {}
-    for i, c in enumerate(start.tolist()):
+    for i, c in enumerate(known.tolist()):
         forest.join(first.setdefault(c, i), i)
     links = []
-    for i in range(len(sets)):
-        up = forest.up
-        if (up == up[i]).all():
-            break
-        skip = lambda lo, hi: bool((forest.up[lo:hi] == forest.up[i]).all())  # noqa: B023, E731
-        for j, _ in tree.probe(paths[i], percent, skip):
+    for place, i in enumerate(probes.tolist()):
+        if (forest.up[at] == forest.up[i]).all():
+            continue
+        before = place + 1 if probing is None else 0  # pairs with earlier probes are done
+        skip = lambda lo, hi: hi <= before or bool((forest.up[at[lo:hi]] == forest.up[i]).all())  # noqa: B023, E731
+        for k in tree.probe(tree.path(sets[i]), len(sets[i]), percent, skip):
+            j = int(at[k])
             if j != i and forest.join(i, j):
-                links.append((int(names[i]), int(names[j])))
+                links.append((int(sids[i]), int(sids[j])))
     return links
 
 
-def _paths_of(tree: PrefixTree, n: int) -> list[np.ndarray]:
-    """The ordered sets again, in path order."""
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * n
-    todo: list[tuple[int, list[np.ndarray]]] = [(0, [])]
-    while todo:
-        node, above = todo.pop()
-        here = [*above, tree.runs[node]]
-        lo, stop = tree.below[node][0], tree.ending[node]
-        if stop > lo:
-            path = np.concatenate(here)
-            for k in range(lo, stop):
-                out[k] = path
-        todo += [(c, here) for c in tree.children[node]]
-    return out
-
-
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    return int((b[at] == a).sum())
-
-
 def _joined_chunks(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """rows: keys, sid, known, pivot, grams.  a, b, d: links (d null), and each set's distance d to the chunk's pivot (a the set, b the pivot)."""
+    """rows: keys, sid, known, probing (null: all against all), grams.  a, b: links."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates("sid").sort_values("sid", ignore_index=True)
-        sids, packed = part["sid"].to_numpy(), part["grams"].tolist()
-        links = join_chunk(sids, packed, part["known"].to_numpy(), percent) if len(part) > 1 else []
-        out = [(a, b, None) for a, b in links]
-        pivot = part["pivot"].iloc[0]
-        if pivot is not None and not pd.isna(pivot):
-            centre = np.frombuffer(packed[int(np.searchsorted(sids, int(pivot)))], np.uint64)
-            for s, p in zip(sids.tolist(), packed):
-                own = np.frombuffer(p, np.uint64)
-                shared = _overlap(own, centre)
-                out.append((s, int(pivot), 1 - shared / (len(own) + len(centre) - shared)))
-        return pd.DataFrame(out, columns=["a", "b", "d"]).astype({"a": "int64", "b": "int64", "d": "float64"})
+        probing = None if part["probing"].isna().any() else part["probing"].to_numpy(bool)
+        few = len(part) < 2 or (probing is not None and (probing.all() or not probing.any()))
+        links = [] if few else join_chunk(part["sid"].to_numpy(), part["grams"].tolist(), part["known"].to_numpy(), percent, probing)
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
-    return rows.groupBy(*keys).applyInPandas(run, "a long, b long, d double")
+    return rows.groupBy(*keys).applyInPandas(run, "a long, b long")
 
 
 def ngram_components(
@@ -371,28 +353,32 @@ def ngram_components(
     # every class with the others of its block, chunk by chunk
     blocks = hopeful.groupBy("block").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("pivot")).where("size > 1")
     chunks = F.ceil(F.col("size") / chunk).cast("int")
-    member = hopeful.join(blocks, "block").select("block", F.pmod(F.xxhash64("sid"), chunks).cast("int").alias("part"), "sid", "pivot")
-    centre = blocks.select("block", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("part"), F.col("pivot").alias("sid"), "pivot")
-    met = settle(_joined_chunks(member.unionByName(centre).distinct().join(sets, "sid").withColumn("known", F.col("sid")), ["block", "part"], percent), "met")
-    links = met.where("d is null").select("a", "b")
+    member = hopeful.join(blocks, "block").select("block", F.pmod(F.xxhash64("sid"), chunks).cast("int").alias("part"), "sid")
+    centre = blocks.select("block", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("part"), F.col("pivot").alias("sid"))
+    dealt = member.unionByName(centre).distinct().join(sets, "sid").withColumns({"known": F.col("sid"), "probing": F.lit(None).cast("boolean")})
+    links = settle(_joined_chunks(dealt, ["block", "part"], percent), "met")
     known = settle(connected_components(links), "known")
 
     # what is left between components
-    state = hopeful.select("sid", "n").join(known.select(F.col("node").alias("sid"), "root"), "sid", "left")
-    nearest = met.where("d is not null").groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("pivot"), F.min("d").alias("d"))
-    state = state.join(nearest, "sid", "left").select("sid", "n", F.coalesce("root", "sid").alias("root"), "pivot", "d")
+    roots = known.select(F.col("node").alias("sid"), "root")
+    state = hopeful.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    centres = blocks.join(roots, blocks["pivot"] == roots["sid"], "left").select("block", F.coalesce("root", "pivot").alias("centre"))
+    state = state.join(centres, "block", "left").withColumn("inner", F.coalesce(F.col("root") == F.col("centre"), F.lit(False)))
+    parts = state.groupBy("block", "inner").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
+    cell = F.xxhash64("block", "inner", F.pmod(F.xxhash64("sid"), F.col("parts")))
+    state = settle(state.join(parts, ["block", "inner"]).select("sid", "n", "root", cell.alias("cell")), "state")
     hot_rows = listed.where(F.size("hot") > 0).select("sid", F.explode("hot").alias("g"))
-    shared = cold.select("sid", "g").unionByName(hot_rows).distinct().join(state, "sid")
-    mixed = shared.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("g")
-    open_rows = settle(shared.join(mixed, "g"), "open")
-    pairs = candidate_pairs(open_rows, percent)
-    hub = settle(pairs.select("x", "y"), "pairs")
-    sides = hub.select(F.col("x").alias("hub"), F.pmod(F.xxhash64("y"), F.lit(1 << 16)).alias("deal"), "y")
-    sizes = hub.groupBy(F.col("x").alias("hub")).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
-    partner = sides.join(sizes, "hub").select("hub", (F.col("deal") % F.col("parts")).cast("int").alias("part"), F.col("y").alias("sid"))
-    own = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("sid"))
-    again = partner.unionByName(own).join(state.select("sid", F.col("root").alias("known")), "sid").join(sets, "sid").withColumn("pivot", F.lit(None).cast("long"))
-    more = settle(_joined_chunks(again, ["hub", "part"], percent).select("a", "b"), "more")
+    shared = cold.select("sid", "g").unionByName(hot_rows).join(state.select("sid", "cell", "root"), "sid")
+    spread = settle(shared.groupBy("g", "cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "spread")
+    mixed = spread.groupBy("g").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l != h").select("g")
+    pairs = settle(cell_pairs(spread.join(mixed, "g", "left_semi").select("g", "cell"), state, percent), "pairs")
+    cells = settle(regrouped(pairs, state, chunk), "cells")
+    pairs = settle(wide_pairs(pairs, cells, percent), "wide")
+    inside = cells.select("sid", F.col("wide").alias("cell"), F.col("root").alias("known"))
+    left = pairs.select("x", "y", F.col("x").alias("cell"), F.when(F.col("x") != F.col("y"), F.lit(True)).alias("probing"))
+    right = pairs.where("x != y").select("x", "y", F.col("y").alias("cell"), F.lit(False).alias("probing"))
+    again = left.unionByName(right).join(inside, "cell").join(sets, "sid")
+    more = settle(_joined_chunks(again, ["x", "y"], percent), "more")
     final = connected_components(links.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b"))).unionByName(more)) if more.take(1) else known
 
     smallest = rows.where("sid is not null").groupBy("sid").agg(F.min("id").alias("first"))
@@ -401,13 +387,36 @@ def ngram_components(
     return rows.select("id", "sid", "n").join(named, "sid", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.col("sid").alias("class_id"))
 
 
-def candidate_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """x, y: pairs of different components that share enough prefix n-grams and may be near enough.  rows: sid, g, n, root, pivot, d."""
-    x = rows.select("g", *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "root", "pivot", "d")])
-    y = rows.select("g", *[F.col(c).alias(f"y_{c}") for c in ("sid", "n", "root", "pivot", "d")])
-    apart = F.coalesce((F.col("x_pivot") == F.col("y_pivot")) & (F.abs(F.col("x_d") - F.col("y_d")) > 1 - percent / 100 + 1e-9), F.lit(False))
-    in_order = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_sid") < F.col("y_sid")))
-    fits = in_order & (F.col("x_n") * 100 >= F.col("y_n") * percent) & (F.col("x_root") != F.col("y_root")) & ~apart
-    met = x.join(y, (x["g"] == y["g"]) & fits)
-    enough = F.expr(f"1 + floor(n / {SPARE_EVERY})")
-    return met.groupBy(F.col("x_sid").alias("x"), F.col("y_sid").alias("y")).agg(F.count(F.lit(1)).alias("c"), F.min("x_n").alias("n")).where(F.col("c") >= enough).select("x", "y")
+def cell_pairs(rows: DataFrame, state: DataFrame, percent: int) -> DataFrame:
+    """x, y: cells, or a cell and itself, that may hold linked sets of different components.  rows: g, cell; state: sid, n, root, cell.
+
+    Two linked sets share spare() of the smaller one's prefix n-grams, so two cells that share fewer have no link.
+    """
+    about = state.groupBy("cell").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    one = rows.join(about, "cell")
+    x = one.select("g", *[F.col(c).alias(f"x_{c}") for c in ("cell", "least", "most", "lo", "hi")])
+    y = one.select("g", *[F.col(c).alias(f"y_{c}") for c in ("cell", "least", "most", "lo", "hi")])
+    parted = (F.least("x_lo", "y_lo") != F.greatest("x_hi", "y_hi")) & (F.col("x_most") * 100 >= F.col("y_least") * percent) & (F.col("y_most") * 100 >= F.col("x_least") * percent)
+    met = x.join(y, (x["g"] == y["g"]) & (F.col("x_cell") <= F.col("y_cell")) & parted)
+    counted = met.groupBy(F.col("x_cell").alias("x"), F.col("y_cell").alias("y")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("x_least", "y_least")).alias("n"))
+    return counted.where(F.col("c") >= F.expr(f"1 + floor(n / {SPARE_EVERY})")).select("x", "y")
+
+
+def regrouped(pairs: DataFrame, state: DataFrame, chunk: int) -> DataFrame:
+    """sid, n, root, cell, wide: sets of cells that are paired, directly or not, put into cells of like size, so that each is dealt out few times."""
+    tied = connected_components(pairs.where("x != y"), "x", "y").select(F.col("node").alias("cell"), F.col("root").alias("label"))
+    met = pairs.select(F.col("x").alias("cell")).unionByName(pairs.select(F.col("y").alias("cell"))).distinct()
+    rows = state.join(met, "cell").join(tied, "cell", "left").withColumns({"label": F.coalesce("label", "cell"), "band": F.floor(F.log(F.col("n").cast("double")) / F.lit(0.05))})
+    parts = rows.groupBy("label", "band").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
+    wide = F.xxhash64("label", "band", F.pmod(F.xxhash64("sid"), F.col("parts")))
+    return rows.join(parts, ["label", "band"]).select("sid", "n", "root", "cell", wide.alias("wide"))
+
+
+def wide_pairs(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """x, y: the wide cells that the pairs' sets are in, but for those of one component or of sizes too far apart."""
+    span = cells.groupBy("cell", "wide").agg(F.lit(1).alias("_"))
+    about = cells.groupBy("wide").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    side = lambda c: span.join(about, "wide").select(F.col("cell").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("wide", "least", "most", "lo", "hi")])
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    fits = (F.least("x_lo", "y_lo") != F.greatest("x_hi", "y_hi")) & (F.col("x_most") * 100 >= F.col("y_least") * percent) & (F.col("y_most") * 100 >= F.col("x_least") * percent)
+    return both.where(fits).select(F.least("x_wide", "y_wide").alias("x"), F.greatest("x_wide", "y_wide").alias("y")).distinct()
