@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from .kernel import mix
 
 ORDER = 4
-SAMPLE = 400
-SAMPLE_BYTES = 24 << 20
+SAMPLE = 250
+SAMPLE_BYTES = 3 << 20
 LANGUAGES = 200
 DISCOUNT = 0.75
 CHUNK = 1 << 18
