@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .kernel import settle
 
 SAMPLE = 16_384
-LEAF = 128
+LEAF = 1024
 SMALLEST_LEAF = 4
 BRANCHES = 8
 PROBES = 100
@@ -173,7 +173,7 @@ def calibrated_visits(tree: KMeansTree, rows: DataFrame, queries: pd.DataFrame,
     return needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]
 
 
-def nearest_neighbours(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, recall: float = RECALL) -> DataFrame:
+def nearest_neighbours(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query row, itself left out."""
     rows = settle(valid_vectors(table, id_col, vec_col), "vectors")
     spark = rows.sparkSession
@@ -183,7 +183,7 @@ def nearest_neighbours(table: DataFrame, is_query: Column, id_col: str = "vec_id
     points = settle(points, "points")
     n = points.count()
     sample = points.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("v").toPandas()
-    tree = KMeansTree(_matrix(sample["v"]), max(SMALLEST_LEAF, LEAF * len(sample) // max(n, 1)))
+    tree = KMeansTree(_matrix(sample["v"]), max(SMALLEST_LEAF, leaf * len(sample) // max(n, 1)))
     probes = asked.where("asked").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES).select("vec_id", "v").toPandas()
     visits = calibrated_visits(tree, rows, probes, k, recall)
     shared = spark.sparkContext.broadcast(tree)
@@ -195,12 +195,12 @@ def nearest_neighbours(table: DataFrame, is_query: Column, id_col: str = "vec_id
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = [(key, x.tobytes(), leaf) for key, x in zip(f["key"], _matrix(f["v"])) for leaf in shared.value.visit(x, visits)]
-            yield pd.DataFrame(out, columns=["key", "v", "leaf"])
+            v = _matrix(f["v"])
+            yield pd.DataFrame({"key": f["key"], "v": [x.tobytes() for x in v], "leaves": [shared.value.visit(x, visits) for x in v]})
 
     placed = settle(points.mapInPandas(place, "key binary, ids array<long>, v binary, leaf int"), "placed")
     queries = asked.where("asked").groupBy("key").agg(F.first("v").alias("v"))
-    routed = settle(queries.mapInPandas(route, "key binary, v binary, leaf int"), "routed")
+    routed = settle(queries.mapInPandas(route, "key binary, v binary, leaves array<int>"), "routed").select("key", "v", F.explode("leaves").alias("leaf"))
     load = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).join(
         routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "leaf"
     )
