@@ -13,7 +13,8 @@ min(spare(n1), spare(n2)) n-grams of both prefixes.  So
 2. prefixes of the final order are dealt out by n-gram; a class of which too few
    prefix n-grams occur in another class's prefix can have no partner: it stays alone
    and its text is not looked at again;
-3. the others meet in blocks, those of one smallest shared n-gram, each block cut
+3. the others meet in blocks, those of one smallest shared n-gram (a hot one if
+   there is any, as these hold large groups together), each block cut
    into chunks of bounded size that all hold the block's smallest class (the
    pivot); every chunk is joined by the trie below;
 4. the classes are put into cells of bounded size (those of a block that are
@@ -58,6 +59,7 @@ HOT_FROM = 32
 HOT_LIMIT = 2_000_000
 PICK_LIMIT = 1_000_000
 CHUNK = 256
+TEXT_BYTES = 4 << 20
 
 
 def need(n: int, percent: int) -> int:
@@ -79,13 +81,17 @@ def least_shared(n: int, percent: int) -> int:
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """The sorted set of n-gram hashes of each text."""
+    """The sorted set of n-gram hashes of each text; texts are taken a few MB at a time (one at least)."""
     raw, offs = string_buffers(column)
-    words, _, bounds = word_hashes(raw, offs, BLANK_PARTED, LOWER)
-    grams, at = shingle_hashes(words, bounds, k)
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        own = np.sort(grams[a:b])
-        yield own[np.append(True, own[1:] != own[:-1])] if b - a > 1 else own
+    first = 0
+    while first < len(offs) - 1:
+        last = max(first + 1, int(np.searchsorted(offs, offs[first] + TEXT_BYTES, "right")) - 1)
+        words, _, bounds = word_hashes(raw[offs[first] : offs[last]], offs[first : last + 1] - offs[first], BLANK_PARTED, LOWER)
+        grams, at = shingle_hashes(words, bounds, k)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            own = np.sort(grams[a:b])
+            yield own[np.append(True, own[1:] != own[:-1])] if b - a > 1 else own
+        first = last
 
 
 def set_id(own: np.ndarray) -> int:
@@ -343,9 +349,9 @@ def ngram_components(
     cold = cold.withColumns({"lo": F.min("sid").over(by_gram), "hi": F.max("sid").over(by_gram)}).where("lo != hi").select("g", "sid", "n")
     cold = settle(cold, "shared")
     enough = F.expr(f"1 + floor(floor(({percent} * n + 99) / 100) / {SPARE_EVERY})")
-    tally = cold.groupBy("sid").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("c"), F.min("g").alias("g"))
-    warm = listed.where(F.size("hot") > 0).select("sid", "n", F.size("hot").cast("long").alias("c"), F.array_min("hot").alias("g"))
-    hopeful = tally.unionByName(warm).groupBy("sid").agg(F.min("n").alias("n"), F.sum("c").alias("c"), F.min("g").alias("block")).where(F.col("c") >= enough)
+    tally = cold.groupBy("sid").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("c"), F.lit(None).cast("long").alias("warm"), F.min("g").alias("cold"))
+    warm = listed.where(F.size("hot") > 0).select("sid", "n", F.size("hot").cast("long").alias("c"), F.array_min("hot").alias("warm"), F.lit(None).cast("long").alias("cold"))
+    hopeful = tally.unionByName(warm).groupBy("sid").agg(F.min("n").alias("n"), F.sum("c").alias("c"), F.coalesce(F.min("warm"), F.min("cold")).alias("block")).where(F.col("c") >= enough)
     hopeful = settle(hopeful.select("sid", "n", "block"), "hopeful")
     places = rows.where("sid is not null").join(hopeful.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id"))
     sets = settle(_full_sets(texts, k, places, pick_limit), "sets")
