@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .kernel import SEGMENT, mix, span_hashes, string_buffers
 
 #: Fragments that a worker remembers; then it starts anew, so memory stays bounded.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Longer fragments are not worth remembering.
 REMEMBERED_BYTES = 64
 _EMPTY = hashlib.sha256().hexdigest()
