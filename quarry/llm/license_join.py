@@ -1,13 +1,18 @@
 """License scans by an exact set-similarity join of text blocks with templates.
 
 A template is the set of words of a licence notice.  A block is a line of a
-text.  Every pair with |template & block| >= threshold * |template| is found:
+text, or, as notices are wrapped, a window of words wherever lines end, as long
+as the notice with room for foreign words (its words / threshold).  Every pair with |template & block| >= threshold * |template| is found:
 the words of the templates are ordered by their frequency in all texts, rarest
 first; a block that meets the threshold must hold one of the first
 |template| - ceil(threshold * |template|) + 1 words of the template (prefix
 filter), must have ceil(threshold * |template|) words at least (length filter),
 and after a first common word at place p of the template at most |template| - p
-words can be shared (positional filter).  What is left is counted exactly.
+words can be shared (positional filter).  What is left is counted exactly.  Windows
+start at every word of a template; those of too few of its words or of none of
+the prefix are out, and of windows that overlap only the fullest is given.  The
+words of a line that meets the template itself are not looked at again, so a
+notice within a line is found once, as that line.
 
 The templates are a fixed list, so they and the frequencies of their words (one
 count per word, summed over all rows) are what is broadcast.
@@ -65,6 +70,7 @@ class TemplateIndex:
         number = {w: i for i, w in enumerate(self.vocabulary)}
         counts = counts or {}
         self.templates: list[tuple[str, list[int], int]] = []
+        self.widths: list[int] = []
         self.prefixes: dict[int, list[tuple[int, int]]] = {}
         for label, notices in templates.items():
             for notice in notices:
@@ -73,6 +79,7 @@ class TemplateIndex:
                 for place in range(len(order) - need + 1):
                     self.prefixes.setdefault(order[place], []).append((len(self.templates), place))
                 self.templates.append((label, order, need))
+                self.widths.append(math.floor(len(words_of(notice)) / threshold + 1e-9))
         self.phrases = [([number[w] for w in p.split()], label) for p, label in phrases.items()]
         self.starts_block = np.zeros(len(self.vocabulary), bool)
         self.starts_block[list(self.prefixes)] = True
@@ -101,6 +108,41 @@ class TemplateIndex:
         return out
 
 
+    def wrapped(self, t: int, at: np.ndarray, words: np.ndarray, ends: np.ndarray) -> list[tuple[int, float]]:
+        """(first word, containment) of the windows that meet template t, fullest of those that overlap.
+
+        at: places of the template's words, ascending; words: which they are; ends: where the text of each ends.
+        """
+        _, order, need = self.templates[t]
+        if len(at) < need:
+            return []
+        until = np.searchsorted(at, np.minimum(at + self.widths[t], ends))
+        rare = np.concatenate([[0], np.cumsum(np.isin(words, order[: len(order) - need + 1]))])
+        first = np.arange(len(at))
+        first = first[(until - first >= need) & (rare[until] > rare[:-1])]
+        if not len(first):
+            return []
+        by_word = np.argsort(words, kind="stable")
+        before = np.full(len(at), -1)
+        again = words[by_word[1:]] == words[by_word[:-1]]
+        before[by_word[1:][again]] = by_word[:-1][again]
+        shared, core = np.zeros(len(first), np.int64), np.full(len(first), -1)
+        for step in range(int((until[first] - first).max())):
+            here = np.minimum(first + step, len(at) - 1)
+            shared += (first + step < until[first]) & (before[here] < first)
+            core[(core < 0) & (shared >= need)] = step
+        met = core >= 0
+        first, shared, core = first[met], shared[met], (first + core)[met]
+        out, last = [], -1
+        for i in np.lexsort((-first, core)).tolist():  # by where the threshold is reached: as many as do not overlap
+            if first[i] > last:
+                last = core[i]
+                same = slice(np.searchsorted(first, first[i]), np.searchsorted(first, last, "right"))
+                best = same.stop - 1 - int(shared[same][::-1].argmax())
+                out.append((int(at[first[best]]), int(shared[best]) / len(order)))
+        return out
+
+
 def _located(index: TemplateIndex, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     raw, offs = string_buffers(column)
     hashes, where, bounds = word_hashes(raw, offs, ALPHANUMERIC, LOWER)
@@ -123,7 +165,7 @@ def word_frequencies(docs: DataFrame, text_col: str, index: TemplateIndex) -> di
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_words, places (start word of each phrase), place_labels, blocks (first word of the block, template label, containment)."""
+    """doc_id, n_words, places (start word of each phrase), place_labels, blocks (first word of the line or window, template label, containment)."""
     index = TemplateIndex(word_frequencies(docs, text_col, TemplateIndex()), threshold=threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +174,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             n = batch.num_rows
             places: list[list[int]] = [[] for _ in range(n)]
             labels: list[list[str]] = [[] for _ in range(n)]
-            blocks: list[list[dict]] = [[] for _ in range(n)]
+            met: list[list[tuple[int, int, float]]] = [[] for _ in range(n)]
+            lines: dict[int, list[int]] = {}
             for phrase, label in index.phrases:
                 hit = np.flatnonzero(numbers == phrase[0])
                 hit = hit[hit + len(phrase) <= len(numbers)]
@@ -151,7 +194,21 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 hi = int(bounds[i + 1]) if at == len(newlines) else min(int(bounds[i + 1]), int(np.searchsorted(where, newlines[at])))
                 own = numbers[lo:hi]
                 found = index.matches(set(own[own >= 0].tolist()), hi - lo)
-                blocks[i] += [{"first_word": lo - int(bounds[i]), "label": index.templates[t][0], "containment": c} for t, c in sorted(found)]
+                met[i] += [(lo - int(bounds[i]), t, c) for t, c in found]
+                for t, _ in found:
+                    lines.setdefault(t, []).append(i + at)
+            known = np.flatnonzero(numbers >= 0)
+            words = numbers[known]
+            text = np.searchsorted(bounds, known, "right") - 1
+            line = np.searchsorted(newlines, where[known]) + text  # counts on from text to text
+            for t, (_, order, _) in enumerate(index.templates):
+                mine = np.isin(words, order)
+                if t in lines:
+                    mine &= ~np.isin(line, lines[t])
+                for at, c in index.wrapped(t, known[mine], words[mine], bounds[text[mine] + 1]):
+                    i = int(np.searchsorted(bounds, at, "right")) - 1
+                    met[i].append((at - int(bounds[i]), t, c))
+            blocks = [[{"first_word": w, "label": index.templates[t][0], "containment": c} for w, t, c in sorted(m)] for m in met]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array(labels, pa.list_(pa.string())), pa.array(blocks, pa.list_(pa.struct([("first_word", pa.int64()), ("label", pa.string()), ("containment", pa.float64())])))],
                 names=["doc_id", "n_words", "places", "place_labels", "blocks"],

@@ -318,6 +318,41 @@ def test_licenses(spark, odd, none):
     assert license_join.scan_licenses(odd).count() == len(ODD) and license_join.scan_licenses(none).count() == 0
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:",
+    "mpl": " * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed",
+    "cc-by": "REM This work is licensed under\nREM a Creative Commons Attribution\nREM 4.0 International License",
+}
+
+
+def test_wrapped_licenses(spark):
+    texts = [*WRAPPED.values(), "\n\n".join(WRAPPED.values()), "of this software and associated documentation files", "\n".join(2 * [WRAPPED["mit"]]), WRAPPED["bsd"].replace("\n#", "") + "\n" + WRAPPED["bsd"]]
+    texts += [WRAPPED["mit"].split("\n")[0], WRAPPED["mit"].split("\n")[1]]  # halves in two texts
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: [(b.first_word, b.label, b.containment) for b in r.blocks] for r in license_join.scan_licenses(df).collect()}
+    for i, label in enumerate(WRAPPED):
+        assert {x for _, x, _ in got[i]} - {"cc-by-nc"} == {label} and (label == "cc-by" or got[i] == [(0, label, 1.0)])
+    assert {x for _, x, _ in got[4]} >= set(WRAPPED) and got[5] == [] and [b[1] for b in got[6]] == ["mit", "mit"]
+    assert [(b[1], b[2]) for b in got[7]] == [("bsd", 1.0), ("bsd", 1.0)] and got[8] == got[9] == []
+
+
+def test_windows_of_licenses():
+    index = license_join.TemplateIndex()
+    rng = random.Random(5)
+    for t, (_, order, need) in enumerate(index.templates):
+        for _ in range(40):
+            words = [rng.choice(order + [-1]) for _ in range(rng.randint(0, 150))]
+            at = np.array([i for i, w in enumerate(words) if w in order], np.int64)
+            found = index.wrapped(t, at, np.array([words[i] for i in at], np.int64), np.full(len(at), len(words)))
+            width = index.widths[t]
+            counts = [len({w for w in words[i : i + width] if w >= 0}) for i in range(len(words))]
+            assert bool(found) == (max(counts, default=0) >= need)
+            assert all(counts[i] == round(c * len(order)) >= need for i, c in found)
+            # every window that meets the template overlaps one that is given
+            assert all(any(abs(i - j) <= 2 * width for j, _ in found) for i, c in enumerate(counts) if c >= need)
+
+
 # -- 9 decontamination
 
 
