@@ -8,10 +8,14 @@ confidence and support, and none of whose parts does so as surely, are kept.
 They are matched by an inverted index from token to rules: a rule fires when
 all its tokens are there, and a URL is blocked by any rule that fires.
 
-The number of rules is bounded by the support: a URL has at most ``TOKENS``
-tokens and a rule at most ``LONGEST``, so at most sum(C(TOKENS, k)) / support
-combinations can reach it.  Everything runs in the JVM and URLs are judged in
-place, without a shuffle; only labelled token sets, counted beforehand, move.
+All tokens of a URL count, and support and confidence alone bound the rules.  Two
+exact steps keep the mining small: a token that is in too few bad URLs can be in
+no rule, and of tokens that are always in the same URLs one is mined for all,
+as no rule that is kept holds two of them (either alone is as sure).  Only
+rules that differ in the URLs they cover are so mined; their number still grows
+with the combinations of tokens that are frequent together but not always.
+Everything runs in the JVM and URLs are judged in place, without a shuffle; only
+labelled token sets move.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, no
 rule and the method's verdict on no tokens, allow; null labels teach nothing;
@@ -20,7 +24,9 @@ repeated rows are kept as they come; with no labels nothing is blocked by rule.
 
 from __future__ import annotations
 
+import itertools
 import json
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -30,8 +36,6 @@ from pyspark.sql import functions as F
 RULES: Mapping[tuple[str, str], str] = {("net", "/"): "block", ("example.net", "/en/"): "allow", ("example.com", "/de/"): "block", ("org", "/fr/"): "allow"}
 SUPPORT = 0.001
 CONFIDENCE = 0.4
-TOKENS = 12
-LONGEST = 3
 _BAD = "=bad"
 
 
@@ -59,31 +63,41 @@ def rule_for(host: Column, path: Column, rules: Mapping[tuple[str, str], str] =
 
 
 def tokens_of(url: Column) -> Column:
-    """At most TOKENS different tokens: host labels, path segments that are words, query keys."""
+    """The different tokens: host labels, path segments that are words, query keys."""
     host, path = host_of(url), path_of(url)
     query = F.coalesce(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit(""))
     named = lambda kind, parts: F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.concat(F.lit(kind + ":"), x))
     segments = F.filter(F.split(path, "/"), lambda x: ~x.rlike("^[0-9]"))
     keys = F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1))
     every = F.concat(named("h", F.split(host, r"\.")), named("p", segments), named("q", keys))
-    return F.coalesce(F.slice(F.array_distinct(every), 1, TOKENS), F.array().cast("array<string>"))
+    return F.coalesce(F.array_distinct(every), F.array().cast("array<string>"))
 
 
 def mine_rules(urls: DataFrame, url_col: str, bad_col: str, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[list[str], float, float]]:
     """(tokens, confidence, support) of the rules kept, the surest first."""
     from pyspark.ml.fpm import FPGrowth
 
-    known = urls.where(F.col(bad_col).isNotNull()).select(
-        F.concat(tokens_of(F.col(url_col)), F.when(F.col(bad_col), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items")
-    )
-    if not known.take(1):
+    known = urls.where(F.col(bad_col).isNotNull()).select(F.array_sort(tokens_of(F.col(url_col))).alias("items"), F.col(bad_col).alias("bad"))
+    least = max(1, math.ceil(support * known.count()))
+    # bounded: a token set has few tokens, and each token kept is in the support's share of all sets
+    each = known.select(F.explode("items").alias("t"), "bad", *[F.xxhash64("items", F.lit(i)).cast("decimal(20,0)").alias(f"h{i}") for i in (0, 1)])
+    found = each.groupBy("t").agg(F.count_if("bad").alias("n_bad"), F.count(F.lit(1)).alias("n"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1")).where(F.col("n_bad") >= least).collect()
+    alike: dict[tuple, list[str]] = {}
+    for r in sorted(found, key=lambda r: r["t"]):
+        alike.setdefault((r["n"], r["h0"], r["h1"]), []).append(r["t"])
+    if not alike:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(known)
-    rows = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _BAD) & (F.size("antecedent") <= LONGEST)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").collect()
+    members = {tokens[0]: tokens for tokens in alike.values()}
+    mined = F.concat(F.filter("items", lambda t: t.isin(list(members))), F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>")))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(known.select(mined.alias("items")))
+    rows = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _BAD)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").collect()
     kept: list[tuple[list[str], float, float]] = []
+    by_first: dict[str, list[tuple[set[str], float]]] = {}
     for r in sorted(rows, key=lambda r: (len(r["tokens"]), -r["confidence"], -r["support"], r["tokens"])):
-        if not any(c >= r["confidence"] and set(t) <= set(r["tokens"]) for t, c, _ in kept):
-            kept.append((list(r["tokens"]), r["confidence"], r["support"]))
+        own = set(r["tokens"])
+        if not any(c >= r["confidence"] and t <= own for x in own for t, c in by_first.get(x, ())):
+            by_first.setdefault(r["tokens"][0], []).append((own, r["confidence"]))
+            kept += [(sorted(t), r["confidence"], r["support"]) for t in itertools.product(*[members[x] for x in r["tokens"]])]
     return sorted(kept, key=lambda k: (-k[1], -k[2], k[0]))
 
 

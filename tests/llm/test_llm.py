@@ -418,6 +418,26 @@ def test_mined_rules(spark):
     assert [r.verdict for r in url_rules.judge_urls(pages, known, support=0.05, confidence=0.9).collect()] == ["block", "allow", "block"]
 
 
+def test_all_tokens_are_mined_and_matched(spark):
+    deep = "/".join(f"s{i}" for i in range(30))
+    urls = [(f"http://x.com/{deep}?buy=1", True)] * 10 + [(f"http://x.com/{deep}", False)] * 10 + [("http://x.com/?k=1", False)] * 5
+    # four tokens together are bad, any three of them as often not
+    four = ["a", "b", "c", "d"]
+    urls += [("http://y.org/" + "/".join(four), True)] * 12 + [("http://y.org/" + "/".join(x for x in four if x != out), False) for out in four for _ in range(12)]
+    known = spark.createDataFrame(urls, "url string, bad boolean")
+    rules = [t for t, _, _ in url_rules.mine_rules(known, "url", "bad", support=0.05, confidence=0.9)]
+    assert rules == [["p:a", "p:b", "p:c", "p:d"], ["q:buy"]]
+    many = "/".join(f"z{i}" for i in range(20))
+    pages = spark.createDataFrame([(f"http://v.edu/{many}?{'&'.join(f'k{i}=1' for i in range(20))}&buy=1",), (f"http://v.edu/{many}/d/c/b/a",), (f"http://v.edu/{many}/d/c/b",)], "url string")
+    assert [r.verdict for r in url_rules.judge_urls(pages, known, support=0.05, confidence=0.9).collect()] == ["block", "block", "allow"]
+
+
+def test_tokens_always_together(spark):
+    known = spark.createDataFrame([("http://x.io/p/q/r", True)] * 5 + [("http://x.io/p/q/s", False)] * 5 + [("http://u.io/r", False)] * 5, "url string, bad boolean")
+    rules = [(t, c) for t, c, _ in url_rules.mine_rules(known, "url", "bad", support=0.05, confidence=0.9)]
+    assert rules == [(["h:x", "p:r"], 1.0), (["p:p", "p:r"], 1.0), (["p:q", "p:r"], 1.0)]
+
+
 # -- pipeline
 
 
