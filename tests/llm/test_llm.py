@@ -441,6 +441,26 @@ def test_tokens_always_together(spark):
 # -- pipeline
 
 
+def test_near_duplicates_of_five_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    base = [f"a{i}" for i in range(100)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:82])), (3, " ".join(base[:60]))]  # 78/96 of five words, 79/97 of four; 56/78
+    for k in range(30):
+        words = [f"{k}b{i}" for i in range(120)]
+        rows.append((100 + 2 * k, " ".join(words)))
+        for i in rng.sample(range(120), rng.randint(1, 4)):
+            words[i] = "changed"
+        rows.append((101 + 2 * k, " ".join(words)))
+    shingles = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    linked = lambda a, b: 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b])
+    want = {d for d, _ in rows if not any(linked(d, e) for e, _ in rows if e < d)}
+    df = spark.createDataFrame([(*r, "en", "test", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()} == want and 2 not in want and 3 in want
+
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
