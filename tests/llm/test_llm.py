@@ -163,6 +163,31 @@ def test_pseudonyms(spark, odd):
 # -- 4 BPE
 
 
+def test_valid_values_inside_longer_candidates(spark):
+    card = "4111 1111 1111 1111"
+    hidden = {
+        f"{card} 10/27": card, f"{card} 123": card, f"12 {card}.": card, f"0002 {card} 99": card, f"{card} 555-123-4567": card, "4111111111111111 10/27": "4111111111111111",
+        "pay AT61 1904 3002 3457 3201 BIC": "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332 PAID": "ES91 2100 0418 4502 0005 1332", "AT611904300234573201 PAYMENT": "AT611904300234573201",
+        "Call 555-123-4567.": "555-123-4567", "Call 555-123-4567. 8 men": "555-123-4567", "born 05/23/1980, 1": "05/23/1980", "born 23/05/1980": "23/05/1980",
+    }
+    kept = ["4111 1111 1111 1112", "05/32/1980", "13/23/1980", "555-123-4567.8", "41111111111111119"]
+    df = spark.createDataFrame(list(enumerate([*hidden, *kept])), "doc_id long, text string")
+    out = feistel_pii.pseudonymise(df, found_col="found")
+    got = {r.doc_id: r for r in out.collect()}
+    for i, (text, value) in enumerate(hidden.items()):
+        assert value not in got[i].text and len(got[i].text) == len(text), text
+        at = text.index(value)
+        if "555-123-4567" not in text or value != card:
+            assert got[i].text[:at] == text[:at] and got[i].text[at + len(value) :] == text[at + len(value) :]
+            assert len(got[i].found) == 1
+    assert got[4].found == ["card", "phone"] and "555-123-4567" not in got[4].text
+    assert [got[len(hidden) + i].text for i in range(len(kept))] == kept
+    fresh = got[list(hidden.values()).index("05/23/1980")].text
+    assert int(fresh[5:7]) <= 12 < int(fresh[8:10])
+    back = {r.doc_id: r.text for r in feistel_pii.pseudonymise(out.drop("found"), inverse=True).collect()}
+    assert all(back[i] == text for i, text in enumerate(hidden) if "/1980" in text or "Call" in text)
+
+
 def test_bpe_as_the_library_does(spark, odd, none):
     from tokenizers import Tokenizer
 
