@@ -142,18 +142,19 @@ def _truth(rows: DataFrame, queries: pd.DataFrame, k: int) -> dict[int, np.ndarr
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, list[tuple[float, int, list]]] = {}
         for frame in frames:
+            frame = frame.drop_duplicates(["vec_id", "key"])
             scores = q @ _matrix(frame["v"]).T
             names = frame["vec_id"].to_numpy()
             for i in range(len(ids)):
                 top = np.argsort(-scores[i], kind="stable")[: k + 1]
                 own = best.setdefault(i, [])
                 own += [(-scores[i, j], int(names[j]), frame["v"].iloc[j]) for j in top if names[j] != ids[i]]
-                own.sort(key=lambda x: x[:2])
+                own[:] = {x[:2]: x for x in sorted(own, key=lambda x: x[:2])}.values()
                 del own[k:]
         yield pd.DataFrame([(i, s, n, v) for i, own in best.items() for s, n, v in own], columns=["i", "s", "n", "v"])
 
-    found = rows.select("vec_id", "v").mapInPandas(run, "i int, s double, n long, v array<double>").toPandas()
-    found = found.sort_values(["i", "s", "n"]).groupby("i").head(k)
+    found = rows.select("vec_id", "key", "v").mapInPandas(run, "i int, s double, n long, v array<double>").toPandas()
+    found = found.sort_values(["i", "s", "n"]).drop_duplicates(["i", "s", "n"]).groupby("i").head(k)
     return {int(i): _matrix(g["v"]) for i, g in found.groupby("i")}
 
 
@@ -178,8 +179,8 @@ def nearest_neighbours(table: DataFrame, is_query: Column, id_col: str = "vec_id
     rows = settle(valid_vectors(table, id_col, vec_col), "vectors")
     spark = rows.sparkSession
     asked = rows.withColumn("asked", is_query)
-    kept = rows.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    points = kept.groupBy("key").agg(F.array_sort(F.array_distinct(F.collect_list("vec_id"))).alias("ids"), F.first("v").alias("v"))
+    kept = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    points = kept.groupBy("key").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"), F.first("v").alias("v"))
     points = settle(points, "points")
     n = points.count()
     sample = points.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("v").toPandas()

@@ -118,6 +118,17 @@ def test_neighbours(spark):
 # -- 3 pseudonyms
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rng = random.Random(8)
+    same = [rng.gauss(0, 1) for _ in range(8)]
+    rows = [(i, same) for i in range(60)] + [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60, 200)]
+    df = spark.createDataFrame(2 * rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in kmeans_tree.nearest_neighbours(df, F.col("vec_id") < 3).collect():
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == {0, 1, 2} and all(sorted(found) == [i for i in range(21) if i != q] for q, found in got.items())
+
+
 def feistel(key, tweak, left, right, a, b):
     h = lambda i, side, value, m: int(hashlib.sha256(f"{key}|{tweak}|{i}|{side}|{value}".encode()).hexdigest()[:15], 16) % m
     for i in range(feistel_pii.ROUNDS):
