@@ -15,7 +15,8 @@ rejected as none of the languages.
 
 The models are fitted on a bounded sample of labelled rows (``SAMPLE`` texts a
 language at most, those whose hashed id is smallest, and at most
-``SAMPLE_BYTES`` of text in all); every text is scored whole.
+``SAMPLE_BYTES`` of text in all, of which each language has the same share; the
+text that passes the share is cut there); every text is scored whole.
 
 Defined results: a null text, or one without any letter, is ``und`` with score
 0 and rejected; texts are scored as they are, in lower case; rows without a
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 from .kernel import mix
 
 ORDER = 4
-SAMPLE = 250
-SAMPLE_BYTES = 3 << 20
+SAMPLE = 400
+SAMPLE_BYTES = 24 << 20
 LANGUAGES = 200
 DISCOUNT = 0.75
 CHUNK = 1 << 18
@@ -96,27 +97,47 @@ class SortedHashes:
         return out
 
 
+class _Counts:
+    """The different n-grams of one language by order: (n-grams, counts, tails, heads), and its contexts."""
+
+    def __init__(self, texts: list[str]):
+        self.grams = [[np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.uint64)] for _ in range(ORDER)]
+        self.contexts = [np.zeros(0, np.uint64) for _ in range(ORDER)]
+        self._new: list[tuple[list[np.ndarray], list[np.ndarray]]] = []
+        pad, held = np.full(ORDER - 1, _GAP, np.uint32), 0
+        for t in texts:
+            codes = np.concatenate([pad, _codes(t)])
+            for a in range(ORDER - 1, len(codes), CHUNK):
+                before = min(a, ORDER)
+                hashes = _ngram_hashes(codes[a - before : a + CHUNK])
+                self._new.append(([h[before:] for h in hashes], [h[before - 1 : -1] for h in hashes]))
+                held += len(hashes[0])
+                if held >= CHUNK:
+                    self._merge()
+                    held = 0
+        self._merge()
+
+    def _merge(self) -> None:
+        for k in range(ORDER if self._new else 0):
+            here, ahead = ([x[side][k] for x in self._new] for side in (0, 1))
+            low = [[x[side][k - 1] if k else x[side][0] for x in self._new] for side in (0, 1)]
+            keys, counts, tails, heads = self.grams[k]
+            found, first, of = np.unique(np.concatenate([keys, *here]), return_index=True, return_inverse=True)
+            weights = np.concatenate([counts, np.ones(sum(map(len, here)))])
+            self.grams[k] = [found, np.bincount(of, weights, len(found)), np.concatenate([tails, *low[0]])[first], np.concatenate([heads, *low[1]])[first]]
+            self.contexts[k] = np.unique(np.concatenate([self.contexts[k], *ahead]))
+        self._new = []
+
+
 class CharacterModels:
     """The models of all languages; plain arrays, so it is broadcast as it is."""
 
     def __init__(self, texts: dict[str, list[str]]):
         self.languages = sorted(texts)
-        grams: list[list[np.ndarray]] = []
-        contexts: list[list[np.ndarray]] = []
-        pad = np.full(ORDER - 1, _GAP, np.uint32)
-        for lang in self.languages:
-            parts: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
-            before: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
-            for t in texts[lang]:
-                for k, h in enumerate(_ngram_hashes(np.concatenate([pad, _codes(t)]))):
-                    parts[k].append(h[ORDER - 1 :])
-                    before[k].append(h[ORDER - 2 : -1])
-            grams.append([np.concatenate(p) if p else np.zeros(0, np.uint64) for p in parts])
-            contexts.append([np.concatenate(p) if p else np.zeros(0, np.uint64) for p in before])
-        self._fit(grams, contexts)
-
-    def _fit(self, grams: list[list[np.ndarray]], contexts: list[list[np.ndarray]]) -> None:
-        """grams[language][k - 1]: the k-gram that ends with each character; contexts: the one that ends just before it."""
+        self._fit([_Counts(texts[lang]) for lang in self.languages])
+
+    def _fit(self, found: list[_Counts]) -> None:
+        """Tables of float32, filled one language at a time."""
         n_lang = len(self.languages)
         self.index: list[SortedHashes] = []
         self.logp: list[np.ndarray] = []
@@ -124,49 +145,53 @@ class CharacterModels:
         # what each n-gram's tail (one character less of history) and context (one character less at the end) are
         joint = []
         for k in range(ORDER):
-            keys = np.unique(np.concatenate([g[k] for g in (*grams, *contexts)])) if n_lang else np.zeros(0, np.uint64)
+            keys = np.unique(np.concatenate([x for f in found for x in (f.grams[k][0], f.contexts[k])])) if n_lang else np.zeros(0, np.uint64)
             joint.append(keys)
             self.index.append(SortedHashes(keys))
         counts: list[np.ndarray] = []
         tails: list[np.ndarray] = []
         heads: list[np.ndarray] = []
         for k in range(ORDER):
-            own = np.zeros((len(joint[k]), n_lang))
+            own = np.zeros((len(joint[k]), n_lang), np.float32)
             tail = np.zeros(len(joint[k]), np.int64)
             head = np.zeros(len(joint[k]), np.int64)
-            for j in range(n_lang):
-                at = np.searchsorted(joint[k], grams[j][k])
-                own[:, j] = np.bincount(at, minlength=len(joint[k]))
+            for j, f in enumerate(found):
+                keys, times, tail_keys, head_keys = f.grams[k]
+                at = np.searchsorted(joint[k], keys)
+                own[at, j] = times
                 if k:
-                    tail[at] = np.searchsorted(joint[k - 1], grams[j][k - 1])
-                    head[at] = np.searchsorted(joint[k - 1], contexts[j][k - 1])
+                    tail[at] = np.searchsorted(joint[k - 1], tail_keys)
+                    head[at] = np.searchsorted(joint[k - 1], head_keys)
             counts.append(own)
             tails.append(tail)
             heads.append(head)
         # below the highest order, a count is the number of different characters seen before
         for k in range(ORDER - 1):
-            follow = np.zeros_like(counts[k])
-            np.add.at(follow, tails[k + 1], counts[k + 1] > 0)
-            counts[k] = follow
+            for j in range(n_lang):
+                counts[k][:, j] = np.bincount(tails[k + 1], counts[k + 1][:, j] > 0, len(joint[k]))
         size = max(1, int((counts[0] > 0).any(1).sum()))
-        probs: list[np.ndarray] = []
+        self.floor = np.zeros(n_lang, np.float32)
+        probs = np.zeros((0, n_lang), np.float32)
         for k in range(ORDER):
-            c = counts[k]
-            if k == 0:
-                total = c.sum(0)
-                lam = np.where(total > 0, DISCOUNT * (c > 0).sum(0) / np.maximum(total, 1), 1.0)
-                p = np.maximum(c - DISCOUNT, 0) / np.maximum(total, 1) + lam / (size + 1)
-                self.floor = np.log2(lam / (size + 1)).astype(np.float32)
-            else:
-                total = np.zeros((len(joint[k - 1]), n_lang))
-                kinds = np.zeros_like(total)
-                np.add.at(total, heads[k], c)
-                np.add.at(kinds, heads[k], c > 0)
-                lam = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-                self.weight.append(np.log2(lam).astype(np.float32))
-                p = np.maximum(c - DISCOUNT, 0) / np.maximum(total[heads[k]], 1) + lam[heads[k]] * probs[k - 1][tails[k]]
-            probs.append(p)
-            self.logp.append(np.log2(p).astype(np.float32))
+            lower, probs = probs, np.zeros((len(joint[k]), n_lang), np.float32)
+            if k:
+                self.weight.append(np.zeros((len(joint[k - 1]), n_lang), np.float32))
+            for j in range(n_lang):
+                c = counts[k][:, j].astype(np.float64)
+                if k == 0:
+                    total = c.sum()
+                    lam = DISCOUNT * (c > 0).sum() / max(total, 1) if total > 0 else 1.0
+                    p = np.maximum(c - DISCOUNT, 0) / max(total, 1) + lam / (size + 1)
+                    self.floor[j] = np.log2(lam / (size + 1))
+                else:
+                    total = np.bincount(heads[k], c, len(joint[k - 1]))
+                    kinds = np.bincount(heads[k], c > 0, len(joint[k - 1]))
+                    lam = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+                    self.weight[k - 1][:, j] = np.log2(lam)
+                    p = np.maximum(c - DISCOUNT, 0) / np.maximum(total[heads[k]], 1) + lam[heads[k]] * lower[tails[k], j]
+                probs[:, j] = p
+            counts[k] = np.zeros((0, n_lang), np.float32)
+            self.logp.append(np.log2(probs))
 
     def _chunk_logp(self, codes: np.ndarray) -> np.ndarray:
         """log2 of each character's probability, per language."""
@@ -282,15 +307,23 @@ def training_sample(docs: DataFrame, learnable: Column, id_col: str, text_col: s
     )
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "bytes"))).where(F.col("r") <= SAMPLE)
     chosen = ranked.orderBy("r", "lang").limit(SAMPLE * LANGUAGES).collect()
-    ids, used = [], 0
+    share = max(1, SAMPLE_BYTES // max(1, len({row["lang"] for row in chosen})))
+    ids, left = [], {row["lang"]: share for row in chosen}
     for row in chosen:
-        if used + row["bytes"] <= SAMPLE_BYTES:
-            used += row["bytes"]
+        if left[row["lang"]] > 0:
+            left[row["lang"]] -= row["bytes"]
             ids.append(row["id"])
     if not ids:
         return []
-    texts = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(id_col).isin(ids)).select(F.col(id_col), F.col(lang_col).cast("string"), F.col(text_col)).collect()
-    return sorted(((r[1], r[2]) for r in sorted(texts, key=lambda r: (r[0], r[1], r[2] or "")) if r[2]), key=lambda x: hash_order(x[1]))[: len(ids)]
+    picked = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(id_col).isin(ids))
+    texts = picked.select(F.col(id_col), F.col(lang_col).cast("string"), F.substring(text_col, 1, share), F.xxhash64(F.col(id_col), F.lit(17))).collect()
+    left, out = dict.fromkeys(left, share), []
+    for _, lang, text, _ in sorted(texts, key=lambda r: (r[3], r[0], r[1], r[2] or "")):
+        raw = (text or "").encode("utf-8", "surrogatepass")[: max(0, left.get(lang, 0))]
+        if raw:
+            left[lang] -= len(raw)
+            out.append((lang, raw.decode("utf-8", "ignore")))
+    return sorted(out, key=lambda x: hash_order(x[1]))[: len(ids)]
 
 
 def hash_order(text: str) -> int:

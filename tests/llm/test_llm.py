@@ -270,6 +270,16 @@ def test_languages(spark, odd, none):
     assert by[(10_004, "one two")].lang_pred in {"en", "fr", "de", "es"} and by[(10_007, "x" * 300_000)].lang_rejected
 
 
+def test_every_language_has_its_share(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "SAMPLE_BYTES", 4000)
+    rows = [(i, lang * 2000, lang) for i, lang in enumerate("abcd" * 10)] + [(90, "\u00e9" * 9000, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    size = collections.Counter()
+    for lang, text in kneser_ney.training_sample(docs, F.lit(True), "doc_id", "text", "lang"):
+        size[lang] += len(text.encode())
+    assert size == dict.fromkeys("abcde", 800)
+
+
 # -- 6 Jaccard join
 
 
