@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import SEGMENT, mix, span_hashes, string_buffers
+from .kernel import SEGMENT, string_buffers
 
 #: Fragments that a worker remembers; then it starts anew, so memory stays bounded.
 REMEMBERED = 200_000
@@ -110,7 +110,7 @@ class BoundaryBpe:
     def pieces(self, raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int, memoryview, memoryview]]:
         """(text, at, tokens, ids in decimal with a comma after each, decoded bytes) of consecutive parts of the texts of a batch; at: the byte where the part ends.
 
-        The fragments of about SEGMENT bytes at a time are told apart by a hash, each different one is encoded once, and the results are laid out in the order of the text.
+        The fragments of about SEGMENT bytes at a time are told apart by their bytes, each different one is encoded once, and the results are laid out in the order of the text.
         """
         a, end = 0, int(offs[-1])
         while a < end:
@@ -126,13 +126,10 @@ class BoundaryBpe:
                 ends = np.append(ends[ends < len(part)], len(part))
             part = part[: ends[-1]]
             starts = np.concatenate([[0], ends[:-1]])
-            key = mix(span_hashes(part, starts, ends))
-            coded = pa.array(key).dictionary_encode()
+            slices = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(starts, ends[-1])), pa.py_buffer(part)])
+            coded = slices.dictionary_encode()
             which = coded.indices.to_numpy()
-            first = np.empty(len(coded.dictionary), np.int64)
-            first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
-            whole = part.tobytes()
-            entries = self._learn([whole[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist())])
+            entries = self._learn(coded.dictionary.to_pylist())
             tokens = np.array([e[0] for e in entries])[which]
             take = pa.array(which, pa.int32())
             ids, ids_at = _laid_out(pa.array([e[1] for e in entries], pa.large_binary()).take(take))

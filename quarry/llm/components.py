@@ -12,30 +12,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import settle
+from .kernel import discard, settle
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, root: the smallest node reachable; nodes without a link do not appear."""
-    edges = settle(links.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "links")
+    """node, root: the smallest node reachable, as a settled table; nodes without a link do not appear."""
+    first, second = F.col(a), F.col(b)
+    edges = settle(links.where(first != second).select(F.least(first, second).alias("a"), F.greatest(first, second).alias("b")).distinct(), "links")
     maps: list[DataFrame] = []
     while edges.take(1):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root"))
-        hooks = settle(hooks, "hooks")
+        hooks = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "hooks")
+        short = hooks
         for _ in range(2):
-            hooks = hooks.join(hooks.select(F.col("node").alias("root"), F.col("root").alias("up")), "root").select("node", F.col("up").alias("root"))
-        hooks = settle(hooks, "roots")
-        maps.append(hooks)
-        left = hooks.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        right = hooks.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        edges = settle(
-            edges.join(left, "a").join(right, "b").where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links"
-        )
-    if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = maps[0]
-    for later in maps[1:]:
+            short = short.join(short.select(F.col("node").alias("root"), F.col("root").alias("up")), "root").select("node", F.col("up").alias("root"))
+        maps.append(settle(short, "roots"))
+        left = maps[-1].select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        right = maps[-1].select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        apart = edges.join(left, "a").join(right, "b").where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        before, edges = edges, settle(apart, "links")
+        discard(before, hooks)
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    for k, later in enumerate(maps):
         up = later.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        out = out.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+        out = out.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")) if k else later
+    out = settle(out, "components")
+    discard(edges, *maps)
     return out

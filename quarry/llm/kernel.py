@@ -10,6 +10,7 @@ temporaries for the whole text.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,9 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SEGMENT = 1 << 20
-_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-
 #: Bytes of words parted by blanks: everything but 0x20 and 0x09-0x0D.
 BLANK_PARTED = np.array([not (b == 0x20 or 9 <= b <= 13) for b in range(256)])
 #: Bytes of alphanumeric words: 0-9, A-Z, a-z and every byte beyond ASCII.
@@ -31,22 +29,6 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.
 #: Every byte as it is.
 SAME = np.arange(256, dtype=np.uint8)
 
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2**64, at least n of them."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SEGMENT + 1024)
-        tables = []
-        for base in (_MULTIPLIER, _INVERSE):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            tables.append(np.multiply.accumulate(steps))
-        _powers[:] = tables
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser that spreads every input bit over the 64 output bits."""
     x = x ^ (x >> np.uint64(30))
@@ -56,12 +38,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_PLACES = 32
+
+
+def _byte_names(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """A random-looking 64-bit name of a byte at a place of its word."""
+    return mix(mix(place.astype(np.uint64) * np.uint64(256) + byte + np.uint64(0x9E3779B97F4A7C15)))
+
+
+#: The names of all bytes at the first places of a word.
+_TABLE = _byte_names(np.repeat(np.arange(_PLACES), 256), np.tile(np.arange(256, dtype=np.uint64), _PLACES))
+
+
 def span_hashes(part: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A hash of the bytes first:last for each pair, from one running sum over the part."""
-    power, inverse = _power_tables(len(part) + 1)
+    """A hash of the bytes first:last for each pair (in order, apart): the sum of the names of its bytes at their places, mixed."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    begin = int(first[0])
+    part = part[begin:]
+    place = np.arange(len(part), dtype=np.int32) - np.repeat((first - begin).astype(np.int32), np.diff(np.append(first - begin, len(part))))
+    names = _TABLE[(np.minimum(place, _PLACES - 1) << 8) + part]
+    late = np.flatnonzero(place >= _PLACES)
+    if len(late):
+        names[late] = _byte_names(place[late], part[late])
     total = np.zeros(len(part) + 1, np.uint64)
-    np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=total[1:])
-    return (total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64)
+    np.cumsum(names, out=total[1:])
+    return mix(total[last - begin] - total[first - begin] + (last - first).astype(np.uint64))
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +117,7 @@ def word_hashes(raw: np.ndarray, offs: np.ndarray, word: np.ndarray = BLANK_PART
             starts[cuts] = is_word[cuts]
             ends[cuts - 1] = is_word[cuts - 1]
         first, last = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-        hashes.append(mix(span_hashes(fold[part], first, last)))
+        hashes.append(span_hashes(fold[part], first, last))
         begins.append(first + a)
     found = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     where = np.concatenate(begins) if begins else np.zeros(0, np.int64)
@@ -153,16 +155,31 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.nd
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors see; where that is unset (tests), a temporary one."""
+    """A fresh folder below spark.checkpoint.dir, which all executors see; where that is unset, a temporary one in local mode (tests), an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = os.path.join(tempfile.gettempdir(), "quarry-checkpoints")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a table in the shared folder and read it back: the lineage ends there, and a lost executor costs nothing."""
+    """Write df to a table in the shared folder and read it back: the lineage ends there, and a lost executor costs nothing.
+
+    The table stays until discard(); what a result still reads goes with the folder, which belongs to the application.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove settled tables that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._settled_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -3,63 +3,72 @@
 A document's set holds its distinct word n-grams; two documents link where
 ``100 * shared >= percent * union``.  The result is every document's component.
 
-Texts with equal sets are one class throughout, named by a hash of the set.  All
-n-grams have one global order: by hash, those that very many sets hold (``hot``)
-last.  Let need(n) = ceil(percent * n / 100).  A set's prefix is its first
-n - need(n) + spare(n) n-grams; two linked sets share at least
+Texts with equal sets are one class throughout, named by 128 bits of the set.  All
+n-grams have one global order: those that at most ``hot_from`` sets hold (cold) by
+hash, then the others (hot), rarest first; how many sets hold an n-gram is counted
+over all n-grams of all rows.  Let need(n) = ceil(percent * n / 100).  A set's
+prefix is its first n - need(n) + spare(n) n-grams; two linked sets share at least
 min(spare(n1), spare(n2)) n-grams of both prefixes.  So
 
-1. prefixes of the order by hash give the hot n-grams (counts over all rows);
-2. prefixes of the final order are dealt out by n-gram; a class of which too few
-   prefix n-grams occur in another class's prefix can have no partner: it stays alone
-   and its text is not looked at again;
-3. the others meet in blocks, those of one smallest shared n-gram (a hot one if
-   there is any, as these hold large groups together), each block cut
-   into chunks of bounded size that all hold the block's smallest class (the
-   pivot); every chunk is joined by the trie below;
-4. the classes are put into cells of bounded size (those of a block that are
-   connected with its pivot, and the others); cells that share enough prefix
-   n-grams and hold different components are paired, paired cells are regrouped
-   by size, and every pair of these is joined by the trie as well, so no link
-   between components is missed.
-
-The trie holds the sets of a chunk, each ordered with the chunk's common n-grams
+1. two sets that may link either share that many cold prefix n-grams, or a hot
+   one.  A class of which too few prefix n-grams are shared at all can have no
+   partner: it stays alone and its text is not looked at again;
+2. of the others, those that share enough cold n-grams are tied (a cold n-gram is
+   in few sets, so these pairs are few for each set), and those that share a hot
+   n-gram are tied to the least of its holders; the classes that are tied, directly
+   or not, are a family.  Two linked classes are always in one family;
+3. a family of bounded size is one cell; a larger one is cut by size of set, and
+   sets of like size are dealt to cells of bounded size.  Every cell is joined by
+   the trie below, with a few sets that all cells near it hold (pivots), which
+   brings most of a large family into one component;
+4. two cells of a family that may hold linked sets (by size) and are not of one
+   component yet are joined by the trie as well, so no link between components is
+   missed.
+
+The trie holds the sets of a cell, each ordered with the cell's common n-grams
 first, as paths; n-grams without a branch are one node.  A probe walks down it,
 counts what it shares with a node once for all sets below, and leaves a subtree
 when the shared n-grams so far and the remaining lengths cannot reach the
 threshold any more, or when all sets below are known to be connected with it.
 
-What is broadcast: the hot n-grams, at most ``HOT_LIMIT`` (the limit of "hot" doubles
-until they are so few, which changes the order but no result); the ids of the
-texts of step 3 if they are ``PICK_LIMIT`` at most, else they are joined.
+What is broadcast: the hot n-grams, at most ``HOT_LIMIT`` (beyond that, only the
+most frequent count as hot, which changes the order but no result), and a bitmap of
+``FILTER_BITS`` that leaves out most texts of step 1 before they are read again
+(what it lets pass too much is joined out).
 
 Defined results: null, empty and blank texts have no n-grams and are linked with
 nothing; with fewer than n words the whole sequence is one n-gram; repeated ids
 and rows are kept as they come; a null id is never a component's smallest id
-unless all its ids are null.
+unless all its ids are null; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .kernel import BLANK_PARTED, LOWER, mix, settle, shingle_hashes, string_buffers, word_hashes
+from .kernel import BLANK_PARTED, LOWER, discard, mix, settle, shingle_hashes, string_buffers, word_hashes
 
 NGRAM = 4
 PERCENT = 85
 SPARE_EVERY = 25
-HOT_FROM = 32
-HOT_LIMIT = 2_000_000
-PICK_LIMIT = 1_000_000
-CHUNK = 256
+HOT_FROM = 8
+HOT_LIMIT = 1_000_000
+FILTER_BITS = 25
+#: What a cell may weigh: its n-grams, and SET_WEIGHT for each set.
+CELL = 1 << 18
+SET_WEIGHT = 512
+#: Sets whose sizes differ by this factor at most are in one band.
+BAND = 0.05
 TEXT_BYTES = 4 << 20
+#: n-grams that a task gathers before it deals them out.
+PACK = 1 << 19
 
 
 def need(n: int, percent: int) -> int:
@@ -75,11 +84,6 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, n - need(n, percent) + spare(n))
 
 
-def least_shared(n: int, percent: int) -> int:
-    """How many prefix n-grams a set of n shares with any linked set, at least."""
-    return spare(need(n, percent))
-
-
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted set of n-gram hashes of each text; texts are taken a few MB at a time (one at least)."""
     raw, offs = string_buffers(column)
@@ -94,31 +98,20 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
         first = last
 
 
-def set_id(own: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
-    place = mix(np.arange(len(own), dtype=np.uint64) + np.uint64(len(own)))
-    return int(mix(np.array([np.sum(mix(own ^ place), dtype=np.uint64)]))[0].astype(np.int64))
-
-
-def _prefix(own: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cold, hot) n-grams of the prefix, each by hash."""
-    size = prefix_length(len(own), percent)
-    if not len(hot):
-        return own[:size], own[:0]
-    key = (own & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-    is_hot = hot[at] == key
-    cold = own[~is_hot][:size]
-    return cold, own[is_hot][: size - len(cold)]
+def set_id(own: np.ndarray) -> bytes:
+    """128 bits that name a set: two sums over its n-grams, mixed in different ways."""
+    seed = np.uint64(len(own) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    sums = np.array([mix(own + seed).sum(dtype=np.uint64), mix(~own ^ seed).sum(dtype=np.uint64)], np.uint64)
+    return mix(sums + seed).tobytes()
 
 
 class _Seen:
     """Names met lately, so that copies within a task are handled once; forgetting only repeats work."""
 
-    def __init__(self, most: int = 1 << 18):
+    def __init__(self, most: int = 1 << 16):
         self.most, self.names = most, set()
 
-    def add(self, name: int) -> bool:
+    def add(self, name: bytes) -> bool:
         if name in self.names:
             return False
         if len(self.names) >= self.most:
@@ -127,28 +120,101 @@ class _Seen:
         return True
 
 
-def _hot_grams(texts: DataFrame, k: int, percent: int, hot_from: int, hot_limit: int) -> np.ndarray:
-    """Low halves of the n-grams that more than hot_from prefixes hold, sorted."""
+def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each n-gram, by its upper half; sorted n-grams have sorted buckets."""
+    return ((grams >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _low(grams: np.ndarray) -> np.ndarray:
+    return (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The rows bounds[i]:bounds[i+1] of an array as binary values."""
+    values = np.ascontiguousarray(values)
+    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64) * width), pa.py_buffer(values.reshape(-1).view(np.uint8))]).cast(pa.binary())
+
+
+def _unpacked(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return string_buffers(column)[0].view(kind)
+
+
+def _names(ids: np.ndarray) -> pa.Array:
+    """Rows of two 64-bit numbers as 16 bytes each."""
+    return _packed(ids, np.arange(len(ids) + 1))
+
+
+def _buckets(df: DataFrame) -> int:
+    """Four for each shuffle partition: what one holds stays bounded as long as the partitions do."""
+    return max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _hot_grams(texts: DataFrame, k: int, hot_from: int, hot_limit: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ranks) of the n-grams that more than hot_from sets hold, by key; a key is an n-gram's bucket and low half, a rank its place among the hot, rarest first."""
+
+    def deal(grams: np.ndarray) -> pa.RecordBatch:
+        found, counts = np.unique(grams, return_counts=True)
+        once = counts == 1
+        ones, many = found[once], found[~once]
+        edges = np.arange(buckets + 1)
+        parts = [np.searchsorted(_bucket(x, buckets), edges) for x in (ones, many)]
+        columns = [_packed(_low(ones), parts[0]), _packed(_low(many), parts[1]), _packed(counts[~once].astype(np.uint32), parts[1])]
+        return pa.RecordBatch.from_arrays([pa.array(edges[:-1], pa.int32()), *columns], names=["bucket", "ones", "many", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Seen()
+        seen, held, size = _Seen(), [], 0
         for batch in batches:
-            parts = [(own[: prefix_length(len(own), percent)] & np.uint64(0xFFFFFFFF)).astype(np.uint32) for own in _sets(batch.column(1), k) if len(own) and seen.add(set_id(own))]
-            if parts:
-                grams, counts = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int32)), pa.array(counts.astype(np.int32))], names=["g", "n"])
-
-    counts = texts.mapInArrow(run, "g int, n int").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") > hot_from)
+            for own in _sets(batch.column(0), k):
+                if len(own) and seen.add(set_id(own)):
+                    held.append(own)
+                    size += len(own)
+                if size >= PACK:
+                    yield deal(np.concatenate(held))
+                    held, size = [], 0
+        if held:
+            yield deal(np.concatenate(held))
+
+    def add_up(part: pa.Table) -> pa.Table:
+        ones, many, times = (_unpacked(part[c], np.uint32) for c in ("ones", "many", "times"))
+        keys = np.concatenate([ones, many])
+        order = np.argsort(keys, kind="stable")
+        keys, weights = keys[order], np.concatenate([np.ones(len(ones), np.uint32), times])[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        total = np.add.reduceat(weights, first, dtype=np.int64) if len(keys) else first
+        hot = total > hot_from
+        bucket = part["bucket"][0].as_py() if len(part) else 0
+        return pa.table({"key": keys[first[hot]].astype(np.int64) | np.int64(bucket << 32), "n": total[hot]})
+
+    counts = texts.select("text").mapInArrow(run, "bucket int, ones binary, many binary, times binary").groupBy("bucket").applyInArrow(add_up, "key long, n long")
     counts = settle(counts, "hot")
     steps = [hot_from << i for i in range(40)]
     sizes = counts.agg(*[F.count(F.when(F.col("n") > s, 1)).alias(f"s{i}") for i, s in enumerate(steps)]).first()
     limit = next(s for i, s in enumerate(steps) if sizes[i] <= hot_limit)
-    got = counts.where(F.col("n") > limit).select("g").toPandas()["g"].to_numpy(np.int32)
-    return np.sort(got.view(np.uint32))
+    got = counts.where(F.col("n") > limit).select("key", "n").toPandas()
+    discard(counts)
+    keys, n = got["key"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    ranks = np.empty(len(keys), np.int32)
+    ranks[np.lexsort((keys, n))] = np.arange(len(keys))
+    order = np.argsort(keys)
+    return keys[order].astype(np.uint64), ranks[order]
+
 
+def _prefix(own: np.ndarray, hot: tuple[np.ndarray, np.ndarray], buckets: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cold, hot) n-grams of the prefix."""
+    size = prefix_length(len(own), percent)
+    keys, ranks = hot
+    if not len(keys):
+        return own[:size], own[:0]
+    key = (_bucket(own, buckets) << np.uint64(32)) | (own & np.uint64(0xFFFFFFFF))
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    is_hot = keys[at] == key
+    cold, warm = own[~is_hot][:size], own[is_hot]
+    return cold, warm[np.lexsort((warm, ranks[at[is_hot]]))[: size - len(cold)]]
 
-def _signatures(texts: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """Per row: id, sid, n, cold and hot prefix n-grams (null where this task has given them for the same set)."""
+
+def _signatures(texts: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    """Per row: id, sid, n, cold (packed) and hot prefix n-grams (null where this task has given them for the same set)."""
     hot_grams = texts.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,47 +226,101 @@ def _signatures(texts: DataFrame, k: int, percent: int, hot: np.ndarray) -> Data
                 sids.append(sid)
                 sizes.append(len(own))
                 fresh = sid is not None and seen.add(sid)
-                cold, warm = _prefix(own, hot_grams.value, percent) if fresh else (None, None)
-                colds.append(cold.view(np.int64) if fresh else None)
+                cold, warm = _prefix(own, hot_grams.value, buckets, percent) if fresh else (None, None)
+                colds.append(cold.tobytes() if fresh else None)
                 hots.append(warm.view(np.int64) if fresh else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(colds, pa.list_(pa.int64())), pa.array(hots, pa.list_(pa.int64()))], names=["id", "sid", "n", "cold", "hot"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(colds, pa.binary()), pa.array(hots, pa.list_(pa.int64()))], names=["id", "sid", "n", "cold", "hot"])
+
+    made = settle(texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, sid binary, n long, cold binary, hot array<long>"), "signatures")
+    hot_grams.destroy()
+    return made
+
+
+def _shared_cold(rows: DataFrame, buckets: int) -> DataFrame:
+    """g, sid, n: the cold prefix n-grams that several classes hold.
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, sid long, n long, cold array<long>, hot array<long>")
+    An n-gram that hot_from sets hold at most, as each task counts them, so a bucket has no large group.
+    """
 
+    def deal(grams: list[np.ndarray], ids: list[bytes], sizes: list[int]) -> pa.RecordBatch:
+        lengths = list(map(len, grams))
+        g = np.concatenate(grams)
+        order = np.argsort(g)
+        owner = np.repeat(np.arange(len(grams)), lengths)[order]
+        g = g[order]
+        bounds = np.searchsorted(_bucket(g, buckets), np.arange(buckets + 1))
+        names = np.frombuffer(b"".join(ids), np.uint64).reshape(-1, 2)
+        columns = [_packed(g, bounds), _packed(names[owner], bounds), _packed(np.array(sizes, np.uint32)[owner], bounds)]
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets), pa.int32()), *columns], names=["bucket", "grams", "ids", "sizes"])
 
-def _full_sets(texts: DataFrame, k: int, wanted: DataFrame, pick_limit: int) -> DataFrame:
-    """sid, grams (packed 64-bit n-grams, sorted) of the sets wanted (id, sid), one row each."""
-    spark = texts.sparkSession
-    few = wanted.select("id").where("id is not null").limit(pick_limit + 1).toPandas()["id"]
-    pick = None
-    if len(few) <= pick_limit and pd.api.types.is_integer_dtype(few.dtype):
-        pick = spark.sparkContext.broadcast(np.sort(few.to_numpy(np.int64)))
-        rows = texts
-    else:
-        rows = texts.join(wanted.select(F.col("id").alias("_w")).distinct(), F.col("id").eqNullSafe(F.col("_w")), "left_semi")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, ids, sizes, held = [], [], [], 0
+        for batch in batches:
+            for sid, n, cold in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                grams.append(np.frombuffer(cold, np.uint64))
+                ids.append(sid)
+                sizes.append(n)
+                held += len(grams[-1])
+                if held >= PACK:
+                    yield deal(grams, ids, sizes)
+                    grams, ids, sizes, held = [], [], [], 0
+        if grams:
+            yield deal(grams, ids, sizes)
+
+    def meet(part: pa.Table) -> pa.Table:
+        g, sizes = _unpacked(part["grams"], np.uint64), _unpacked(part["sizes"], np.uint32)
+        ids = _unpacked(part["ids"], np.uint64).reshape(-1, 2)
+        order = np.lexsort((ids[:, 1], ids[:, 0], g))
+        g, ids, sizes = g[order], ids[order], sizes[order]
+        fresh = np.append(True, (g[1:] != g[:-1]) | (ids[1:] != ids[:-1]).any(1))[: len(g)]
+        g, ids, sizes = g[fresh], ids[fresh], sizes[fresh]
+        same = g[1:] == g[:-1]
+        shared = (np.append(same, False) | np.append(False, same))[: len(g)]
+        return pa.table({"g": pa.array(g[shared].view(np.int64)), "sid": _names(ids[shared]), "n": pa.array(sizes[shared].astype(np.int64))})
+
+    listed = rows.where("octet_length(cold) > 0").select("sid", "n", "cold")
+    return settle(listed.mapInArrow(run, "bucket int, grams binary, ids binary, sizes binary").groupBy("bucket").applyInArrow(meet, "g long, sid binary, n long"), "shared")
+
+
+def _id_bitmap(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the hashed ids (column spot), packed; made slice by slice in Spark."""
+    slices = 32
+    width = (1 << FILTER_BITS) // slices
+
+    def pack(part: pa.Table) -> pa.Table:
+        bits = np.zeros(width, bool)
+        bits[np.asarray(part["at"])] = True
+        return pa.table({"slice": part["slice"].slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    spots = ids.select("spot").distinct().select(F.floor(F.col("spot") / width).cast("int").alias("slice"), (F.col("spot") % width).alias("at"))
+    whole = np.zeros((slices, width // 8), np.uint8)
+    for row in spots.groupBy("slice").applyInArrow(pack, "slice int, bits binary").collect():
+        whole[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
+    return whole.reshape(-1)
+
+
+def _full_sets(texts: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+    """sid, grams (packed 64-bit n-grams, sorted) of the sets wanted (id, sid), once for each task at most."""
+    spot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("spot")
+    bitmap = texts.sparkSession.sparkContext.broadcast(_id_bitmap(wanted.where("id is not null").select(spot)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for batch in batches:
-            if pick is not None:
-                ids = batch.column(0)
-                nulls = np.asarray(ids.is_null())
-                own_ids = np.asarray(ids.fill_null(0)).astype(np.int64)
-                at = np.minimum(np.searchsorted(pick.value, own_ids), max(0, len(pick.value) - 1))
-                keep = nulls | (pick.value[at] == own_ids if len(pick.value) else np.zeros(len(own_ids), bool))
-                batch = batch.filter(pa.array(keep))
+            at = np.asarray(batch.column(0))
+            keep = np.asarray(batch.column(1)) | ((bitmap.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
             sids, packed = [], []
-            for own in _sets(batch.column(1), k):
+            for own in _sets(batch.column(2).filter(pa.array(keep)), k):
                 sid = set_id(own)
                 if len(own) and seen.add(sid):
                     sids.append(sid)
                     packed.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(packed, pa.binary())], names=["sid", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(packed, pa.binary())], names=["sid", "grams"])
 
-    made = rows.mapInArrow(run, "sid long, grams binary")
-    return made.join(wanted.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"])
+    made = texts.select(spot, F.col("id").isNull().alias("nameless"), "text").mapInArrow(run, "sid binary, grams binary")
+    sets = settle(made.join(wanted.select("sid"), "sid", "left_semi"), "sets")
+    bitmap.destroy()
+    return sets
 
 
 class PrefixTree:
@@ -296,8 +416,8 @@ class _Forest:
         return True
 
 
-def join_chunk(sids: np.ndarray, packed: list[bytes], known: np.ndarray, percent: int, probing: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect the sets of a chunk as all its links would; known: components known so far (equal where connected).
+def join_cell(packed: list[bytes], known: list, percent: int, probing: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (places of two sets) that connect the sets of a cell as all its links would; known: components known so far (equal where connected).
 
     probing: which of them are held against the others, if not all against all.
     """
@@ -307,8 +427,8 @@ def join_chunk(sids: np.ndarray, packed: list[bytes], known: np.ndarray, percent
     at = targets[tree.order]  # the set at each place of the tree
     probes = at if probing is None else np.flatnonzero(probing)
     forest = _Forest(len(sets))
-    first: dict[int, int] = {}
-    for i, c in enumerate(known.tolist()):
+    first: dict = {}
+    for i, c in enumerate(known):
         forest.join(first.setdefault(c, i), i)
     links = []
     for place, i in enumerate(probes.tolist()):
@@ -319,110 +439,96 @@ def join_chunk(sids: np.ndarray, packed: list[bytes], known: np.ndarray, percent
         for k in tree.probe(tree.path(sets[i]), len(sets[i]), percent, skip):
             j = int(at[k])
             if j != i and forest.join(i, j):
-                links.append((int(sids[i]), int(sids[j])))
+                links.append((i, j))
     return links
 
 
-def _joined_chunks(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+def _joined_cells(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """rows: keys, sid, known, probing (null: all against all), grams.  a, b: links."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("sid").sort_values("sid", ignore_index=True)
-        probing = None if part["probing"].isna().any() else part["probing"].to_numpy(bool)
-        few = len(part) < 2 or (probing is not None and (probing.all() or not probing.any()))
-        links = [] if few else join_chunk(part["sid"].to_numpy(), part["grams"].tolist(), part["known"].to_numpy(), percent, probing)
-        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
-
-    return rows.groupBy(*keys).applyInPandas(run, "a long, b long")
-
-
-def ngram_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = NGRAM, percent: int = PERCENT, hot_from: int = HOT_FROM, hot_limit: int = HOT_LIMIT, pick_limit: int = PICK_LIMIT, chunk: int = CHUNK
-) -> DataFrame:
+    def run(part: pa.Table) -> pa.Table:
+        by = {sid: i for i, sid in enumerate(part["sid"].to_pylist())}  # a set may come from several tasks
+        sids = sorted(by)
+        part = part.take(pa.array([by[s] for s in sids], pa.int64()))
+        probing = None if part["probing"].null_count else np.asarray(part["probing"]).astype(bool)
+        few = len(sids) < 2 or (probing is not None and (probing.all() or not probing.any()))
+        links = [] if few else join_cell(part["grams"].to_pylist(), part["known"].to_pylist(), percent, probing)
+        return pa.table({"a": pa.array([sids[i] for i, _ in links], pa.binary()), "b": pa.array([sids[j] for _, j in links], pa.binary())})
+
+    return rows.groupBy(*keys).applyInArrow(run, "a binary, b binary")
+
+
+def candidates(rows: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """sid, n, family: the classes that may have partners; two that may link are in one family.  rows: as _signatures gives them; shared: as _shared_cold does."""
+    warm = rows.where("size(hot) > 0").select("sid", "n", "hot").dropDuplicates(["sid"])
+    tally = shared.select("sid", "n", F.lit(1).alias("c")).unionByName(warm.select("sid", "n", F.size("hot").alias("c"))).groupBy("sid").agg(F.min("n").alias("n"), F.sum("c").alias("c"))
+    hopeful = settle(tally.where(F.col("c") >= F.expr(f"1 + floor(floor(({percent} * n + 99) / 100) / {SPARE_EVERY})")).select("sid", "n"), "hopeful")
+    cold = shared.join(hopeful.select("sid"), "sid", "left_semi")
+    x, y = (cold.select("g", F.col("sid").alias(s), F.col("n").alias(f"{s}_n")) for s in ("x", "y"))
+    least, most = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
+    met = x.join(y, (x["g"] == y["g"]) & (F.col("x") < F.col("y")) & (least * 100 >= most * percent))
+    ties = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.min(least).alias("n")).where(F.col("c") >= F.expr(f"1 + floor(n / {SPARE_EVERY})")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    held = warm.join(hopeful.select("sid"), "sid", "left_semi").select("sid", F.explode("hot").alias("g"))
+    stars = held.join(held.groupBy("g").agg(F.min("sid").alias("b")), "g").select(F.col("sid").alias("a"), "b").distinct()
+    families = connected_components(ties.unionByName(stars))
+    found = settle(hopeful.join(families, hopeful["sid"] == families["node"]).select("sid", "n", F.col("root").alias("family")), "candidates")
+    discard(hopeful, families)
+    return found
+
+
+def in_cells(found: DataFrame, cell: int) -> DataFrame:
+    """sid, n, family, band, cell, pivot: a family that weighs no more than a cell is one (band null), a larger one is cut into cells of like size of set."""
+    weight = F.sum(F.col("n") + SET_WEIGHT)
+    whole = found.groupBy("family").agg(weight.alias("weight"))
+    rows = found.join(whole, "family").withColumn("band", F.when(F.col("weight") > cell, F.floor(F.log(F.col("n").cast("double")) / BAND))).drop("weight")
+    bands = rows.where("band is not null").groupBy("family", "band").agg(F.ceil(weight / cell).alias("parts"), F.min("sid").alias("pivot"))
+    rows = rows.join(bands, ["family", "band"], "left")
+    name = F.concat_ws("-", F.hex("family"), "band", F.pmod(F.xxhash64("sid"), F.col("parts")))
+    return rows.select("sid", "n", "family", "band", name.alias("cell"), (F.col("sid") == F.col("pivot")).alias("pivot"))
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = NGRAM, percent: int = PERCENT, hot_from: int = HOT_FROM, hot_limit: int = HOT_LIMIT, cell: int = CELL) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), class_id (equal where the sets are)."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    hot = _hot_grams(texts, k, percent, hot_from, hot_limit)
-    rows = settle(_signatures(texts, k, percent, hot), "signatures")
-    listed = rows.where("cold is not null")
-    by_gram = Window.partitionBy("g")
-    cold = listed.select("sid", "n", F.explode("cold").alias("g"))
-    cold = cold.withColumns({"lo": F.min("sid").over(by_gram), "hi": F.max("sid").over(by_gram)}).where("lo != hi").select("g", "sid", "n")
-    cold = settle(cold, "shared")
-    enough = F.expr(f"1 + floor(floor(({percent} * n + 99) / 100) / {SPARE_EVERY})")
-    tally = cold.groupBy("sid").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("c"), F.lit(None).cast("long").alias("warm"), F.min("g").alias("cold"))
-    warm = listed.where(F.size("hot") > 0).select("sid", "n", F.size("hot").cast("long").alias("c"), F.array_min("hot").alias("warm"), F.lit(None).cast("long").alias("cold"))
-    hopeful = tally.unionByName(warm).groupBy("sid").agg(F.min("n").alias("n"), F.sum("c").alias("c"), F.coalesce(F.min("warm"), F.min("cold")).alias("block")).where(F.col("c") >= enough)
-    hopeful = settle(hopeful.select("sid", "n", "block"), "hopeful")
-    places = rows.where("sid is not null").join(hopeful.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id"))
-    sets = settle(_full_sets(texts, k, places, pick_limit), "sets")
-
-    # every class with the others of its block, chunk by chunk
-    blocks = hopeful.groupBy("block").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("pivot")).where("size > 1")
-    chunks = F.ceil(F.col("size") / chunk).cast("int")
-    member = hopeful.join(blocks, "block").select("block", F.pmod(F.xxhash64("sid"), chunks).cast("int").alias("part"), "sid")
-    centre = blocks.select("block", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("part"), F.col("pivot").alias("sid"))
-    dealt = member.unionByName(centre).distinct().join(sets, "sid").withColumns({"known": F.col("sid"), "probing": F.lit(None).cast("boolean")})
-    links = settle(_joined_chunks(dealt, ["block", "part"], percent), "met")
-    known = settle(connected_components(links), "known")
-
-    # what is left between components
-    roots = known.select(F.col("node").alias("sid"), "root")
-    state = hopeful.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    centres = blocks.join(roots, blocks["pivot"] == roots["sid"], "left").select("block", F.coalesce("root", "pivot").alias("centre"))
-    state = state.join(centres, "block", "left").withColumn("inner", F.coalesce(F.col("root") == F.col("centre"), F.lit(False)))
-    parts = state.groupBy("block", "inner").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
-    cell = F.xxhash64("block", "inner", F.pmod(F.xxhash64("sid"), F.col("parts")))
-    state = settle(state.join(parts, ["block", "inner"]).select("sid", "n", "root", cell.alias("cell")), "state")
-    hot_rows = listed.where(F.size("hot") > 0).select("sid", F.explode("hot").alias("g"))
-    shared = cold.select("sid", "g").unionByName(hot_rows).join(state.select("sid", "cell", "root"), "sid")
-    spread = settle(shared.groupBy("g", "cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "spread")
-    mixed = spread.groupBy("g").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l != h").select("g")
-    pairs = settle(cell_pairs(spread.join(mixed, "g", "left_semi").select("g", "cell"), state, percent), "pairs")
-    cells = settle(regrouped(pairs, state, chunk), "cells")
-    pairs = settle(wide_pairs(pairs, cells, percent), "wide")
-    inside = cells.select("sid", F.col("wide").alias("cell"), F.col("root").alias("known"))
-    left = pairs.select("x", "y", F.col("x").alias("cell"), F.when(F.col("x") != F.col("y"), F.lit(True)).alias("probing"))
-    right = pairs.where("x != y").select("x", "y", F.col("y").alias("cell"), F.lit(False).alias("probing"))
-    again = left.unionByName(right).join(inside, "cell").join(sets, "sid")
-    more = settle(_joined_chunks(again, ["x", "y"], percent), "more")
-    final = connected_components(links.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b"))).unionByName(more)) if more.take(1) else known
+    buckets = _buckets(docs)
+    rows = _signatures(texts, k, percent, _hot_grams(texts, k, hot_from, hot_limit, buckets), buckets)
+    shared = _shared_cold(rows, buckets)
+    found = candidates(rows, shared, percent)
+    discard(shared)
+    state = settle(in_cells(found, cell), "cells")
+    places = rows.where("sid is not null").join(state.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id"))
+    sets = _full_sets(texts, k, places)
+
+    # every cell on its own, with the pivots of the bands near its own
+    reach = math.ceil(math.log(100 / percent) / BAND) + 1
+    pivots = state.where("pivot").select("family", F.col("band").alias("p_band"), "sid")
+    cells = state.where("band is not null").select("family", "band", "cell").distinct()
+    guests = cells.join(pivots, "family").where(F.abs(F.col("band") - F.col("p_band")) <= reach).select("cell", "sid")
+    dealt = state.select("cell", "sid").unionByName(guests).distinct().join(sets, "sid").withColumns({"known": F.col("sid"), "probing": F.lit(None).cast("boolean")})
+    links = settle(_joined_cells(dealt, ["cell"], percent), "met")
+    known = connected_components(links)
+
+    # pairs of cells of a large family that are not of one component yet
+    large = state.where("band is not null").join(known.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "n", "family", "band", "cell", F.coalesce("root", "sid").alias("known"))
+    large = settle(large, "large")
+    pairs = cell_pairs(large, reach, percent)
+    inside = large.select("sid", "cell", "known")
+    left = pairs.select("x", "y", F.col("x").alias("cell"), F.lit(True).alias("probing"))
+    right = pairs.select("x", "y", F.col("y").alias("cell"), F.lit(False).alias("probing"))
+    more = settle(_joined_cells(left.unionByName(right).join(inside, "cell").join(sets, "sid"), ["x", "y"], percent), "more")
+    final = connected_components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)) if more.take(1) else known
 
     smallest = rows.where("sid is not null").groupBy("sid").agg(F.min("id").alias("first"))
     placed = smallest.join(final.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
     named = settle(placed.join(placed.groupBy("root").agg(F.min("first").alias("component")), "root").select("sid", "component"), "named")
-    return rows.select("id", "sid", "n").join(named, "sid", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.col("sid").alias("class_id"))
+    discard(found, state, sets, links, large, more, known, final)
+    return rows.select("id", "sid", "n").join(named, "sid", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.hex("sid").alias("class_id"))
 
 
-def cell_pairs(rows: DataFrame, state: DataFrame, percent: int) -> DataFrame:
-    """x, y: cells, or a cell and itself, that may hold linked sets of different components.  rows: g, cell; state: sid, n, root, cell.
-
-    Two linked sets share spare() of the smaller one's prefix n-grams, so two cells that share fewer have no link.
-    """
-    about = state.groupBy("cell").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    one = rows.join(about, "cell")
-    x = one.select("g", *[F.col(c).alias(f"x_{c}") for c in ("cell", "least", "most", "lo", "hi")])
-    y = one.select("g", *[F.col(c).alias(f"y_{c}") for c in ("cell", "least", "most", "lo", "hi")])
-    parted = (F.least("x_lo", "y_lo") != F.greatest("x_hi", "y_hi")) & (F.col("x_most") * 100 >= F.col("y_least") * percent) & (F.col("y_most") * 100 >= F.col("x_least") * percent)
-    met = x.join(y, (x["g"] == y["g"]) & (F.col("x_cell") <= F.col("y_cell")) & parted)
-    counted = met.groupBy(F.col("x_cell").alias("x"), F.col("y_cell").alias("y")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("x_least", "y_least")).alias("n"))
-    return counted.where(F.col("c") >= F.expr(f"1 + floor(n / {SPARE_EVERY})")).select("x", "y")
-
-
-def regrouped(pairs: DataFrame, state: DataFrame, chunk: int) -> DataFrame:
-    """sid, n, root, cell, wide: sets of cells that are paired, directly or not, put into cells of like size, so that each is dealt out few times."""
-    tied = connected_components(pairs.where("x != y"), "x", "y").select(F.col("node").alias("cell"), F.col("root").alias("label"))
-    met = pairs.select(F.col("x").alias("cell")).unionByName(pairs.select(F.col("y").alias("cell"))).distinct()
-    rows = state.join(met, "cell").join(tied, "cell", "left").withColumns({"label": F.coalesce("label", "cell"), "band": F.floor(F.log(F.col("n").cast("double")) / F.lit(0.05))})
-    parts = rows.groupBy("label", "band").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
-    wide = F.xxhash64("label", "band", F.pmod(F.xxhash64("sid"), F.col("parts")))
-    return rows.join(parts, ["label", "band"]).select("sid", "n", "root", "cell", wide.alias("wide"))
-
-
-def wide_pairs(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
-    """x, y: the wide cells that the pairs' sets are in, but for those of one component or of sizes too far apart."""
-    span = cells.groupBy("cell", "wide").agg(F.lit(1).alias("_"))
-    about = cells.groupBy("wide").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    side = lambda c: span.join(about, "wide").select(F.col("cell").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("wide", "least", "most", "lo", "hi")])
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
-    fits = (F.least("x_lo", "y_lo") != F.greatest("x_hi", "y_hi")) & (F.col("x_most") * 100 >= F.col("y_least") * percent) & (F.col("y_most") * 100 >= F.col("x_least") * percent)
-    return both.where(fits).select(F.least("x_wide", "y_wide").alias("x"), F.greatest("x_wide", "y_wide").alias("y")).distinct()
+def cell_pairs(large: DataFrame, reach: int, percent: int) -> DataFrame:
+    """x, y: different cells of a family whose sizes fit and that hold sets of different components."""
+    about = large.groupBy("family", "band", "cell").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("known").alias("lo"), F.max("known").alias("hi"))
+    x, y = (about.select("family", *[F.col(c).alias(f"{s}_{c}") for c in ("band", "cell", "least", "most", "lo", "hi")]) for s in ("x", "y"))
+    near = (F.abs(F.col("x_band") - F.col("y_band")) <= reach) & (F.col("x_most") * 100 >= F.col("y_least") * percent) & (F.col("y_most") * 100 >= F.col("x_least") * percent)
+    apart = F.least("x_lo", "y_lo") != F.greatest("x_hi", "y_hi")
+    return x.join(y, (x["family"] == y["family"]) & (F.col("x_cell") < F.col("y_cell")) & near & apart).select(F.col("x_cell").alias("x"), F.col("y_cell").alias("y"))
