@@ -34,13 +34,15 @@ from pyspark.sql import functions as F
 from .kernel import settle
 
 SAMPLE = 16_384
-LEAF = 1024
+LEAF = 256
 SMALLEST_LEAF = 4
 BRANCHES = 8
 PROBES = 100
 RECALL = 0.94
 BLOCK = 4096
 CHUNK = 2048
+#: Queries of one matrix product.
+ROWS = 256
 SEED = 11
 
 
@@ -153,8 +155,9 @@ def _truth(rows: DataFrame, queries: pd.DataFrame, k: int) -> dict[int, np.ndarr
                 del own[k:]
         yield pd.DataFrame([(i, s, n, v) for i, own in best.items() for s, n, v in own], columns=["i", "s", "n", "v"])
 
-    found = rows.select("vec_id", "key", "v").mapInPandas(run, "i int, s double, n long, v array<double>").toPandas()
-    found = found.sort_values(["i", "s", "n"]).drop_duplicates(["i", "s", "n"]).groupby("i").head(k)
+    found = rows.select("vec_id", "key", "v").mapInPandas(run, "i int, s double, n long, v array<double>")
+    nearest = F.row_number().over(Window.partitionBy("i").orderBy("s", "n"))  # of a task's best, so few rows for each probe
+    found = found.dropDuplicates(["i", "s", "n"]).withColumn("r", nearest).where(F.col("r") <= k).drop("r").toPandas()
     return {int(i): _matrix(g["v"]) for i, g in found.groupby("i")}
 
 
@@ -215,14 +218,21 @@ def nearest_neighbours(table: DataFrame, is_query: Column, id_col: str = "vec_id
         if not len(left) or not len(right):
             return pd.DataFrame({"key": [], "found": []})
         p = np.stack([np.frombuffer(x) for x in left["v"]])
+        q = np.stack([np.frombuffer(x) for x in right["v"]])
         ids = left["ids"].tolist()
         first = np.array([i[0] for i in ids])
+        size = np.sqrt((p**2).sum(1)).max() * np.sqrt((q**2).sum(1))
         out = []
-        for key, raw in zip(right["key"], right["v"]):
-            s = (p * np.frombuffer(raw)).sum(1)
-            top = np.lexsort((first, -s))[: k + 1]
-            best = sorted((-float(s[j]), int(i)) for j in top for i in ids[j])[: k + 1]
-            out.append((key, [{"s": x, "i": i} for x, i in best]))
+        for a in range(0, len(q), ROWS):
+            rough = q[a : a + ROWS] @ p.T
+            most = min(k + 1, len(p))
+            limit = np.partition(rough, len(p) - most, axis=1)[:, len(p) - most] - 1e-12 * size[a : a + ROWS]
+            for i in range(len(rough)):  # what may be among the best is scored again in the order of the components
+                near = np.flatnonzero(rough[i] >= limit[i])
+                s = (p[near] * q[a + i]).sum(1)
+                top = np.lexsort((first[near], -s))[:most]
+                best = sorted((-float(s[j]), int(x)) for j in top for x in ids[near[j]])[: k + 1]
+                out.append((right["key"].iloc[a + i], [{"s": x, "i": n} for x, n in best]))
         return pd.DataFrame(out, columns=["key", "found"])
 
     found = a.groupBy("leaf", "block", "chunk").cogroup(b.groupBy("leaf", "block", "chunk")).applyInPandas(score, "key binary, found array<struct<s: double, i: long>>")
