@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import BLANK_PARTED, SAME, mix, string_buffers, word_hashes
+from .kernel import BLANK_PARTED, SAME, lean, mix, string_buffers, word_hashes
 
 DIMS = 64
 VOCABULARY = 16_384
@@ -186,23 +186,32 @@ class QualityModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str, text_col: str, label_col: str) -> tuple[list[str], np.ndarray]:
-    """At most SAMPLE whole texts with their labels: those with the smallest hashed ids, learnable rows only."""
+    """At most SAMPLE whole texts of SAMPLE_BYTES in all with their labels: those with the smallest hashed ids, learnable rows only; of rows with one id the least text.
+
+    Sizes are looked at first, so no more than the sample comes to the driver.
+    """
     few = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & learnable)
         .groupBy(F.col(id_col).alias("id"))
-        .agg(F.min(label_col).alias("label"))
-        .orderBy(F.xxhash64("id", F.lit(29)), "id")
+        .agg(F.min(label_col).cast("double").alias("label"))
+        .withColumn("h", F.xxhash64("id", F.lit(29)))
+        .orderBy("h", "id")
         .limit(SAMPLE)
     )
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(few), "id")
-    texts, marks, used = [], [], 0
-    for r in sorted(rows.collect(), key=lambda r: (r["id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["text"])):
-        used += len(r["text"])
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    sizes = texts.join(F.broadcast(few), "id").groupBy("id").agg(F.min(F.octet_length("text")).alias("size"), F.first("label").alias("label"), F.first("h").alias("h"))
+    ids, used = [], 0
+    for r in sorted(sizes.collect(), key=lambda r: (r["h"], str(r["id"]))):
+        used += r["size"]
         if used > SAMPLE_BYTES:
             break
-        texts.append(r["text"])
-        marks.append(float(r["label"]))
-    return texts, np.array(marks)
+        ids.append((r["id"], r["size"], r["label"], r["h"]))
+    if not ids:
+        return [], np.zeros(0)
+    chosen = docs.sparkSession.createDataFrame(ids, f"id {texts.schema['id'].dataType.simpleString()}, size long, label double, h long")
+    rows = texts.join(F.broadcast(chosen), "id").where(F.octet_length("text") == F.col("size")).groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("h").alias("h")).collect()
+    rows = sorted(rows, key=lambda r: (r["h"], str(r["id"])))
+    return [r["text"] for r in rows], np.array([r["label"] for r in rows])
 
 
 def held_out(id_col: str) -> Column:
@@ -220,4 +229,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.score(batch.column(1)), pa.float64())], names=["doc_id", "score"])
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, score double")
+    return picked.mapInArrow(lean(run), f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, score double")
