@@ -8,7 +8,9 @@ confidence and support, and none of whose parts does so as surely, are kept.
 They are matched by an inverted index from token to rules: a rule fires when
 all its tokens are there, and a URL is blocked by any rule that fires.
 
-All tokens of a URL count, and support and confidence alone bound the rules.  Two
+All tokens of a URL count; support (a share and a least number of bad URLs) and
+confidence (itself, and its lower bound over the share of bad URLs among all)
+alone bound the rules.  Two
 exact steps keep the mining small: a token that is in too few bad URLs can be in
 no rule, and of tokens that are always in the same URLs one is mined for all,
 as no rule that is kept holds two of them (either alone is as sure).  Only
@@ -19,7 +21,8 @@ labelled token sets move.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, no
 rule and the method's verdict on no tokens, allow; null labels teach nothing;
-repeated rows are kept as they come; with no labels nothing is blocked by rule.
+repeated rows are kept as they come; with no labels nothing is blocked by a mined
+rule; columns of the names that are made are replaced.
 """
 
 from __future__ import annotations
@@ -36,6 +39,10 @@ from pyspark.sql import functions as F
 RULES: Mapping[tuple[str, str], str] = {("net", "/"): "block", ("example.net", "/en/"): "allow", ("example.com", "/de/"): "block", ("org", "/fr/"): "allow"}
 SUPPORT = 0.001
 CONFIDENCE = 0.4
+#: Bad URLs that a rule must have been seen on, however few the labels are.
+LEAST = 20
+#: A rule's confidence must lie this many standard deviations over the share of bad URLs among all (Wilson's lower bound).
+SURE = 3.0
 _BAD = "=bad"
 
 
@@ -63,22 +70,31 @@ def rule_for(host: Column, path: Column, rules: Mapping[tuple[str, str], str] =
 
 
 def tokens_of(url: Column) -> Column:
-    """The different tokens: host labels, path segments that are words, query keys."""
+    """The different tokens: host labels, path segments, query keys."""
     host, path = host_of(url), path_of(url)
     query = F.coalesce(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit(""))
     named = lambda kind, parts: F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.concat(F.lit(kind + ":"), x))
-    segments = F.filter(F.split(path, "/"), lambda x: ~x.rlike("^[0-9]"))
+    segments = F.split(path, "/")
     keys = F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1))
     every = F.concat(named("h", F.split(host, r"\.")), named("p", segments), named("q", keys))
     return F.coalesce(F.array_distinct(every), F.array().cast("array<string>"))
 
 
-def mine_rules(urls: DataFrame, url_col: str, bad_col: str, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[list[str], float, float]]:
-    """(tokens, confidence, support) of the rules kept, the surest first."""
+def lower_bound(share: float, n: float, deviations: float) -> float:
+    """Wilson's lower bound of a share seen in n cases."""
+    if n <= 0:
+        return 0.0
+    square = deviations**2 / n
+    return (share + square / 2 - deviations * math.sqrt(share * (1 - share) / n + square / n / 4)) / (1 + square)
+
+
+def mine_rules(urls: DataFrame, url_col: str, bad_col: str, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST, sure: float = SURE) -> list[tuple[list[str], float, float]]:
+    """(tokens, confidence, support) of the rules kept, the surest first; all that labels teach by chance is left out."""
     from pyspark.ml.fpm import FPGrowth
 
     known = urls.where(F.col(bad_col).isNotNull()).select(F.array_sort(tokens_of(F.col(url_col))).alias("items"), F.col(bad_col).alias("bad"))
-    least = max(1, math.ceil(support * known.count()))
+    total = known.agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad")).first()
+    least = max(1, least, math.ceil(support * total["n"]))
     # bounded: a token set has few tokens, and each token kept is in the support's share of all sets
     each = known.select(F.explode("items").alias("t"), "bad", *[F.xxhash64("items", F.lit(i)).cast("decimal(20,0)").alias(f"h{i}") for i in (0, 1)])
     found = each.groupBy("t").agg(F.count_if("bad").alias("n_bad"), F.count(F.lit(1)).alias("n"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1")).where(F.col("n_bad") >= least).collect()
@@ -89,8 +105,10 @@ def mine_rules(urls: DataFrame, url_col: str, bad_col: str, support: float = SUP
         return []
     members = {tokens[0]: tokens for tokens in alike.values()}
     mined = F.concat(F.filter("items", lambda t: t.isin(list(members))), F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>")))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(known.select(mined.alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=least / total["n"], minConfidence=confidence).fit(known.select(mined.alias("items")))
     rows = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _BAD)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").collect()
+    base = total["bad"] / total["n"]
+    rows = [r for r in rows if r["support"] * total["n"] > least - 0.5 and lower_bound(r["confidence"], r["support"] * total["n"] / r["confidence"], sure) >= base]
     kept: list[tuple[list[str], float, float]] = []
     by_first: dict[str, list[tuple[set[str], float]]] = {}
     for r in sorted(rows, key=lambda r: (len(r["tokens"]), -r["confidence"], -r["support"], r["tokens"])):
@@ -117,12 +135,12 @@ def _fired(tokens: Column, rules: list[tuple[list[str], float, float]]) -> Colum
     return F.array_sort(F.transform(whole, lambda x: x["r"]))
 
 
-def judge_urls(pages: DataFrame, labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def judge_urls(pages: DataFrame, labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST, sure: float = SURE) -> DataFrame:
     """All columns of pages, and host, path, rule, verdict, mined_rule (the tokens of the surest rule that fires, else null).
 
     labelled: rows with a URL and a boolean bad_col.
     """
-    rules = mine_rules(labelled, url_col, bad_col, support, confidence)
+    rules = mine_rules(labelled, url_col, bad_col, support, confidence, least, sure)
     url = F.col(url_col)
     names = F.array(*[F.lit(" ".join(t)) for t, _, _ in rules]) if rules else F.array().cast("array<string>")
     out = pages.withColumns({"__host": host_of(url), "__path": path_of(url), "__fired": _fired(tokens_of(url), rules)})
