@@ -10,13 +10,15 @@ and fall back by the context's weight where a language has not seen it.  The
 lowest cross-entropy per character wins.
 
 Calibration on a fold of the sample that was not counted gives the temperature
-of the reported probability and the cross-entropy beyond which a text is
-rejected as none of the languages.
+of the reported probability and, for each language, the cross-entropy beyond
+which a text is rejected as none of the languages (the fold's largest, less what
+chance adds to short texts, and a margin).
 
 The models are fitted on a bounded sample of labelled rows (``SAMPLE`` texts a
 language at most, those whose hashed id is smallest, and at most
 ``SAMPLE_BYTES`` of text in all, of which each language has the same share; the
-text that passes the share is cut there); every text is scored whole.
+text that passes the share is cut there); every text is scored whole.  Which texts
+and how much of each is settled from their sizes, so no more comes to the driver.
 
 Defined results: a null text, or one without any letter, is ``und`` with score
 0 and rejected; texts are scored as they are, in lower case; rows without a
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import mix
+from .kernel import lean, mix
 
 ORDER = 4
 SAMPLE = 400
@@ -42,8 +44,12 @@ SAMPLE_BYTES = 24 << 20
 LANGUAGES = 200
 DISCOUNT = 0.75
 CHUNK = 1 << 18
-#: How far beyond the worst calibration text a cross-entropy must lie to be rejected, in bits a character.
-REJECT_MARGIN = 2.0
+#: Texts that are Python strings at a time.
+ROWS = 1000
+#: How far beyond the calibration texts of its language a cross-entropy must lie to be rejected, in bits a character:
+#: so much, and SHORT / sqrt(characters) that chance may add to a text.
+REJECT_MARGIN = 1.75
+SHORT = 4.0
 _GAP = 0x110000  # stands before and after each text
 
 
@@ -267,7 +273,7 @@ class LanguageIdentifier:
             else:
                 by.setdefault(lang, []).append(text)
         self.models = CharacterModels(by)
-        self.temperature, self.limit = 1.0, math.inf
+        self.temperature, self.limits = 1.0, np.full(len(self.models.languages), math.inf)
         held = [(lang, t) for lang, t in held if lang in by and t]
         if held and len(by) > 1:
             bits = self.models.cross_entropies([t for _, t in held])
@@ -278,7 +284,12 @@ class LanguageIdentifier:
                 losses.append((-np.log(np.maximum(p, 1e-12)).mean(), t))
             self.temperature = min(losses)[1]
         if held:
-            self.limit = float(self.models.cross_entropies([t for _, t in held]).min(1).max()) + REJECT_MARGIN
+            bits = self.models.cross_entropies([t for _, t in held])
+            best = bits.argmin(1)
+            beyond = bits.min(1) - SHORT / np.sqrt([len(t) for _, t in held])
+            for j in range(len(self.limits)):
+                own = beyond[best == j] if (best == j).any() else beyond
+                self.limits[j] = float(own.max()) + REJECT_MARGIN + 2 / math.sqrt(len(own))  # few texts say less
 
     @staticmethod
     def _softmax(bits: np.ndarray, temperature: float) -> np.ndarray:
@@ -296,7 +307,7 @@ class LanguageIdentifier:
             best = bits.argmin(1)
             p = self._softmax(bits, self.temperature)[np.arange(len(best)), best]
             for i, b, s, h in zip(fit, best.tolist(), p.tolist(), bits.min(1).tolist()):
-                lang[i], score[i], rejected[i] = names[b], s, h > self.limit
+                lang[i], score[i], rejected[i] = names[b], s, h > self.limits[b] + SHORT / math.sqrt(len(texts[i]))
         return lang, score, rejected
 
 
@@ -306,24 +317,24 @@ def training_sample(docs: DataFrame, learnable: Column, id_col: str, text_col: s
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.lit(17)).alias("h"), F.octet_length(text_col).alias("bytes")
     )
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "bytes"))).where(F.col("r") <= SAMPLE)
-    chosen = ranked.orderBy("r", "lang").limit(SAMPLE * LANGUAGES).collect()
+    chosen = ranked.orderBy("r", "lang", "id").limit(SAMPLE * LANGUAGES).collect()
     share = max(1, SAMPLE_BYTES // max(1, len({row["lang"] for row in chosen})))
-    ids, left = [], {row["lang"]: share for row in chosen}
+    left = {row["lang"]: share for row in chosen}
+    parts: dict[tuple, tuple] = {}
     for row in chosen:
-        if left[row["lang"]] > 0:
-            left[row["lang"]] -= row["bytes"]
-            ids.append(row["id"])
-    if not ids:
+        most = min(left[row["lang"]], row["bytes"])
+        if most > 0 and (row["id"], row["lang"]) not in parts:
+            left[row["lang"]] -= most
+            parts[row["id"], row["lang"]] = (row["id"], row["lang"], row["bytes"], most)
+    if not parts:
         return []
-    picked = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(id_col).isin(ids))
-    texts = picked.select(F.col(id_col), F.col(lang_col).cast("string"), F.substring(text_col, 1, share), F.xxhash64(F.col(id_col), F.lit(17))).collect()
-    left, out = dict.fromkeys(left, share), []
-    for _, lang, text, _ in sorted(texts, key=lambda r: (r[3], r[0], r[1], r[2] or "")):
-        raw = (text or "").encode("utf-8", "surrogatepass")[: max(0, left.get(lang, 0))]
-        if raw:
-            left[lang] -= len(raw)
-            out.append((lang, raw.decode("utf-8", "ignore")))
-    return sorted(out, key=lambda x: hash_order(x[1]))[: len(ids)]
+    kind = rows.schema["id"].dataType.simpleString()
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(list(parts.values()), f"id {kind}, lang string, bytes int, most int"))
+    texts = docs.where(learnable).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.octet_length(text_col).alias("bytes"), F.col(text_col).cast("string").alias("text"))
+    cut = F.substring("text", F.lit(1), F.col("most"))  # as many characters as bytes at most
+    found = texts.join(wanted, ["id", "lang", "bytes"]).groupBy("id", "lang", "most").agg(F.min(cut).alias("text")).collect()
+    out = [(r["lang"], r["text"].encode("utf-8", "surrogatepass")[: r["most"]].decode("utf-8", "ignore")) for r in found]
+    return sorted(out, key=lambda x: (hash_order(x[1]), x))
 
 
 def hash_order(text: str) -> int:
@@ -333,25 +344,28 @@ def hash_order(text: str) -> int:
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learnable: Column | None = None) -> DataFrame:
-    """All columns of docs, and lang_pred, lang_score, lang_rejected.
+    """All columns of docs, and lang_pred, lang_score, lang_rejected (which replace columns of these names).
 
     learnable: rows whose label may be learnt from; those whose crc32 of the id modulo 4 is not 2 unless given.
     """
     learnable = ~held_out(id_col) if learnable is None else learnable
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(LanguageIdentifier(training_sample(docs, learnable, id_col, text_col, lang_col)))
-    names = docs.columns
+    made = {"lang_pred": "string", "lang_score": "double", "lang_rejected": "boolean"}
+    docs = docs.drop(*made)
+    names, schema = docs.columns, docs.schema
     at = names.index(text_col)
-    schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score, rejected = model.value.predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=[*names, "lang_pred", "lang_score", "lang_rejected"])
-
-    for name, kind in (("lang_pred", "string"), ("lang_score", "double"), ("lang_rejected", "boolean")):
-        schema = schema if name in schema.names else type(schema)([*schema.fields]).add(name, kind)
-    return docs.mapInArrow(run, schema)
+            texts = batch.column(at)
+            found = [model.value.predict(texts.slice(a, ROWS).to_pylist()) for a in range(0, len(texts), ROWS)]
+            lang, score, rejected = ([x for f in found for x in f[k]] for k in range(3))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*names, *made])
+
+    for name, kind in made.items():
+        schema = type(schema)([*schema.fields]).add(name, kind)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def held_out(id_col: str) -> Column:
