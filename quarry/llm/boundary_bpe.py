@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import SEGMENT, string_buffers
+from .kernel import SEGMENT, lean, string_buffers
 
 #: Fragments that a worker remembers; then it starts anew, so memory stays bounded.
 REMEMBERED = 200_000
@@ -171,7 +171,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.concatenate(x) if x else np.zeros(0, np.int32) for x in ids], pa.list_(pa.int32()))], names=["doc_id", "token_ids"])
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, token_ids array<int>")
+    return picked.mapInArrow(lean(run), f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, token_ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -184,7 +184,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     picked = encoded.select("doc_id", "token_ids")
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, text string")
+    return picked.mapInArrow(lean(run), f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,4 +213,4 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
             )
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return picked.mapInArrow(lean(run), f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

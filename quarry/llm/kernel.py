@@ -9,11 +9,13 @@ temporaries for the whole text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -154,6 +156,24 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.nd
     return out, out_bounds
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives free memory back to the system when its task ends: a Python worker lives on through all stages of a pipeline."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors see; where that is unset, a temporary one in local mode (tests), an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

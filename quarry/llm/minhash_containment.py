@@ -15,7 +15,8 @@ The items are the queries: they are taken in blocks of at most ``BLOCK`` items
 Shingles are of five words (0-9, a-z after folding A-Z, and characters beyond
 ASCII); an item of fewer words is one shingle, and is found in documents of
 exactly these words.  Defined results: null and empty texts and items hold
-nothing and match nothing; repeated rows on either side are kept as they come.
+nothing and match nothing; repeated rows on either side are kept as they come,
+and so are null ids.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import ALPHANUMERIC, LOWER, shingle_hashes, string_buffers, word_hashes
+from .kernel import ALPHANUMERIC, LOWER, lean, shingle_hashes, string_buffers, word_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -132,7 +133,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                     names=["doc_id", "item_id", "n_shared", "n_item", "containment"],
                 )
 
-        part = picked.mapInArrow(run, schema)
+        part = picked.mapInArrow(lean(run), schema)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], schema)
 
@@ -143,7 +144,18 @@ def _arrow(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: str) -> DataFrame:
-    """The documents that hold none of the items."""
-    leaks = find_leaks(docs, items, id_col, text_col, **more).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs[id_col] == leaks["_leak"], "left_anti")
+def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """The documents that hold none of the items, all columns; every row is decided where it is read, so its id may be null or repeated."""
+    at = docs.columns.index(text_col)
+    out = docs
+    for ids, texts in item_blocks(items, item_id, item_text, block):
+        sketches = docs.sparkSession.sparkContext.broadcast(ItemSketches(ids, texts, threshold))
+
+        def run(batches: Iterator[pa.RecordBatch], sketches=sketches) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[r for r, _, _ in sketches.value.search(batch.column(at).cast(pa.string()))]] = False
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(lean(run), docs.schema)
+    return out

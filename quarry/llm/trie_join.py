@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .kernel import BLANK_PARTED, LOWER, discard, mix, settle, shingle_hashes, string_buffers, word_hashes
+from .kernel import BLANK_PARTED, LOWER, discard, lean, mix, settle, shingle_hashes, string_buffers, word_hashes
 
 NGRAM = 4
 PERCENT = 85
@@ -186,7 +186,7 @@ def _hot_grams(texts: DataFrame, k: int, hot_from: int, hot_limit: int, buckets:
         bucket = part["bucket"][0].as_py() if len(part) else 0
         return pa.table({"key": keys[first[hot]].astype(np.int64) | np.int64(bucket << 32), "n": total[hot]})
 
-    counts = texts.select("text").mapInArrow(run, "bucket int, ones binary, many binary, times binary").groupBy("bucket").applyInArrow(add_up, "key long, n long")
+    counts = texts.select("text").mapInArrow(lean(run), "bucket int, ones binary, many binary, times binary").groupBy("bucket").applyInArrow(add_up, "key long, n long")
     counts = settle(counts, "hot")
     steps = [hot_from << i for i in range(40)]
     sizes = counts.agg(*[F.count(F.when(F.col("n") > s, 1)).alias(f"s{i}") for i, s in enumerate(steps)]).first()
@@ -231,7 +231,7 @@ def _signatures(texts: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, n
                 hots.append(warm.view(np.int64) if fresh else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(colds, pa.binary()), pa.array(hots, pa.list_(pa.int64()))], names=["id", "sid", "n", "cold", "hot"])
 
-    made = settle(texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, sid binary, n long, cold binary, hot array<long>"), "signatures")
+    made = settle(texts.mapInArrow(lean(run), f"id {texts.schema['id'].dataType.simpleString()}, sid binary, n long, cold binary, hot array<long>"), "signatures")
     hot_grams.destroy()
     return made
 
@@ -279,7 +279,7 @@ def _shared_cold(rows: DataFrame, buckets: int) -> DataFrame:
         return pa.table({"g": pa.array(g[shared].view(np.int64)), "sid": _names(ids[shared]), "n": pa.array(sizes[shared].astype(np.int64))})
 
     listed = rows.where("octet_length(cold) > 0").select("sid", "n", "cold")
-    return settle(listed.mapInArrow(run, "bucket int, grams binary, ids binary, sizes binary").groupBy("bucket").applyInArrow(meet, "g long, sid binary, n long"), "shared")
+    return settle(listed.mapInArrow(lean(run), "bucket int, grams binary, ids binary, sizes binary").groupBy("bucket").applyInArrow(meet, "g long, sid binary, n long"), "shared")
 
 
 def _id_bitmap(ids: DataFrame) -> np.ndarray:
@@ -317,7 +317,7 @@ def _full_sets(texts: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
                     packed.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(packed, pa.binary())], names=["sid", "grams"])
 
-    made = texts.select(spot, F.col("id").isNull().alias("nameless"), "text").mapInArrow(run, "sid binary, grams binary")
+    made = texts.select(spot, F.col("id").isNull().alias("nameless"), "text").mapInArrow(lean(run), "sid binary, grams binary")
     sets = settle(made.join(wanted.select("sid"), "sid", "left_semi"), "sets")
     bitmap.destroy()
     return sets

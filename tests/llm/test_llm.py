@@ -94,6 +94,13 @@ def test_components(spark):
 # -- 1 chats
 
 
+def test_a_conversation_of_very_many_turns(spark):
+    long = spark.range(100_000).select(F.lit(1).alias("conv_id"), "id", F.lit("user").alias("role"), F.concat(F.lit("t"), "id").alias("text")).withColumnRenamed("id", "turn")
+    both = long.unionByName(long.where("turn < 60000").withColumn("conv_id", F.lit(2)))
+    got = chat_snapshots.collapse_snapshots(both).collect()
+    assert [(r.conv_id, r.n_turns, r.n_copies) for r in got] == [(1, 100_000, 1)]
+
+
 def test_snapshots(spark):
     turns = lambda c, *texts: [(c, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(texts)]
     log = turns(1, "a", "b", "c") + turns(2, "a", "b") + turns(3, "a") + turns(4, "a", "b", "c") + turns(5, "a", "x") + turns(6, "ab") + [(7, None, None, None), (7, None, None, None), (None, 0, "user", "a"), (8, 0, "user", "<|im_end|>")]
@@ -288,6 +295,15 @@ def test_languages(spark, odd, none):
     assert by[(10_004, "one two")].lang_pred in {"en", "fr", "de", "es"} and by[(10_007, "x" * 300_000)].lang_rejected
 
 
+def test_unseen_languages_are_rejected(spark):
+    strange = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.", "Все люди рождаются свободными и равными в своём достоинстве и правах.", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są obdarzeni rozumem i sumieniem."]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").withColumn("lang_pred", F.lit("clash"))
+    more = spark.createDataFrame([(90_000 + i, t, None, "clash") for i, t in enumerate(strange)], "doc_id long, text string, lang string, lang_pred string")
+    out = kneser_ney.identify_languages(docs.unionByName(more)).collect()
+    assert all(r.lang_rejected for r in out if r.doc_id >= 90_000) and sum(r.lang_rejected for r in out if r.doc_id < 90_000) <= 1
+    assert {r.lang_pred for r in out if r.doc_id < 90_000} <= {"en", "fr", "de", "es"}
+
+
 def test_every_language_has_its_share(spark, monkeypatch):
     monkeypatch.setattr(kneser_ney, "SAMPLE_BYTES", 4000)
     rows = [(i, lang * 2000, lang) for i, lang in enumerate("abcd" * 10)] + [(90, "\u00e9" * 9000, "e")]
@@ -340,6 +356,21 @@ def test_ngram_components(spark, odd, options):
     assert got == plain_components(rows + ODD)
 
 
+def test_leaks_of_nameless_documents(spark):
+    items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog tonight")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "so the quick brown fox jumps over the lazy dog tonight again"), (None, "clean"), (2, None), (3, "clean"), (3, "clean")], "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    kept = minhash_containment.without_leaks(docs, items).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in kept) == {(None, "clean"): 1, (2, None): 1, (3, "clean"): 2}
+    assert minhash_containment.without_leaks(docs.where("false"), items).count() == 0 and minhash_containment.without_leaks(docs, items.where("false")).count() == 5
+
+
+def test_quality_of_named_documents(spark):
+    docs = spark.createDataFrame([(f"d{i}", "good text " * (1 + i % 3) if i % 2 else "BAD!! text!! " * 3) for i in range(60)] * 2, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(60)], "doc_id string, quality int")
+    out = random_index_quality.score_quality(docs, labels, learnable=F.lit(True)).collect()
+    assert len(out) == 120 and np.mean([r.score for r in out if int(r.doc_id[1:]) % 2]) > np.mean([r.score for r in out if int(r.doc_id[1:]) % 2 == 0]) + 0.3
+
+
 def test_ngram_components_of_nothing(none):
     assert trie_join.ngram_components(none).count() == 0
 
@@ -475,11 +506,21 @@ def test_rules(spark, url, host, path, rule, verdict):
 def test_mined_rules(spark):
     rows = [(f"http://spam.x.com/{k}", True) for k in range(30)] + [(f"http://good.x.com/win/{k}", False) for k in range(30)] + [(f"http://mixed{k % 3}.com/win/?buy={k}", True) for k in range(30)] + [(f"http://mixed{k % 3}.com/", False) for k in range(30)]
     known = spark.createDataFrame(rows, "url string, bad boolean")
-    rules = url_rules.mine_rules(known, "url", "bad", support=0.05, confidence=0.9)
+    rules = url_rules.mine_rules(known, "url", "bad", support=0.05, confidence=0.9, least=1, sure=0)
     kept = [t for t, _, _ in rules]
     assert ["h:spam"] in kept and ["q:buy"] in kept and not any(len(t) > 1 and set(k) < set(t) for t in kept for k in kept)
     pages = spark.createDataFrame([("http://spam.x.com/new",), ("http://good.x.com/win/1",), ("http://other.com/win?buy=1",)], "url string")
-    assert [r.verdict for r in url_rules.judge_urls(pages, known, support=0.05, confidence=0.9).collect()] == ["block", "allow", "block"]
+    assert [r.verdict for r in url_rules.judge_urls(pages, known, support=0.05, confidence=0.9, least=1, sure=0).collect()] == ["block", "allow", "block"]
+
+
+def test_chance_makes_no_rules(spark):
+    rng = random.Random(6)
+    rows = [(f"http://h{rng.randrange(9)}.com/{rng.choice('abcdefgh')}/{rng.randrange(1000)}?{rng.choice('xyz')}=1", rng.random() < 0.26) for _ in range(1500)]
+    known = spark.createDataFrame(rows + [("http://ads.io/1", True)] * 30, "url string, bad boolean")
+    assert [t for t, _, _ in url_rules.mine_rules(known, "url", "bad")] == [["h:ads"], ["h:io"], ["p:1"]] or [t for t, _, _ in url_rules.mine_rules(known, "url", "bad")] == [["h:ads"], ["h:io"]]
+    odd = spark.createDataFrame([(None, "was"), ("http://ads.io/" + "x/" * 50_000, "was")], "url string, host string")
+    assert [(r.host, r.verdict) for r in url_rules.judge_urls(odd, known).collect()] == [("", "allow"), ("ads.io", "block")]
+    assert url_rules.judge_urls(odd.where("false"), known.where("false")).count() == 0
 
 
 def test_all_tokens_are_mined_and_matched(spark):
@@ -489,16 +530,16 @@ def test_all_tokens_are_mined_and_matched(spark):
     four = ["a", "b", "c", "d"]
     urls += [("http://y.org/" + "/".join(four), True)] * 12 + [("http://y.org/" + "/".join(x for x in four if x != out), False) for out in four for _ in range(12)]
     known = spark.createDataFrame(urls, "url string, bad boolean")
-    rules = [t for t, _, _ in url_rules.mine_rules(known, "url", "bad", support=0.05, confidence=0.9)]
+    rules = [t for t, _, _ in url_rules.mine_rules(known, "url", "bad", support=0.05, confidence=0.9, least=1, sure=0)]
     assert rules == [["p:a", "p:b", "p:c", "p:d"], ["q:buy"]]
     many = "/".join(f"z{i}" for i in range(20))
     pages = spark.createDataFrame([(f"http://v.edu/{many}?{'&'.join(f'k{i}=1' for i in range(20))}&buy=1",), (f"http://v.edu/{many}/d/c/b/a",), (f"http://v.edu/{many}/d/c/b",)], "url string")
-    assert [r.verdict for r in url_rules.judge_urls(pages, known, support=0.05, confidence=0.9).collect()] == ["block", "block", "allow"]
+    assert [r.verdict for r in url_rules.judge_urls(pages, known, support=0.05, confidence=0.9, least=1, sure=0).collect()] == ["block", "block", "allow"]
 
 
 def test_tokens_always_together(spark):
     known = spark.createDataFrame([("http://x.io/p/q/r", True)] * 5 + [("http://x.io/p/q/s", False)] * 5 + [("http://u.io/r", False)] * 5, "url string, bad boolean")
-    rules = [(t, c) for t, c, _ in url_rules.mine_rules(known, "url", "bad", support=0.05, confidence=0.9)]
+    rules = [(t, c) for t, c, _ in url_rules.mine_rules(known, "url", "bad", support=0.05, confidence=0.9, least=1, sure=0)]
     assert rules == [(["h:x", "p:r"], 1.0), (["p:p", "p:r"], 1.0), (["p:q", "p:r"], 1.0)]
 
 
