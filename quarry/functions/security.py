@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Personal-data patterns and their full masks, in the order of masking (fixed values).
@@ -72,6 +72,25 @@ def mask_hash(text: Column) -> Column:
     return _mask_found(text, lambda m: F.sha2(m, 256))
 
 
+def pii_findings(text: Column) -> Column:
+    """All matches of every kind as structs of kind, start (from 0), length and masked text, by start; matches of different kinds may overlap."""
+    every = [_found(text, kind, pattern, mask) for kind, (pattern, mask) in PII.items()]
+    return F.array_sort(F.coalesce(F.concat(*every), F.array().cast("array<struct<start:int,length:int,kind:string,masked:string>>")))
+
+
+def _found(text: Column, kind: str, pattern: str, mask: str) -> Column:
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    between = F.transform(F.split(text, pattern, -1), F.length)
+    sizes = F.transform(found, F.length)
+    total = lambda lengths, n: F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda a, x: a + x)
+    return F.transform(found, lambda m, i: F.struct((total(between, i + 1) + total(sizes, i)).alias("start"), F.length(m).alias("length"), F.lit(kind).alias("kind"), F.lit(mask).alias("masked")))
+
+
+def masked_response(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
+    """A result with personal data masked in every text column but those to skip."""
+    return df.withColumns({c: mask_full(F.col(c)) for c, kind in df.dtypes if kind == "string" and c not in skip})
+
+
 def pii_counts(text: Column) -> dict[str, Column]:
     return {kind: F.regexp_count(text, F.lit(pattern)).cast("long") for kind, (pattern, _) in PII.items()}
 

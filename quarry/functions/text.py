@@ -150,3 +150,45 @@ def gfm_table(rows: Column) -> Column:
     lines = F.transform(rows, lambda r: line(filled(r)))
     rule = line(F.array_repeat(F.lit("---"), width))
     return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")
+
+
+def safe_name(name: Column) -> Column:
+    """A name that may be a folder: separators become underscores, 100 characters at most."""
+    return F.left(F.translate(name, "/: ", "___"), F.lit(100))
+
+
+def citation(title: Column, first_page: Column, last_page: Column, date: Column, version: Column) -> Column:
+    """The title with its pages, or else its date in brackets, or else its version."""
+    pages = F.when(first_page.isNotNull(), F.concat(F.lit("(p."), first_page.cast("string"), F.when(last_page > first_page, F.concat(F.lit("-"), last_page.cast("string"))).otherwise(""), F.lit(")")))
+    dated = F.when(F.coalesce(date, F.lit("")) != "", F.concat(F.lit("["), date, F.lit("]")))
+    versioned = F.when(F.coalesce(version, F.lit("")) != "", F.concat(F.lit("("), version, F.lit(")")))
+    return F.concat_ws(" ", title, F.coalesce(pages, dated, versioned))
+
+
+def labelled(code: Column, labels: dict[str, str]) -> Column:
+    """The label of a code, itself where there is none."""
+    table = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]) if labels else F.create_map().cast("map<string,string>")
+    return F.coalesce(F.try_element_at(table, code), code)
+
+
+def usage(prompt: Column, answer: Column) -> Column:
+    """Characters of a question and its answer, and of both."""
+    a, b = F.length(F.coalesce(prompt, F.lit(""))).cast("long"), F.length(F.coalesce(answer, F.lit(""))).cast("long")
+    return F.struct(a.alias("prompt"), b.alias("completion"), (a + b).alias("total"))
+
+
+def letters(text: Column) -> Column:
+    """How many Hangul syllables and how many Latin letters a text has."""
+    return F.struct(F.regexp_count(text, F.lit("[가-힣]")).cast("long").alias("hangul"), F.regexp_count(text, F.lit("[A-Za-z]")).cast("long").alias("latin"))
+
+
+def inside_root(path: Column) -> Column:
+    """Whether a relative path stays below its root once its dots are resolved: no step goes above it."""
+    steps = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    depth = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit(0).alias("least")), lambda a, x: F.struct((a["at"] + F.when(x == "..", -1).otherwise(1)).alias("at"), F.least(a["least"], a["at"] + F.when(x == "..", -1).otherwise(1)).alias("least")))
+    return F.coalesce((depth["least"] >= 0) & ~F.startswith(path, F.lit("/")), F.lit(False))
+
+
+def attempt_timeout(kilobytes: Column, weight: Column, attempt: Column) -> Column:
+    """Seconds allowed: 600 for each 8 KB (8 at least), times the weight, doubled with every attempt."""
+    return F.lit(600.0) * F.greatest(kilobytes, F.lit(8.0)) / 8 * weight * F.pow(F.lit(2.0), attempt)

@@ -96,11 +96,16 @@ def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def derived_roles(docs: DataFrame, globs: DataFrame) -> DataFrame:
-    """The roles whose read globs fit each document's path; prefixes of the globs are met by equality of path parts, so no pair of a document and a glob is tried that cannot fit."""
-    top = lambda c: F.regexp_extract(c, r"^/([^/*]*)", 1)
-    g = globs.where("mode = 'read'").select("role", "pattern", top(F.col("pattern")).alias("top"), F.regexp_replace("pattern", r"\*+$", "").alias("prefix"))
-    met = docs.select("doc_id", "path", top(F.col("path")).alias("top")).join(g, "top").where(F.startswith("path", F.col("prefix")))
-    return met.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("role")), ",").alias("roles"))
+    """The roles whose read globs fit each document's path; documents that none fits are left out.
+
+    The globs are configuration (a row for each role and pattern), so they are compiled into one expression for each role: no join, no key.
+    """
+    by_role: dict[str, list[str]] = {}
+    for r in globs.where("mode = 'read'").select("role", "pattern").distinct().orderBy("role", "pattern").collect():
+        by_role.setdefault(r["role"], []).append(r["pattern"])
+    fits = [F.when(glob_match(F.col("path"), patterns), F.lit(role)) for role, patterns in by_role.items()]
+    roles = F.array_compact(F.array(*fits)) if fits else F.array().cast("array<string>")
+    return docs.select("doc_id", F.array_join(roles, ",").alias("roles")).where("roles <> ''")
 
 
 def resolved_permissions(users: DataFrame, templates: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -86,3 +86,21 @@ def grade_shares(docs: DataFrame) -> DataFrame:
     """grade, n, share in percent of all documents."""
     counts = docs.groupBy(F.coalesce("security_grade", F.lit(1)).alias("grade")).agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("share", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 1))
+
+
+def error_rate(rows: DataFrame) -> DataFrame:
+    """Rows, errors and the share of errors in per cent, one place."""
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "error").alias("errors")).withColumn("rate", F.when(F.col("n") > 0, F.round(F.col("errors") * 100.0 / F.col("n"), 1)).otherwise(0.0))
+
+
+def layer_totals(base: DataFrame, personal: DataFrame) -> DataFrame:
+    """Nodes of the base and of the personal layer and their sum (an id in both counts twice)."""
+    rows = base.select(F.lit(True).alias("base")).unionByName(personal.select(F.lit(False).alias("base")))
+    return rows.agg(F.count_if("base").alias("base"), F.count_if(~F.col("base")).alias("personal"), F.count(F.lit(1)).alias("total"))
+
+
+def user_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """user_id, n_nodes, n_edges of every personal graph."""
+    n = nodes.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_nodes"))
+    e = edges.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    return n.join(e, "user_id", "full").select("user_id", F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))

@@ -17,10 +17,15 @@ def secure_knn(chunks: DataFrame, query: list[float], visible: Column, k: int =
     return scored.orderBy("distance", key).limit(k)
 
 
-def hybrid_search(chunks: DataFrame, query: list[float], words: str, visible: Column, k: int = 10, keyword_weight: float = 0.3, key: str = "doc_id") -> DataFrame:
-    """Three times k candidates (100 at most) by distance, ranked again by closeness and by the words that they hold."""
+def hybrid_search(chunks: DataFrame, query: list[float], words: str, visible: Column, k: int = 10, keyword_weight: float = 0.3, key: str = "doc_id", texts: DataFrame | None = None) -> DataFrame:
+    """Three times k candidates (100 at most) by distance, ranked again by closeness and by the words that they hold.
+
+    texts: key and text, where chunks have none: only the candidates' texts are fetched then.
+    """
     asked = sorted(set(re.findall("[a-zA-Z0-9가-힣]+", words.lower())))
-    near = secure_knn(chunks, query, visible, min(3 * k, 100), key).withColumn("hits", keyword_hits(asked, F.col("text")))
+    near = secure_knn(chunks, query, visible, min(3 * k, 100), key)
+    near = texts.join(F.broadcast(near), key) if texts is not None else near  # at most 100 rows
+    near = near.withColumn("hits", keyword_hits(asked, F.col("text")))
     every = Window.partitionBy()  # at most 100 rows
     close = 1.0 - F.col("distance") / F.greatest(F.max("distance").over(every), F.lit(1e-9))
     found = F.col("hits") / F.greatest(F.max("hits").over(every), F.lit(1))

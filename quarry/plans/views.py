@@ -94,6 +94,14 @@ VIEWS: dict[str, str] = {
           ('underwriter', 'read', '/Public/**'), ('underwriter', 'read', '/Shared/**'), ('underwriter', 'write', '/Public/underwriting/**'),
           ('viewer', 'read', '/Public/**'), ('viewer', 'read', '/Shared/**')
         ) AS g(role, mode, pattern)""",
+    "v_node_sources": """
+        SELECT concat('nation:', CAST(n_nationkey AS STRING)) AS id, concat(CASE n_nationkey % 5 WHEN 1 THEN '/Shared/it/n' WHEN 2 THEN '/Private/user2/n' ELSE '/Public/n' END, CAST(n_nationkey AS STRING), '.md') AS source_path FROM {nation}
+        UNION ALL SELECT concat('part:', CAST(p_partkey AS STRING)), concat(CASE p_partkey % 3 WHEN 1 THEN '/Shared/underwriting/p' ELSE '/Public/p' END, CAST(p_partkey % 50 AS STRING), '.md') FROM {part}""",
+    "v_members": """
+        SELECT concat('region:', CAST(n_regionkey AS STRING)) AS community, concat('nation:', CAST(n_nationkey AS STRING)) AS id, n_nationkey AS ord FROM {nation}
+        UNION ALL SELECT concat('region:', CAST(r_regionkey AS STRING)), concat('region:', CAST(r_regionkey AS STRING)), r_regionkey FROM {region}""",
+    "v_communities": """
+        SELECT concat('region:', CAST(r_regionkey AS STRING)) AS community, r_name AS name, CASE WHEN r_regionkey % 2 = 0 THEN concat('about ', lower(r_name)) ELSE '' END AS summary, 1 + r_regionkey % 3 AS size FROM {region}""",
     "v_departments": """SELECT * FROM (VALUES ('it'), ('underwriting')) AS d(department)""",
 }
 

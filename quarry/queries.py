@@ -36,10 +36,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from quarry import queries_graph  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from quarry import queries_graph  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -58,6 +62,15 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(vectors, docs["doc_id"] == vectors["vec_id"]).drop("vec_id", "label")
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return spark_view(spark, sf, "v_docs").select("doc_id", "text")
+
+
+def _light(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks without their texts, which only candidates need."""
+    return _chunks(spark, sf).drop("text")
+
+
 def _probe(spark: SparkSession, sf: str) -> list[float]:
     return list(spark_view(spark, sf, "embeddings").orderBy("vec_id").first()["embedding"])
 
@@ -83,17 +96,17 @@ ORDER BY score DESC, doc_id LIMIT 10"""
 
 @query(_HYBRID_SQL)
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.hybrid_search(_chunks(spark, sf), _probe(spark, sf), _WORDS, _sees()).select("doc_id", "score")
+    return retrieval.hybrid_search(_light(spark, sf), _probe(spark, sf), _WORDS, _sees(), texts=_texts(spark, sf)).select("doc_id", "score")
 
 
 @query(f"SELECT doc_id, distance FROM ({_NEAR_SQL}) n ORDER BY distance, doc_id LIMIT 10")
 def secure_knn(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.secure_knn(_chunks(spark, sf), _probe(spark, sf), _sees()).select("doc_id", "distance")
+    return retrieval.secure_knn(_light(spark, sf), _probe(spark, sf), _sees()).select("doc_id", "distance")
 
 
 @query(f"SELECT doc_id, distance FROM ({_NEAR_SQL} AND starts_with(path, '/Public/')) n ORDER BY distance, doc_id LIMIT 10")
 def path_scoped_search(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.secure_knn(_chunks(spark, sf), _probe(spark, sf), _sees() & F.startswith("path", F.lit("/Public/"))).select("doc_id", "distance")
+    return retrieval.secure_knn(_light(spark, sf), _probe(spark, sf), _sees() & F.startswith("path", F.lit("/Public/"))).select("doc_id", "distance")
 
 
 _MATCH_SQL = """SELECT id, name, mentions FROM {v_nodes} n
@@ -136,16 +149,14 @@ touch AS (SELECT dst AS id, ord, 0 AS side, relation_type FROM e UNION ALL SELEC
 first AS (SELECT id, arg_min(relation_type, ord * 2 + side) AS r FROM touch GROUP BY id)
 SELECT n.id, coalesce(r, 'related') AS reason FROM {v_nodes} n LEFT JOIN first f ON f.id = n.id""")
 def provenance_reason(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    edges = spark_view(spark, sf, "v_tree_edges").withColumn("ord", F.row_number().over(Window.partitionBy().orderBy("src", "dst")))
+    edges = spark_view(spark, sf, "v_tree_edges").withColumn("ord", F.struct("src", "dst"))
     return retrieval.first_reason(spark_view(spark, sf, "v_nodes").select("id"), edges).select("id", "reason")
 
 
 @query(f"""SELECT string_agg('[' || printf('%.3f', score) || '] ' || path || chr(10) || left(text, 800), chr(10) || chr(10) ORDER BY -score, doc_id) AS passages
 FROM (SELECT h.doc_id, h.score, d.path, d.text FROM ({_HYBRID_SQL}) h JOIN {{v_docs}} d ON d.doc_id = h.doc_id) x""")
 def vector_passages(spark: SparkSession, sf: str) -> DataFrame:
-    found = retrieval.hybrid_search(_chunks(spark, sf), _probe(spark, sf), _WORDS, _sees())
+    found = retrieval.hybrid_search(_light(spark, sf), _probe(spark, sf), _WORDS, _sees(), texts=_texts(spark, sf))
     return retrieval.passage_text(found.select("doc_id", F.col("path").alias("heading"), "text", "score"))
 
 
@@ -771,15 +782,14 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT conv_id, count(*) AS n_turns, CASE WHEN count(*) > 6 THEN 3 ELSE count(*) END AS n_kept, CASE WHEN count(*) > 6 THEN count(*) - 3 ELSE 0 END AS n_folded FROM conversations GROUP BY conv_id")
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return flows.drained(flows.compacted_sessions(flows.table_stream(spark, f"{sf}/conversations.parquet")), "update")
+    return flows.drained(flows.compacted_sessions(flows.table_stream(spark, f"{sf}/conversations.parquet")), "update", ["conv_id"])
 
 
 @query("SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem GROUP BY 1, 2")
 def stream_incremental_graph(spark: SparkSession, sf: str) -> DataFrame:
     raw = flows.table_stream(spark, f"{sf}/lineitem.parquet").selectExpr("concat('s', l_suppkey) AS src", "concat('p', l_partkey) AS dst", "l_returnflag AS relation_type", "l_orderkey * 10 + l_linenumber AS ord", "'lineitem' AS source_path", "1.0D AS weight")
     store = flows.work_folder(spark, "edges")
-    flows.incremental_edges(raw, store)
-    return spark.read.parquet(f"{store}/v*").select("src", "dst", F.col("weight").cast("double").alias("weight"))
+    return flows.incremental_edges(raw, store).select("src", "dst", F.col("weight").cast("double").alias("weight"))
 
 
 # -- extraction, skills, control ---------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,21 +27,35 @@ def _is_file(spark: SparkSession, path: str) -> bool:
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint folder; a temporary one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A fresh folder in the shared checkpoint folder; where that is unset, a temporary one in local mode (tests), an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """What the stream gives once all that is there has been read, as a table."""
+def drained(stream: DataFrame, mode: str = "complete", key: list[str] | None = None, state: str | None = None) -> DataFrame:
+    """What the stream gives once all that is there has been read, as a table.
+
+    key: of rows with one key the last batch's stays (update mode).  state: the folder of a stream that is to go on from where it was.
+    """
     spark = stream.sparkSession
-    out, state = work_folder(spark, "stream-out"), work_folder(spark, "stream-state")
+    out, state = work_folder(spark, "stream-out") if state is None else f"{state}/out", work_folder(spark, "stream-state") if state is None else f"{state}/state"
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        if mode == "complete":
+            batch.write.mode("overwrite").parquet(f"{out}/batch=0")
+        else:  # a batch that is run again replaces its own rows
+            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    if key:
+        rest = [c for c in stream.columns if c not in key]
+        rows = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*key, *[F.col("_last")[c].alias(c) for c in rest])
+    return rows.select(*[c for c in stream.columns if c != "batch"])
 
 
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -75,8 +90,12 @@ def compacted_sessions(turns: DataFrame, keep: int = 3, beyond: int = 6) -> Data
     return turns.groupBy("conv_id").applyInPandasWithState(run, "conv_id long, n_turns long, n_kept long, n_folded long", "total long, folded long", "update", GroupStateTimeout.NoTimeout)
 
 
-def incremental_edges(events: DataFrame, store: str) -> None:
-    """Folds a stream of raw edges into an edge table, batch by batch: each version is the upsert of the one before and the batch, so a batch that is run again gives the same."""
+def incremental_edges(events: DataFrame, store: str) -> DataFrame:
+    """Folds a stream of raw edges into an edge table below store and gives the table as it then is.
+
+    Each version is the upsert of the one before and the batch, so a batch that is run again gives the same; the state of
+    the stream lies beside the versions, so the next run goes on from there.  Versions but the last two are removed.
+    """
     from quarry.operators.graph import upsert_edges
 
     spark = events.sparkSession
@@ -84,9 +103,21 @@ def incremental_edges(events: DataFrame, store: str) -> None:
     def put(batch: DataFrame, number: int) -> None:
         fresh = upsert_edges(batch).join(batch.groupBy("src", "dst").agg(F.min("ord").alias("ord")), ["src", "dst"])
         if number:
-            old = spark.read.parquet(f"{store}/v{number - 1}")
-            both = old.unionByName(fresh)
+            both = spark.read.parquet(f"{store}/versions/v{number - 1}").unionByName(fresh)
             fresh = both.groupBy("src", "dst").agg(F.min_by("relation_type", "ord").alias("relation_type"), F.min_by("source_path", "ord").alias("source_path"), F.sum("weight").alias("weight"), F.min("ord").alias("ord"))
-        fresh.write.mode("overwrite").parquet(f"{store}/v{number}")
-
-    events.writeStream.option("checkpointLocation", work_folder(spark, "edges-state")).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+        fresh.write.mode("overwrite").parquet(f"{store}/versions/v{number}")
+        if number > 1:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/versions/v{number - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+    stream = events.writeStream.option("checkpointLocation", f"{store}/state").trigger(availableNow=True).foreachBatch(put).start()
+    stream.awaitTermination()
+    return edge_table(spark, store)
+
+
+def edge_table(spark: SparkSession, store: str) -> DataFrame:
+    """The last version of an edge table."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/versions")
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    last = max(int(f.getPath().getName()[1:]) for f in found)
+    return spark.read.parquet(f"{store}/versions/v{last}")

@@ -134,3 +134,50 @@ def test_markdown_files(spark, tmp_path):
     rows = {r.path: r for r in readers.with_front_matter(readers.markdown_files(spark, str(tmp_path))).collect()}
     assert set(rows) == {"Public/a.md", "Public/b.md"}
     assert rows["Public/a.md"].meta["owner"] == "x" and rows["Public/a.md"].body == "body" and rows["Public/b.md"].meta == {}
+
+
+def test_roles_of_any_glob(spark):
+    docs = spark.createDataFrame([(1, "/Public/z/a.md"), (2, "/Private/x.md"), (3, "/Pubs/b.md")], "doc_id long, path string")
+    globs = spark.createDataFrame([("admin", "read", "/**"), ("a", "read", "/Pub*"), ("b", "read", "/Public/*/a.md"), ("c", "write", "/**"), ("d", "read", "/Private/[xy].md")], "role string, mode string, pattern string")
+    got = {r.doc_id: r.roles for r in acl.derived_roles(docs, globs).collect()}
+    assert got == {1: "a,admin,b", 2: "admin,d", 3: "a,admin"}
+    assert acl.derived_roles(docs, globs.where("false")).count() == 0
+
+
+def test_streams_of_several_batches(spark, tmp_path):
+    from quarry.streaming import flows
+
+    folder, store = str(tmp_path / "in"), str(tmp_path / "store")
+    put = lambda rows: spark.createDataFrame(rows, "src string, dst string, relation_type string, ord long, source_path string, weight double").coalesce(1).write.mode("append").parquet(folder)
+    put([("x", "y", "r", 1, "a", 1.0), ("x", "z", "r", 2, "a", 1.0)])
+    put([("x", "y", "q", 3, "b", 1.0)])
+    stream = lambda: spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    weights = lambda df: {(r.src, r.dst): (r.relation_type, r.weight) for r in df.collect()}
+    assert weights(flows.incremental_edges(stream(), store)) == {("x", "y"): ("r", 2.0), ("x", "z"): ("r", 1.0)}
+    put([("x", "y", "q", 4, "b", 1.0), ("n", "m", "r", 5, "b", 1.0)])
+    assert weights(flows.incremental_edges(stream(), store)) == {("x", "y"): ("r", 3.0), ("x", "z"): ("r", 1.0), ("n", "m"): ("r", 1.0)}
+    turns = str(tmp_path / "turns")
+    for a in range(3):
+        spark.range(3 * a, 3 * a + 3).selectExpr("1L AS conv_id", "id AS turn").coalesce(1).write.mode("append").parquet(turns)
+    source = spark.readStream.schema("conv_id long, turn long").option("maxFilesPerTrigger", 1).parquet(turns)
+    assert [tuple(r) for r in flows.drained(flows.compacted_sessions(source), "update", ["conv_id"]).collect()] == [(1, 9, 3, 6)]
+
+
+def test_user_code_has_its_time(spark):
+    from quarry.functions import skills
+
+    skills.register(spark, "twice", "def run(x):\n    return x * 2")
+    assert [r.y for r in spark.range(3).selectExpr("twice(id) AS y").collect()] == ["0", "2", "4"]
+    skills.register(spark, "forever", "def run(x):\n    while True:\n        pass", seconds=0.5)
+    with pytest.raises(Exception, match="more than 0.5 s"):
+        spark.range(1).selectExpr("forever(id) AS y").collect()
+
+
+def test_findings(spark):
+    from quarry.functions import security
+
+    df = spark.createDataFrame([(1, "tel 010-1234-5678, a@b.co; 900101-1234567"), (2, None), (3, "")], "id long, text string")
+    got = {r.id: r.f for r in df.select("id", security.pii_findings(F.col("text")).alias("f")).collect()}
+    assert [(x.kind, x.start) for x in got[1]][:2] == [("phone", 4), ("email", 19)] and not got[2] and not got[3]
+    masked = security.masked_response(df, skip=("id",)).orderBy("id").first().text
+    assert masked == "tel ***-****-****, ***@***.*** ******-*******" or "010" not in masked
