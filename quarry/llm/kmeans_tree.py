@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from .kernel import settle
 
 SAMPLE = 16_384
-LEAF = 256
+#: Vectors of a leaf; fewer where all would be in one.
+LEAF = 1024
 SMALLEST_LEAF = 4
 BRANCHES = 8
 PROBES = 100
@@ -187,7 +188,7 @@ def nearest_neighbours(table: DataFrame, is_query: Column, id_col: str = "vec_id
     points = settle(points, "points")
     n = points.count()
     sample = points.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("v").toPandas()
-    tree = KMeansTree(_matrix(sample["v"]), max(SMALLEST_LEAF, leaf * len(sample) // max(n, 1)))
+    tree = KMeansTree(_matrix(sample["v"]), max(SMALLEST_LEAF, min(leaf, n // BRANCHES) * len(sample) // max(n, 1)))
     probes = asked.where("asked").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES).select("vec_id", "v").toPandas()
     visits = calibrated_visits(tree, rows, probes, k, recall)
     shared = spark.sparkContext.broadcast(tree)
@@ -216,13 +217,14 @@ def nearest_neighbours(table: DataFrame, is_query: Column, id_col: str = "vec_id
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"key": [], "found": []})
+            return pd.DataFrame({"key": [], "s": [], "i": []})
         p = np.stack([np.frombuffer(x) for x in left["v"]])
         q = np.stack([np.frombuffer(x) for x in right["v"]])
         ids = left["ids"].tolist()
         first = np.array([i[0] for i in ids])
+        alone = np.array([len(i) == 1 for i in ids])
         size = np.sqrt((p**2).sum(1)).max() * np.sqrt((q**2).sum(1))
-        out = []
+        key, out = right["key"].tolist(), []
         for a in range(0, len(q), ROWS):
             rough = q[a : a + ROWS] @ p.T
             most = min(k + 1, len(p))
@@ -231,11 +233,15 @@ def nearest_neighbours(table: DataFrame, is_query: Column, id_col: str = "vec_id
                 near = np.flatnonzero(rough[i] >= limit[i])
                 s = (p[near] * q[a + i]).sum(1)
                 top = np.lexsort((first[near], -s))[:most]
+                if alone[near[top]].all():
+                    out.append((key[a + i], -s[top], first[near[top]]))
+                    continue
                 best = sorted((-float(s[j]), int(x)) for j in top for x in ids[near[j]])[: k + 1]
-                out.append((right["key"].iloc[a + i], [{"s": x, "i": n} for x, n in best]))
-        return pd.DataFrame(out, columns=["key", "found"])
+                out.append((key[a + i], np.array([x for x, _ in best]), np.array([n for _, n in best])))
+        return pd.DataFrame(out, columns=["key", "s", "i"])
 
-    found = a.groupBy("leaf", "block", "chunk").cogroup(b.groupBy("leaf", "block", "chunk")).applyInPandas(score, "key binary, found array<struct<s: double, i: long>>")
+    found = a.groupBy("leaf", "block", "chunk").cogroup(b.groupBy("leaf", "block", "chunk")).applyInPandas(score, "key binary, s array<double>, i array<long>")
+    found = found.select("key", F.arrays_zip("s", "i").alias("found"))
     best = settle(found.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found")), "found")
     own = asked.where("asked").select(F.col("vec_id").alias("query_id"), "key").distinct().join(best, "key")
     listed = own.select("query_id", F.posexplode(F.slice(F.filter("found", lambda x: x["i"] != F.col("query_id")), 1, k)))

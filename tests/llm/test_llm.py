@@ -115,14 +115,15 @@ def test_snapshots(spark):
 # -- 2 neighbours
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("options", [{}, {"leaf": 48}])
+def test_neighbours(spark, options):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(900, 16))
     v[100:160] = v[100]
     rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [1.0]), (2004, [None] * 16), (None, [1.0] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"key": F.lit("clash"), "v": F.lit(1)})
     got = collections.defaultdict(list)
-    for r in kmeans_tree.nearest_neighbours(df, F.col("vec_id") % 20 == 0, leaf=48).orderBy("query_id", "rank").collect():
+    for r in kmeans_tree.nearest_neighbours(df, F.col("vec_id") % 20 == 0, **options).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     hits = total = 0
     for q in range(0, 900, 20):
