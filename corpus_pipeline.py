@@ -24,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts link at a Jaccard similarity of 0.8 of their five-word shingles.  Of every component of texts that link, the document with the smallest id stays; texts without words stay all."""
+    """Texts link at a Jaccard similarity of 0.8 of their five-word shingles.  Of every component of texts that link, the document with the smallest id stays (all rows of that id); texts without words stay all, and so do rows without an id."""
     groups = trie_join.ngram_components(docs.select("doc_id", "text"), k=5, percent=80)
     keep = groups.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_keep")).distinct()
     return docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
