@@ -12,7 +12,8 @@ words can be shared (positional filter).  What is left is counted exactly.  Wind
 start at every word of a template; those of too few of its words or of none of
 the prefix are out, and of windows that overlap only the fullest is given.  The
 words of a line that meets the template itself are not looked at again, so a
-notice within a line is found once, as that line.
+notice within a line is found once, as that line.  Where templates that are nearly
+alike (a licence and its stricter variant) are met at one place, the fullest counts.
 
 The templates are a fixed list, so they and the frequencies of their words (one
 count per word, summed over all rows) are what is broadcast.
@@ -24,6 +25,7 @@ places and no labels; repeated rows are kept as they come.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -36,6 +38,8 @@ from pyspark.sql import functions as F
 from .kernel import ALPHANUMERIC, LOWER, string_buffers, word_hashes
 
 THRESHOLD = 0.8
+#: Of templates with fewer different words than this, all must be there: a few common words say nothing.
+SHORT = 6
 #: Licence notices by label (fixed values).
 TEMPLATES = {
     "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
@@ -75,11 +79,16 @@ class TemplateIndex:
         for label, notices in templates.items():
             for notice in notices:
                 order = sorted({number[w] for w in words_of(notice)}, key=lambda i: (counts.get(self.vocabulary[i], 0), self.vocabulary[i]))
-                need = math.ceil(threshold * len(order) - 1e-9)
+                need = math.ceil(threshold * len(order) - 1e-9) if len(order) >= SHORT else len(order)
                 for place in range(len(order) - need + 1):
                     self.prefixes.setdefault(order[place], []).append((len(self.templates), place))
                 self.templates.append((label, order, need))
                 self.widths.append(math.floor(len(words_of(notice)) / threshold + 1e-9))
+        #: Templates of other labels that share the threshold's part of the smaller one: only one of them is meant.
+        self.rivals = [
+            [u for u, (other, theirs, _) in enumerate(self.templates) if other != label and len(set(order) & set(theirs)) >= threshold * min(len(order), len(theirs))]
+            for label, order, _ in self.templates
+        ]
         self.phrases = [([number[w] for w in p.split()], label) for p, label in phrases.items()]
         self.starts_block = np.zeros(len(self.vocabulary), bool)
         self.starts_block[list(self.prefixes)] = True
@@ -107,6 +116,19 @@ class TemplateIndex:
                     out.append((t, shared / len(order)))
         return out
 
+    def told_apart(self, met: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+        """Of matches (first word, template, containment) at one place whose templates are rivals, the fullest, of equally full ones the longest."""
+        rank = lambda m: (m[2], len(self.templates[m[1]][1]))
+        by: dict[int, list[tuple[int, int, float]]] = {}
+        for m in sorted(met):
+            by.setdefault(m[1], []).append(m)
+
+        def near(m: tuple[int, int, float], u: int) -> list[tuple[int, int, float]]:
+            reach = max(self.widths[m[1]], self.widths[u])
+            own = by.get(u, [])
+            return own[bisect.bisect_left(own, (m[0] - reach + 1,)) : bisect.bisect_left(own, (m[0] + reach,))]
+
+        return [m for m in met if not any(rank(o) > rank(m) for u in self.rivals[m[1]] for o in near(m, u))]
 
     def wrapped(self, t: int, at: np.ndarray, words: np.ndarray, ends: np.ndarray) -> list[tuple[int, float]]:
         """(first word, containment) of the windows that meet template t, fullest of those that overlap.
@@ -208,7 +230,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 for at, c in index.wrapped(t, known[mine], words[mine], bounds[text[mine] + 1]):
                     i = int(np.searchsorted(bounds, at, "right")) - 1
                     met[i].append((at - int(bounds[i]), t, c))
-            blocks = [[{"first_word": w, "label": index.templates[t][0], "containment": c} for w, t, c in sorted(m)] for m in met]
+            blocks = [[{"first_word": w, "label": index.templates[t][0], "containment": c} for w, t, c in sorted(index.told_apart(m))] for m in met]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array(labels, pa.list_(pa.string())), pa.array(blocks, pa.list_(pa.struct([("first_word", pa.int64()), ("label", pa.string()), ("containment", pa.float64())])))],
                 names=["doc_id", "n_words", "places", "place_labels", "blocks"],

@@ -409,7 +409,7 @@ def test_licenses(spark, odd, none):
             if rng.random() < 0.3:
                 block |= {vocabulary[i] for i in order[: rng.randint(0, len(order))]}
         own = {vocabulary.index(w) for w in block}
-        want = [t for t, (_, order, _) in enumerate(index.templates) if len(own & set(order)) >= license_join.THRESHOLD * len(order) - 1e-9]
+        want = [t for t, (_, order, _) in enumerate(index.templates) if len(own & set(order)) >= (license_join.THRESHOLD if len(order) >= license_join.SHORT else 1) * len(order) - 1e-9]
         assert sorted(t for t, _ in index.matches(own, len(own))) == want
     assert license_join.scan_licenses(odd).count() == len(ODD) and license_join.scan_licenses(none).count() == 0
 
@@ -433,6 +433,14 @@ def test_wrapped_licenses(spark):
     assert [(b[1], b[2]) for b in got[7]] == [("bsd", 1.0), ("bsd", 1.0)] and got[8] == got[9] == []
 
 
+def test_licenses_told_apart(spark):
+    texts = ["The book was released under the license of its publisher.", "Released under the MIT License.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "This work is licensed under a Creative Commons Attribution 4.0 International License"]
+    texts += ["x\n" + texts[2] + "\n" + "word " * 60 + "\n" + texts[3]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [b.label for b in r.blocks] for r in license_join.scan_licenses(df).collect()}
+    assert got == {0: [], 1: ["mit"], 2: ["cc-by-nc"], 3: ["cc-by"], 4: ["cc-by-nc", "cc-by"]}
+
+
 def test_windows_of_licenses():
     index = license_join.TemplateIndex()
     rng = random.Random(5)
