@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import BLANK_PARTED, SAME, lean, mix, string_buffers, word_hashes
+from .kernel import BLANK_PARTED, SAME, lean, mix, string_buffers, trim, word_hashes
 
 DIMS = 64
 VOCABULARY = 16_384
@@ -211,6 +211,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learnable: Column, id_co
     chosen = docs.sparkSession.createDataFrame(ids, f"id {texts.schema['id'].dataType.simpleString()}, size long, label double, h long")
     rows = texts.join(F.broadcast(chosen), "id").where(F.octet_length("text") == F.col("size")).groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("h").alias("h")).collect()
     rows = sorted(rows, key=lambda r: (r["h"], str(r["id"])))
+    trim()
     return [r["text"] for r in rows], np.array([r["label"] for r in rows])
 
 
