@@ -36,13 +36,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from quarry import queries_graph  # noqa: F401  registers its own
+    from quarry import queries_graph, queries_service  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from quarry import queries_graph  # noqa: F401
+    from quarry import queries_graph, queries_service  # noqa: F401
 
     return dict(_SQL)
 
@@ -266,12 +266,18 @@ def pii_mask_full(spark: SparkSession, sf: str) -> DataFrame:
     return spark_view(spark, sf, "v_pii").select("doc_id", F.sha2(sec.mask_full(F.col("text")), 256).alias("masked"))
 
 
-@query()
+def _found_sql(shown: str) -> str:
+    """The text with shown (of a match m) in place of every match."""
+    every = "|".join(f"(?:{p})" for p, _ in sec.PII.values())
+    return f"SELECT doc_id, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || CASE WHEN i <= len(f) THEN f[i] ELSE '' END), '') AS masked FROM (SELECT doc_id, string_split_regex(text, '{every}') AS p, list_transform(regexp_extract_all(text, '{every}'), lambda m: {shown}) AS f FROM {{v_pii}} d) x"
+
+
+@query(_found_sql("CASE WHEN length(m) <= 4 THEN repeat('*', length(m)) ELSE repeat('*', length(m) - 4) || right(m, 4) END"))
 def pii_mask_partial(spark: SparkSession, sf: str) -> DataFrame:
     return spark_view(spark, sf, "v_pii").select("doc_id", sec.mask_partial(F.col("text")).alias("masked"))
 
 
-@query()
+@query(_found_sql("sha256(m)"))
 def pii_mask_hash(spark: SparkSession, sf: str) -> DataFrame:
     return spark_view(spark, sf, "v_pii").select("doc_id", sec.mask_hash(F.col("text")).alias("masked"))
 
@@ -365,7 +371,9 @@ def chunk_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.chunks(spark_view(spark, sf, "v_md"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(list_transform(string_split_regex({_BODY_SQL}, '\n{{{{2,}}}}'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM {{v_md}} m),
+r(doc_id, i, idx, n) AS (SELECT doc_id, 1, 0, length(p[1]) FROM d UNION ALL SELECT r.doc_id, r.i + 1, CASE WHEN r.n + length(p[r.i + 1]) <= 3000 THEN idx ELSE idx + 1 END, CASE WHEN r.n + length(p[r.i + 1]) <= 3000 THEN r.n + length(p[r.i + 1]) ELSE length(p[r.i + 1]) END FROM r JOIN d ON d.doc_id = r.doc_id WHERE r.i < len(p))
+SELECT r.doc_id, r.idx, string_agg(d.p[r.i], chr(10) || chr(10) ORDER BY r.i) AS passage FROM r JOIN d ON d.doc_id = r.doc_id GROUP BY r.doc_id, r.idx""".replace("{{2,}}", "{2,}"))
 def passages(spark: SparkSession, sf: str) -> DataFrame:
     return spark_view(spark, sf, "v_md").select("doc_id", F.posexplode(chunks.passages(chunks.without_front_matter(F.col("md")))).alias("idx", "passage"))
 
@@ -375,23 +383,30 @@ def collapse_blank(spark: SparkSession, sf: str) -> DataFrame:
     return spark_view(spark, sf, "v_md").select("doc_id", F.sha2(chunks.few_blank_lines(F.col("md")), 256).alias("md"))
 
 
-@query()
+_KEPT_SQL = "|".join(chunks.KEPT_TAGS)
+_TAGLESS_SQL = f"replace(regexp_replace(regexp_replace(%s, '(?i)<(/?(?:{_KEPT_SQL}))\\b', chr(1) || '\\1', 'g'), '(?i)</?[a-z][a-z0-9]*\\s*/?>|</?[a-z][a-z0-9]*(?:\\s+[^>]*)>', '', 'g'), chr(1), '<')"
+_LINED_SQL = "regexp_replace(regexp_replace(%s, '(?m)^\\|([^|\n]*)\\|([^|\n]*)\\|$', '| \\1 | \\2 |', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"
+_POST_SQL = "regexp_replace(" + _LINED_SQL % (_TAGLESS_SQL % "regexp_replace(md, '(?m)^#{1,6}[ \t]+', '# ')") + ", '^\\s+|\\s+$', '', 'g') || chr(10)"
+
+
+@query(f"SELECT doc_id, {_POST_SQL} AS md FROM {{v_md}} m")
 def post_process(spark: SparkSession, sf: str) -> DataFrame:
     return spark_view(spark, sf, "v_md").select("doc_id", chunks.post_processed(F.col("md")).alias("md"))
 
 
-@query()
+@query("SELECT page_id, " + _TAGLESS_SQL % "html" + " AS text FROM pages")
 def strip_html(spark: SparkSession, sf: str) -> DataFrame:
     return spark_view(spark, sf, "pages").select("page_id", chunks.without_tags(F.col("html")).alias("text"))
 
 
-@query()
+@query("SELECT o_orderkey, chr(10) || '| key | status |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || o_orderkey || ' | ' || o_orderstatus || ' |' || chr(10) AS md FROM orders")
 def html_tables(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark_view(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("<table><tr><th>key</th><th>status</th></tr><tr><td>"), F.col("o_orderkey").cast("string"), F.lit("</td><td>"), F.col("o_orderstatus"), F.lit("</td></tr></table>")).alias("html"))
     return rows.select("o_orderkey", chunks.tables_from_html(F.col("html")).alias("md"))
 
 
-@query()
+@query("""WITH l AS (SELECT n_regionkey, '| ' || n_name || ' | ' || n_nationkey || ' |' AS line, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name || '  ' || n_nationkey) AS i FROM nation)
+SELECT n_regionkey, string_agg(CASE WHEN i = 1 THEN line || chr(10) || '| --- | --- |' ELSE line END, chr(10) ORDER BY i) AS md FROM l GROUP BY n_regionkey""")
 def layout_tables(spark: SparkSession, sf: str) -> DataFrame:
     line = F.concat_ws("  ", F.col("n_name"), F.col("n_nationkey").cast("string"))
     text = spark_view(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
@@ -740,7 +755,7 @@ def rollback(spark: SparkSession, sf: str) -> DataFrame:
     return documents.current(documents.rolled_back(versions, path, "00000007", 10**12)).select("path", "commit_hash")
 
 
-@query()
+@query(f"SELECT doc_id, length(new) AS n FROM (SELECT doc_id, md, {_POST_SQL} AS new FROM {{v_md}} m) x WHERE trim(new) <> trim(md)")
 def reprocess_diff(spark: SparkSession, sf: str) -> DataFrame:
     return documents.reprocessed(spark_view(spark, sf, "v_md"), chunks.post_processed(F.col("md"))).select("doc_id", F.length("md").alias("n"))
 

@@ -50,6 +50,22 @@ def with_front_matter(files: DataFrame) -> DataFrame:
     return files.withColumns({"meta": F.pandas_udf(run, "map<string,string>")(head), "body": body})
 
 
+def policy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(users: user_id, role, department; globs: role, mode, pattern; departments: department, department_name) of a policy in YAML.
+
+    A policy is configuration, one file that is read on the driver; an empty file is an empty policy, a user without roles has no row.
+    """
+    import yaml
+
+    raw = spark.read.text(path, wholetext=True).first()
+    given = (yaml.safe_load(raw[0]) if raw else None) or {}
+    users = [(str(u["user_id"]), str(r), str(u.get("department") or "")) for u in given.get("users") or [] for r in u.get("roles") or []]
+    globs = [(str(name), mode, str(p)) for name, rule in (given.get("roles") or {}).items() for mode in ("read", "write") for p in ((rule or {}).get("allowed_paths") or {}).get(mode) or []]
+    departments = [(str(d), str(info["name"]) if isinstance(info, dict) and info.get("name") else None) for d, info in (given.get("departments") or {}).items()]
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    return made(users, "user_id string, role string, department string"), made(globs, "role string, mode string, pattern string"), made(departments, "department string, department_name string")
+
+
 def audit_lines(spark: SparkSession, path: str) -> DataFrame:
     """Answer records of JSON lines; broken lines are left out."""
     schema = "timestamp string, thread_id string, user_id string, query string, response_preview string, skills_used array<string>, max_security_grade int, access_control struct<grade_2_accessed: boolean, grade_3_accessed: boolean>"
