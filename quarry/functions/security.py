@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,14 +47,26 @@ INJECTION = {
         r"\[INST\]", r"<\|endoftext\|>", r"<\|im_end\|>", r"developer\s+mode\s+(enabled|on|activated)",
     )),
 }
+#: What every match of these patterns holds, in their order and in small letters: a text without it needs no pattern.
+CUES = {
+    "injection_en": ("previous", "now", "system", "<|im_start|>", "```"),
+    "injection_ko": ("이전", "시스템", "너는", "역할", "이전", "새로운"),
+    "jailbreak": ("dan", "anything", "jailbreak", "hypothetically", "hypothetical", "pretend", "act", "role", "[inst]", "<|endoftext|>", "<|im_end|>", "developer"),
+}
 LONG_INPUT, THRESHOLD = 10_000, 0.7
 
 
 def mask_full(text: Column) -> Column:
-    """Every kind's fixed mask, kind after kind."""
-    for pattern, mask in PII.values():
-        text = F.regexp_replace(text, pattern, mask)
-    return text
+    """Every kind's fixed mask, kind after kind.  All kinds but e-mail hold two digits in a row, and masks hold none, so most texts need no pattern."""
+
+    def masked(kinds: list[str]) -> Column:
+        out = text
+        for kind in kinds:
+            out = F.regexp_replace(out, *PII[kind])
+        return out
+
+    digits, at = text.rlike("[0-9][0-9]"), F.contains(text, F.lit("@"))
+    return F.when(digits & at, masked(list(PII))).when(digits, masked([k for k in PII if k != "email"])).when(at, masked(["email"])).otherwise(text)
 
 
 def _mask_found(text: Column, shown) -> Column:
@@ -95,20 +109,28 @@ def pii_counts(text: Column) -> dict[str, Column]:
     return {kind: F.regexp_count(text, F.lit(pattern)).cast("long") for kind, (pattern, _) in PII.items()}
 
 
-def _hits(text: Column, patterns: tuple[str, ...], flag: str, mark: str) -> Column:
+def _hits(text: Column, patterns: Sequence[str], flag: str, mark: str) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(flag + p), F.lit(mark + p)) for p in patterns]))
 
 
 def classified(text: Column, path: Column) -> dict[str, Column]:
     """grade (1 open, 2 internal, 3 sensitive) and what it rests on; the start of a text is what counts."""
     top = F.left(F.coalesce(text, F.lit("")), F.lit(SCANNED))
-    three = F.slice(_hits(top, GRADE3, "(?U)", "G3:"), 1, 2)
+    none = F.array().cast("array<string>")
+    hangul, digits = top.rlike("[가-힣]"), top.rlike(r"(?U)\d")  # a pattern without digits needs the former
+    numbers, words = ([p for p in GRADE3 if (r"\d" in p) == kind] for kind in (True, False))  # numbers come first
+    three = F.slice(F.concat(F.when(digits, _hits(top, numbers, "(?U)", "G3:")).otherwise(none), F.when(hangul, _hits(top, words, "(?U)", "G3:")).otherwise(none)), 1, 2)
     low = F.lower(F.coalesce(path, F.lit("")))
     by_path = F.array_compact(F.array(F.when(sum((F.contains(low, F.lit(k)).cast("int") for k in GRADE2_PATHS), F.lit(0)) > 0, F.lit("G2:filepath"))))
-    two = F.concat(_hits(top, GRADE2, "(?iU)", "G2:"), by_path)
-    none = F.array().cast("array<string>")
-    grade = F.when(F.size(three) > 0, 3).when(F.size(two) > 0, 2).otherwise(1)
-    return {"grade": grade, "detected": F.when(F.size(three) > 0, three).when(F.size(two) > 0, two).otherwise(none)}
+    two = F.concat(F.when(hangul, _hits(top, GRADE2, "(?iU)", "G2:")).otherwise(none), by_path)
+    both = F.transform(F.array(F.struct(three.alias("three"), two.alias("two"))), _graded)  # found once, used more than once
+    return {"grade": both[0]["grade"], "detected": both[0]["detected"]}
+
+
+def _graded(hits: Column) -> Column:
+    three, two = F.size(hits["three"]) > 0, F.size(hits["two"]) > 0
+    grade = F.when(three, 3).when(two, 2).otherwise(1)
+    return F.struct(grade.alias("grade"), F.when(three, hits["three"]).otherwise(hits["two"]).alias("detected"))
 
 
 def grade_policy(grade: Column) -> dict[str, Column]:
@@ -120,18 +142,28 @@ def rag_access(grade: Column, roles: Column) -> Column:
     return (grade < 3) | F.array_contains(roles, "admin")
 
 
+def _injection_hits(text: Column) -> dict[str, Column]:
+    """How many patterns of each group are found.  Cases are folded as the patterns do it, dotted and dotless i and long s too."""
+    folded = text
+    for letter, plain in (("İ", "i"), ("ı", "i"), ("ſ", "s")):
+        folded = F.replace(folded, F.lit(letter), F.lit(plain))
+    folded = F.lower(folded)
+    found = lambda cue, p: (F.contains(folded, F.lit(cue)) & text.rlike("(?iU)" + p)).cast("int")
+    return {group: sum((found(cue, p) for cue, p in zip(CUES[group], patterns, strict=True)), F.lit(0)) for group, (_, patterns) in INJECTION.items()}
+
+
 def injection_risk(text: Column) -> Column:
     """0 to 1: a long input counts a little, the first pattern of a group its weight, three more a share of it."""
     t = F.coalesce(text, F.lit(""))
     score = F.when(F.length(t) > LONG_INPUT, 0.15).otherwise(0.0)
-    for weight, patterns in INJECTION.values():
-        hits = sum((t.rlike("(?iU)" + p).cast("int") for p in patterns), F.lit(0))
+    for group, hits in _injection_hits(t).items():
+        weight = INJECTION[group][0]
         score = score + F.when(hits > 0, F.lit(weight) + F.least(hits - 1, F.lit(3)) * F.lit(weight * 0.15)).otherwise(0.0)
     return F.least(F.round(score, 4), F.lit(1.0))
 
 
 def injection_found(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike("(?iU)" + "|".join(f"(?:{p})" for _, ps in INJECTION.values() for p in ps))
+    return sum(_injection_hits(F.coalesce(text, F.lit(""))).values(), F.lit(0)) > 0
 
 
 def sanitised(text: Column) -> dict[str, Column]:
