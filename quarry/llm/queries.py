@@ -1,11 +1,11 @@
-"""The thin queries over the ten operators, with production parameters, and SQL where SQL can say the same."""
+"""The thin queries over the operators, with production parameters, and SQL where SQL can say the same."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boundary_bpe, chat_snapshots, feistel_pii, kmeans_tree, kneser_ney, license_join, minhash_containment, random_index_quality, trie_join, url_rules
+from . import boundary_bpe, chat_snapshots, feistel_pii, filter_audit, kmeans_tree, kneser_ney, license_join, minhash_containment, random_index_quality, trie_join, url_rules
 
 
 def tokenizer_path() -> str:
@@ -92,6 +92,11 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, labelled).drop("url")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters do to every language in all 120 orders."""
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     own = [v for k, v in globals().items() if k.startswith("op") and callable(v)]
     return {f.__name__: f for f in own}
@@ -132,5 +137,40 @@ FROM shared JOIN sizes ON sizes.id = shared.item_id WHERE n_shared * 5 >= n_item
 """
 
 
+_AUDIT_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+fails AS (
+  SELECT t.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         list_where(['A', 'B', 'C', 'D', 'E'], [
+           len(w) < 200,
+           100 * len(list_distinct(w)) < 50 * len(w),
+           100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+           regexp_matches(t, '[#$%&*|]'),
+           repeats]) AS f
+  FROM (SELECT *, coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS repeats FROM texts) t
+  LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = t.doc_id),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (
+  SELECT a.c || b.c || d.c || e.c || g.c AS o FROM letters a, letters b, letters d, letters e, letters g
+  WHERE len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5),
+steps AS (SELECT o, k AS step, o[k:k] AS own, string_split(o[1:k - 1], '') AS earlier FROM orders, range(1, 6) r(k)),
+grouped AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM fails GROUP BY 1, 2),
+told AS (
+  SELECT part, o AS filter_order, step, own,
+         coalesce(sum(n) FILTER (NOT list_has_any(f, earlier) AND NOT list_contains(f, own)), 0) AS kept,
+         coalesce(sum(n) FILTER (NOT list_has_any(f, earlier) AND list_contains(f, own)), 0) AS removed,
+         coalesce(sum(n) FILTER (list_has_any(f, earlier) AND list_contains(f, own)), 0) AS redundant,
+         coalesce(sum(n) FILTER (f = [own]), 0) AS unique_fails,
+         coalesce(sum(g) FILTER (NOT list_has_any(f, earlier) AND list_contains(f, own)), 0) AS good_lost,
+         coalesce(sum(x) FILTER (NOT list_has_any(f, earlier) AND list_contains(f, own)), 0) AS toxic_lost
+  FROM grouped, steps GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM told
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_snapshots": _CHAT_SQL, "op9_minhash_containment": _LEAK_SQL}
+    return {"op1_chat_snapshots": _CHAT_SQL, "op9_minhash_containment": _LEAK_SQL, "op11_filter_audit": _AUDIT_SQL}
