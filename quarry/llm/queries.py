@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boundary_bpe, chat_snapshots, feistel_pii, filter_audit, kmeans_tree, kneser_ney, license_join, minhash_containment, random_index_quality, trie_join, url_rules
+from . import boundary_bpe, chat_snapshots, feistel_pii, filter_audit, kmeans_tree, kneser_ney, license_join, minhash_containment, pigeonring_simhash, random_index_quality, trie_join, url_rules
 
 
 def tokenizer_path() -> str:
@@ -97,6 +97,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every whole text and its component under links of two bits."""
+    return pigeonring_simhash.simhash_components(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     own = [v for k, v in globals().items() if k.startswith("op") and callable(v)]
     return {f.__name__: f for f in own}
