@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boundary_bpe, chat_snapshots, feistel_pii, filter_audit, kmeans_tree, kneser_ney, license_join, minhash_containment, pigeonring_simhash, random_index_quality, trie_join, url_rules
+from . import boundary_bpe, chat_snapshots, feistel_pii, filter_audit, kmeans_tree, kneser_ney, license_join, minhash_containment, pigeonring_simhash, random_index_quality, source_divergence, trie_join, url_rules
 
 
 def tokenizer_path() -> str:
@@ -102,6 +102,11 @@ def op12_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pigeonring_simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of the sources of every language, and the terms that tell them apart."""
+    return source_divergence.audit_sources(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     own = [v for k, v in globals().items() if k.startswith("op") and callable(v)]
     return {f.__name__: f for f in own}
@@ -177,5 +182,41 @@ FROM told
 """
 
 
+_DIVERGENCE_SQL = r"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM docs) GROUP BY 1, 2 HAVING count(*) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+counts AS (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM docs) JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+groups AS (
+  SELECT g.lang, g.source, coalesce(max(v.v), 0) AS v, coalesce(sum(c.n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN v ON v.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source GROUP BY 1, 2),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (g.total + 2 * g.v) AS BIGINT) AS p
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+langs AS (
+  SELECT lang, term, 1 + CAST(1000000000::HUGEINT * (sum(n) + 2) // (sum(sum(n)) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS BIGINT) AS q
+  FROM counts GROUP BY 1, 2),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT s.lang, s.source, s.term AS item, (s.p - l.q) * (s.p - l.q) // (s.p + l.q) AS value
+  FROM shares s JOIN langs l ON l.lang = s.lang AND l.term = s.term WHERE s.n > 0 AND s.p > l.q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_snapshots": _CHAT_SQL, "op9_minhash_containment": _LEAK_SQL, "op11_filter_audit": _AUDIT_SQL}
+    return {"op1_chat_snapshots": _CHAT_SQL, "op9_minhash_containment": _LEAK_SQL, "op11_filter_audit": _AUDIT_SQL, "op13_source_divergence": _DIVERGENCE_SQL}
