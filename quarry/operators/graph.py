@@ -1,9 +1,7 @@
-"""The knowledge graph as two tables: upserts, layers, traversal, communities, search."""
+"""The knowledge graph as two tables: upserts, layers, traversal, communities."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -211,57 +209,6 @@ def repaired_paths(entities: DataFrame, files: DataFrame) -> DataFrame:
     return fixed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"]).alias("source_paths"))
 
 
-def similarity(a: str, b: str) -> float:
-    """0 to 100: 200 times the longest common subsequence over both lengths."""
-    if not a or not b:
-        return 0.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
-
-
-def weighted_similarity(a: str, b: str) -> float:
-    """Of the whole, the sorted words, and (where one is much longer) the best part, each with its weight, the best."""
-    if not a or not b:
-        return 0.0
-    short, long_ = sorted((a, b), key=len)
-    words = lambda s: " ".join(sorted(s.split()))
-    whole, ratio = similarity(a, b), len(long_) / len(short)
-
-    def by_words(score) -> float:
-        x, y = set(short.split()), set(long_.split())
-        common = " ".join(sorted(x & y))
-        one, two = " ".join(filter(None, (common, " ".join(sorted(x - y))))), " ".join(filter(None, (common, " ".join(sorted(y - x)))))
-        return max(score(words(short), words(long_)), *((score(common, one), score(common, two)) if common else (0.0, 0.0)), score(one, two))
-
-    if ratio < 1.5:
-        return max(whole, 0.95 * by_words(similarity))
-    part = lambda s, t: max(similarity(min(s, t, key=len), max(s, t, key=len)[i : i + min(len(s), len(t))]) for i in range(max(1, abs(len(s) - len(t)) + 1))) if s and t else 0.0
-    scale = 0.9 if ratio <= 8 else 0.6
-    return max(whole, scale * part(a, b), 0.95 * scale * by_words(part))
-
-
-def fuzzy_scored(entities: DataFrame, query: str, column: str = "name") -> DataFrame:
-    """entities with score: the likeness of the name and the query."""
-
-    def run(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for names in frames:
-            yield names.map(lambda n: weighted_similarity(query, n or ""))
-
-    return entities.withColumn("score", F.pandas_udf(run, "double")(F.col(column)))
-
-
-def fuzzy_search(entities: DataFrame, query: str, entity_type: str | None = None, as_of: str | None = None, limit: int = 20) -> DataFrame:
-    """The best-scored entities, filtered by type and date first; ties by id."""
-    rows = entities.where(F.col("entity_type") == entity_type) if entity_type else entities
-    if as_of:
-        rows = rows.where(F.coalesce(F.col("effective_date") <= as_of, F.lit(True)) | (F.col("effective_date") == ""))
-    return fuzzy_scored(rows, query).orderBy(F.desc("score"), "id").limit(limit)
-
-
 def layer_of(path: Column) -> Column:
     """The owner whose overlay a path belongs to, or base."""
     owner = F.regexp_extract(path, r"^/?Private/([^/]+)", 1)

@@ -16,6 +16,8 @@ from quarry.operators.acl import readable_entities
 from quarry.operators.retrieval import matched_entities
 
 MATCHED, RELATIONS, COMMUNITIES, PASSAGE, PROMPT_TEXT = 20, 20, 20, 800, 800
+#: Names most like the query that are matched besides those that it holds.
+FUZZY = 50
 #: Properties that a context shows, and their labels (fixed values).
 SHOWN: Mapping[str, str] = {
     "product_code": "상품코드",
@@ -70,12 +72,12 @@ def _items(df: DataFrame, section: str, item: Column | str) -> DataFrame:
     return df.select(F.lit(section).alias("section"), (F.col(item) if isinstance(item, str) else item).alias("item"))
 
 
-def local_search(query: str, entities: DataFrame, edges: DataFrame, members: DataFrame, sources: DataFrame, may_read: Column, depth: int = 2) -> DataFrame:
+def local_search(query: str, entities: DataFrame, edges: DataFrame, members: DataFrame, sources: DataFrame, may_read: Column, depth: int = 2, fuzzy: int = FUZZY) -> DataFrame:
     """section, item: matched and related entities that may be seen, relations met on the way, communities of the matched, sources that may be read.
 
     entities: id, name, mentions; edges: src, dst, relation_type; members: community, id; sources: id, source_path.
     """
-    matched = settled(visible(matched_entities(entities, query, MATCHED), sources, may_read).select("id"))
+    matched = settled(visible(matched_entities(entities, query, MATCHED, fuzzy), sources, may_read).select("id"))
     near = reached(edges, matched, depth)
     related = settled(visible(entities.select("id").join(near.where("hops > 0"), "id", "left_semi"), sources, may_read).select("id"))
     inner = near.where(F.col("hops") < depth).select("id")
@@ -102,17 +104,17 @@ def global_search(communities: DataFrame, near: DataFrame) -> DataFrame:
     return _items(summarised_communities(communities), "community", "community").unionByName(_items(near, "vector", "path"))
 
 
-def hybrid_graph_search(query: str, near: DataFrame, *graph) -> DataFrame:
+def hybrid_graph_search(query: str, near: DataFrame, *graph, fuzzy: int = FUZZY) -> DataFrame:
     """section, item: what local_search gives, the documents that vectors find, and the sources of both."""
-    own, vector = local_search(query, *graph), _items(near, "vector", "path")
+    own, vector = local_search(query, *graph, fuzzy=fuzzy), _items(near, "vector", "path")
     sources = own.where("section = 'source'").unionByName(vector.select(F.lit("source").alias("section"), "item")).distinct()
     return own.where("section <> 'source'").unionByName(vector).unionByName(sources)
 
 
-def graph_search(mode: str, query: str, near: DataFrame, communities: DataFrame, *graph) -> DataFrame:
+def graph_search(mode: str, query: str, near: DataFrame, communities: DataFrame, *graph, fuzzy: int = FUZZY) -> DataFrame:
     """local, global, or else hybrid search."""
     mode = mode.lower()
-    return local_search(query, *graph) if mode == "local" else global_search(communities, near) if mode == "global" else hybrid_graph_search(query, near, *graph)
+    return local_search(query, *graph, fuzzy=fuzzy) if mode == "local" else global_search(communities, near) if mode == "global" else hybrid_graph_search(query, near, *graph, fuzzy=fuzzy)
 
 
 def _joined(rows: DataFrame, order: list[Column], line: Column, name: str) -> DataFrame:
@@ -147,13 +149,13 @@ def shown_properties(properties: Column) -> Column:
     return F.array_join(F.array_compact(F.array(*pairs)), ", ")
 
 
-def prompt_context(query: str, entities: DataFrame, sources: DataFrame, may_read: Column, n: int = 5, entity_type: str | None = None) -> DataFrame:
+def prompt_context(query: str, entities: DataFrame, sources: DataFrame, may_read: Column, n: int = 5, entity_type: str | None = None, fuzzy: int = FUZZY) -> DataFrame:
     """id, text: the n matched entities that may be seen, each as JSON of name, type and the properties shown, cut at 800 characters.
 
     entities: id, name, entity_type, mentions, properties map<string,string>.
     """
     kept = entities.where(F.col("entity_type") == entity_type) if entity_type else entities
-    top = visible(matched_entities(kept, query, MATCHED), sources, may_read).orderBy(F.desc("mentions"), "id").limit(n)
+    top = visible(matched_entities(kept, query, MATCHED, fuzzy), sources, may_read).orderBy(F.desc("mentions"), "id").limit(n)
     text = F.to_json(F.struct("name", F.col("entity_type").alias("type"), shown_properties(F.col("properties")).alias("properties")))
     return top.select("id", F.left(text, F.lit(PROMPT_TEXT)).alias("text"))
 

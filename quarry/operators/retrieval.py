@@ -32,13 +32,26 @@ def hybrid_search(chunks: DataFrame, query: list[float], words: str, visible: Co
     return near.withColumn("score", F.round((1 - keyword_weight) * close + keyword_weight * found, 6)).orderBy(F.desc("score"), key).limit(k)
 
 
-def matched_entities(entities: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Entities whose name is in the query or shares a token with it, the most mentioned first."""
-    asked = sorted(set(re.findall("[a-zA-Z0-9가-힣-]+", query.lower())))
-    low = F.lower("name")
-    own = F.regexp_extract_all(low, F.lit("[a-zA-Z0-9가-힣-]+"), F.lit(0))
-    hit = F.contains(F.lit(query.lower()), low) | F.arrays_overlap(own, F.array(*map(F.lit, asked))) if asked else F.contains(F.lit(query.lower()), low)
-    return entities.where(hit).orderBy(F.desc("mentions"), "id").limit(limit)
+def named_in(query: str, name: Column) -> Column:
+    """Whether a name is in the query, or shares a token with it, letters of either case."""
+    token = "[a-zA-Z0-9가-힣-]+"
+    asked = sorted(set(re.findall(token, query.lower())))
+    low = F.lower(name)
+    inside = F.contains(F.lit(query.lower()), low)
+    return inside | F.arrays_overlap(F.regexp_extract_all(low, F.lit(token), F.lit(0)), F.array(*map(F.lit, asked))) if asked else inside
+
+
+def matched_entities(entities: DataFrame, query: str, limit: int = 20, fuzzy: int = 50, index: DataFrame | None = None) -> DataFrame:
+    """Entities whose name is in the query or shares a token with it, and the `fuzzy` names most like it; the most mentioned first.
+
+    index: gram_index of the entities, where there is one.
+    """
+    from quarry.operators.fuzzy import fuzzy_top
+
+    rows = entities.where(named_in(query, F.col("name")))
+    if fuzzy:
+        rows = rows.unionByName(fuzzy_top(entities, query, fuzzy, index).drop("score")).dropDuplicates(["id"])
+    return rows.orderBy(F.desc("mentions"), "id").limit(limit)
 
 
 def related_documents(matched: DataFrame, sources: DataFrame) -> DataFrame:

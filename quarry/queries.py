@@ -36,13 +36,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from quarry import queries_build, queries_graph, queries_service  # noqa: F401  register their own
+    from quarry import queries_build, queries_fuzzy, queries_graph, queries_service  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from quarry import queries_build, queries_graph, queries_service  # noqa: F401
+    from quarry import queries_build, queries_fuzzy, queries_graph, queries_service  # noqa: F401
 
     return dict(_SQL)
 
@@ -116,7 +116,7 @@ ORDER BY mentions DESC, id LIMIT 20"""
 
 @query(_MATCH_SQL)
 def match_entities(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.matched_entities(spark_view(spark, sf, "v_nodes"), "machinery of Asia and Europe steel").select("id", "name", "mentions")
+    return retrieval.matched_entities(spark_view(spark, sf, "v_nodes"), "machinery of Asia and Europe steel", fuzzy=0).select("id", "name", "mentions")
 
 
 @query("""WITH seeds AS (SELECT id FROM {v_nodes} n WHERE id IN ('nation:3', 'nation:7')),
@@ -566,11 +566,6 @@ def viz_export(spark: SparkSession, sf: str) -> DataFrame:
     return spark_view(spark, sf, "v_nodes").select("id", F.col("name").alias("label"), F.col("entity_type").alias("type"), F.col("mentions").alias("size"))
 
 
-@query()
-def fuzzy_search(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.fuzzy_search(spark_view(spark, sf, "v_nodes"), "EUROP", limit=20).select("id", "name", "score")
-
-
 @query("""SELECT name, doc_id FROM (SELECT source AS name, doc_id, row_number() OVER (PARTITION BY source ORDER BY effective_date DESC, doc_id) AS r FROM {v_docs} d WHERE effective_date <= '2024-06-15') x WHERE r = 1""")
 def version_dedup(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark_view(spark, sf, "v_docs").select(F.col("source").alias("name"), "doc_id", "effective_date", F.col("doc_id").alias("rank"))

@@ -40,7 +40,7 @@ def _near(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_LOCAL_CTES + " SELECT section, item FROM own UNION ALL SELECT 'source', item FROM source")
 def rag_local(spark: SparkSession, sf: str) -> DataFrame:
-    return graphrag.graph_search("local", _ASKED, None, None, *_graph(spark, sf))
+    return graphrag.graph_search("local", _ASKED, None, None, *_graph(spark, sf), fuzzy=0)
 
 
 @query(f"SELECT 'community' AS section, community AS item FROM {{v_communities}} c WHERE summary <> '' OR NOT EXISTS (SELECT 1 FROM {{v_communities}} d WHERE d.summary <> '') UNION ALL SELECT 'vector', item FROM {_VECTOR_SQL} v")
@@ -50,7 +50,7 @@ def rag_global(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_LOCAL_CTES + f", vector AS {_VECTOR_SQL} SELECT section, item FROM own UNION ALL SELECT 'vector', item FROM vector UNION ALL SELECT 'source', item FROM (SELECT item FROM source UNION SELECT item FROM vector) u")
 def rag_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    return graphrag.graph_search("any", _ASKED, _near(spark, sf), spark_view(spark, sf, "v_communities"), *_graph(spark, sf))
+    return graphrag.graph_search("any", _ASKED, _near(spark, sf), spark_view(spark, sf, "v_communities"), *_graph(spark, sf), fuzzy=0)
 
 
 @query(f"""WITH h AS (SELECT h.doc_id, h.score, rank() OVER (ORDER BY h.score DESC, h.doc_id) AS r, d.path, d.text FROM ({_HYBRID_SQL}) h JOIN {{v_docs}} d ON d.doc_id = h.doc_id),
@@ -66,7 +66,7 @@ FROM (SELECT * FROM (SELECT id, name, entity_type, mentions FROM {{v_nodes}} n W
 def prompt_context(spark: SparkSession, sf: str) -> DataFrame:
     props = F.create_map(F.lit("product_code"), F.col("id"), F.lit("severity"), F.when(F.col("mentions") % 2 == 0, F.col("mentions").cast("string")).otherwise(""), F.lit("colour"), F.lit("red"))
     *_, sources, may_read = _graph(spark, sf)
-    return graphrag.prompt_context(_ASKED, spark_view(spark, sf, "v_nodes").withColumn("properties", props), sources, may_read)
+    return graphrag.prompt_context(_ASKED, spark_view(spark, sf, "v_nodes").withColumn("properties", props), sources, may_read, fuzzy=0)
 
 
 @query(f"""WITH seen AS (SELECT * FROM {_SEEN_SQL} x), e AS (SELECT src, dst, relation_type, CASE WHEN src = 'region:3' THEN dst ELSE src END AS other FROM {{v_tree_edges}} t WHERE src = 'region:3' OR dst = 'region:3')

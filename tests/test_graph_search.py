@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import defaultdict
 
-from quarry.operators import graph
+from pyspark.sql import functions as F
+
+from quarry.operators import fuzzy, graph, retrieval
 
 
 def links(seed: int, nodes: int, n: int) -> list[tuple[str, str, float]]:
@@ -46,10 +49,71 @@ def test_fuzzy_search(spark):
     names = ["Europe", "EUROPE WEST", "Asia", "", None, "eu rope", "Europe", "Epoch rue", "west of Europe and beyond the sea"]
     rows = [(f"e{i}", n, "region" if i % 2 else "nation", ("2024-01-01", "2025-01-01", "", None)[i % 4]) for i, n in enumerate(names)]
     df = spark.createDataFrame(rows, "id string, name string, entity_type string, effective_date string")
-    best = lambda kept, k: [i for _, i in sorted((-graph.weighted_similarity("Europe", n or ""), i) for i, n, *_ in kept)[:k]]
-    ids = lambda **given: [r.id for r in graph.fuzzy_search(df, "Europe", **given).collect()]
+    best = lambda kept, k: [i for _, i in sorted((-fuzzy.weighted_similarity("Europe", n or ""), i) for i, n, *_ in kept)[:k]]
+    ids = lambda **given: [r.id for r in fuzzy.fuzzy_search(df, "Europe", **given).collect()]
     assert ids(limit=5) == best(rows, 5)
     assert ids(limit=2)[:2] == ["e0", "e6"]
     assert ids(entity_type="region") == best([r for r in rows if r[2] == "region"], 20)
-    assert ids(as_of="2024-06-01") == best([r for r in rows if not r[3] or r[3] <= "2024-06-01"], 20)
-    assert graph.fuzzy_search(df.limit(0), "Europe").count() == 0
+    # of the versions of one name the latest in force stays, an undated one only where there is no other
+    dated = ids(as_of="2024-06-01")
+    versions: dict = {}
+    for i, n, _, day in rows:
+        if not day or day <= "2024-06-01":
+            versions.setdefault(n, []).append((day or "", -int(i[1:]), i))
+    assert sorted(dated) == sorted(max(v)[2] for v in versions.values())
+    assert fuzzy.fuzzy_search(df.limit(0), "Europe").count() == 0
+    assert [r.id for r in fuzzy.fuzzy_search(df, "", limit=3).collect()] == ["e0", "e1", "e2"]
+
+
+def random_names(rng, n):
+    words = ["Asia", "asia", "Euro", "East", "a", "süd", "한국", "west-1", "", "  ", "\t"]
+    return [" ".join(rng.choice(words) + rng.choice(["", "x", "pe"]) for _ in range(rng.choice([1, 1, 2, 3, 8]))) for _ in range(n)]
+
+
+def test_likeness():
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            left = 0
+            for j, y in enumerate(b, 1):
+                left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    rng = random.Random(2)
+    names = random_names(rng, 60)
+    for a in names:
+        b = rng.choice(names)
+        assert fuzzy.common_length(a, b) == plain(a, b) == fuzzy.common_length(b, a)
+        assert fuzzy.weighted_similarity(a, b) == fuzzy.weighted_similarity(b, a)
+    assert fuzzy.part_similarity("abc", "bcxxxx") == 80.0  # a part may be cut off by the beginning
+
+
+def test_bounds_hold(spark):
+    rng = random.Random(3)
+    names = sorted(set(random_names(rng, 400)) - {""})
+    index = fuzzy.gram_index(spark.createDataFrame([(n,) for n in names], "name string")).cache()
+    for query in [*rng.sample(names, 6), "Asiax Europe", "x", " ", "zzz Asia  west-1 Asia", "q" * 70]:
+        held = {r.name: r.bound for r in fuzzy.bounds(index, query).collect()}
+        for n in names:
+            assert fuzzy.weighted_similarity(query, n) <= held.get(n, 0.0), (query, n)
+
+
+def test_fuzzy_top_is_exact(spark):
+    rng = random.Random(4)
+    rows = [(f"e{i:03d}", rng.choice([n, n, None]), i % 13) for i, n in enumerate(random_names(rng, 300))]
+    df = spark.createDataFrame(rows, "id string, name string, mentions long")
+    index = fuzzy.gram_index(df).cache()
+    for query in ["Asia west", "Europe", "süd한국", "nothing#", "Eastpe a"]:
+        scored = sorted((-fuzzy.weighted_similarity(query, n or ""), i) for i, n, _ in rows)
+        for k in (1, 7, 60):
+            assert [(-r.score, r.id) for r in fuzzy.fuzzy_top(df, query, k, index).collect()] == scored[:k]
+        tokens = {i for i, n, _ in rows if n is not None and (n.lower() in query.lower() or set(re.findall("[a-zA-Z0-9가-힣-]+", n.lower())) & set(re.findall("[a-zA-Z0-9가-힣-]+", query.lower())))}
+        want = tokens | {i for _, i in scored[:50]}
+        assert [r.id for r in retrieval.matched_entities(df, query).collect()] == [i for _, i in sorted((-m, i) for i, _, m in rows if i in want)[:20]]
+
+
+def test_readable_fuzzy_search(spark):
+    df = spark.createDataFrame([(f"e{i}", f"Europe {i}", 1) for i in range(9)], "id string, name string, mentions long")
+    sources = spark.createDataFrame([(f"e{i}", "/Public/a" if i > 4 else "/Private/b") for i in range(8)], "id string, source_path string")
+    ids = lambda limit: [r.id for r in fuzzy.readable_fuzzy_search(df, "Europe", sources, F.startswith("source_path", F.lit("/Public/")), limit).collect()]
+    assert ids(3) == ["e5", "e6", "e7"] and ids(1) == []  # of three fetched none may be seen

@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import acl, audit, documents, graph, retrieval, workflow
+from quarry.operators import acl, audit, documents, fuzzy, graph, retrieval, workflow
 from quarry.sources import readers
 
 
@@ -63,9 +63,9 @@ def test_louvain_parts_two_cliques():
 
 
 def test_similarity():
-    assert graph.weighted_similarity("", "a") == 0 and graph.weighted_similarity("abc", "abc") == 100
-    assert graph.weighted_similarity("new york mets", "mets york new") == pytest.approx(95.0)
-    assert graph.weighted_similarity("yankees", "new york yankees") == pytest.approx(90.0)
+    assert fuzzy.weighted_similarity("", "a") == 0 and fuzzy.weighted_similarity("abc", "abc") == 100
+    assert fuzzy.weighted_similarity("new york mets", "mets york new") == pytest.approx(95.0)
+    assert fuzzy.weighted_similarity("yankees", "new york yankees") == pytest.approx(90.0)
 
 
 def test_versions(spark):
