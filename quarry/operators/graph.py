@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.tables import written
+
 
 def upsert_entities(events: DataFrame) -> DataFrame:
     """Raw entity rows, by id: the first row's name and type, mentions, ordered distinct paths, properties of which the first value stays.
@@ -25,12 +26,12 @@ def upsert_entities(events: DataFrame) -> DataFrame:
 
 
 def upsert_edges(events: DataFrame, by_relation: bool = False) -> DataFrame:
-    """Raw edge rows, by ordered pair: the first row's type and path, its weight and one more for each repeat."""
+    """Raw edge rows, by ordered pair: the first row's type, path and (where there are any) properties, its weight and one more for each repeat."""
     keys = ["src", "dst", "relation_type"] if by_relation else ["src", "dst"]
-    aggs = [F.min_by("source_path", "ord").alias("source_path"), (F.min_by("weight", "ord") + F.count(F.lit(1)) - 1).alias("weight")]
-    if not by_relation:
-        aggs.insert(0, F.min_by("relation_type", "ord").alias("relation_type"))
-    return events.groupBy(*keys).agg(*aggs)
+    kept = [c for c in ("relation_type", "source_path", "properties") if c in events.columns and c not in keys]
+    first = F.min_by(F.struct(*kept, "weight"), "ord").alias("first")
+    rows = events.groupBy(*keys).agg(first, F.count(F.lit(1)).alias("n"))
+    return rows.select(*keys, *[F.col(f"first.{c}").alias(c) for c in kept], (F.col("first.weight") + F.col("n") - 1).alias("weight"))
 
 
 def stub_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -66,11 +67,36 @@ def neighbours(edges: DataFrame, start: str, depth: int, relations: list[str] |
         nxt = both.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
         frontier = nxt.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hops"))
         if hop < depth:
-            frontier = frontier.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else frontier
+            frontier = written(frontier)
         seen = seen.unionByName(frontier)
     return seen.where("hops > 0")
 
 
+def traversed(edges: DataFrame, start: str, depth: int, relations: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id and hops of what lies within depth steps of start, the edges met on the way and the step that met them first).
+
+    A step leaves the nodes that the last one reached, along edges in either direction; an edge is met once for each ordered pair, with
+    its properties, also where it leads back to a node that was seen before.
+    """
+    kept = edges.where(F.col("relation_type").isin(*relations)) if relations else edges
+    seen = frontier = edges.sparkSession.createDataFrame([(start, 0)], "id string, hops int")
+    met = None
+    for hop in range(1, depth + 1):
+        ends = frontier.select(F.col("id").alias("at"))
+        out = kept.join(ends, F.col("src") == F.col("at")).withColumn("to", F.col("dst"))
+        back = kept.join(ends, F.col("dst") == F.col("at")).withColumn("to", F.col("src"))
+        touched = written(out.unionByName(back).drop("at").withColumn("hop", F.lit(hop)))
+        fresh = touched.select(F.col("to").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        frontier = written(fresh.select("id", F.lit(hop).alias("hops")))
+        seen = seen.unionByName(frontier)
+        met = touched if met is None else met.unionByName(touched)
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    if met is None:
+        return seen.where("hops > 0"), edges.where("false").withColumn("hop", F.lit(0))
+    once = met.groupBy("src", "dst").agg(F.min_by(F.struct(*rest), "hop").alias("first"), F.min("hop").alias("hop"))
+    return seen.where("hops > 0"), once.select("src", "dst", *[F.col(f"first.{c}").alias(c) for c in rest], "hop")
+
+
 def subgraph(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
     """Edges among the seeds and what lies within depth steps of any of them."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -92,32 +118,28 @@ def named_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """id, component: the smallest id that can be reached; minima spread along edges, then along themselves, until nothing changes."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct()
-    both = _settled(both)
+    both = written(both)
     labels = both.groupBy(F.col("src").alias("id")).agg(F.least(F.col("id"), F.min("dst")).alias("component"))
     while True:
         near = both.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
         better = labels.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("old"))
         jump = better.join(labels.select(F.col("id").alias("component"), F.col("component").alias("far")), "component", "left")
-        labels = _settled(jump.select("id", F.least("component", F.coalesce("far", "component")).alias("component"), "old"))
+        labels = written(jump.select("id", F.least("component", F.coalesce("far", "component")).alias("component"), "old"))
         if not labels.where("component != old").take(1):
             return labels.select("id", "component")
         labels = labels.select("id", "component")
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def label_communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
     """id, community: weighted label spreading; each round every node takes the label that weighs most among its neighbours, ties to the smallest."""
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    both = _settled(both.groupBy("src", "dst").agg(F.max("weight").alias("weight")))
+    both = written(both.groupBy("src", "dst").agg(F.max("weight").alias("weight")))
     labels = both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
     for _ in range(rounds):
         votes = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
         own = labels.select(F.col("id").alias("src"), "community", F.lit(0.5).alias("w"))  # a node clings to its label a little
         all_votes = votes.unionByName(own).groupBy("src", "community").agg(F.sum("w").alias("w"))
-        labels = _settled(all_votes.groupBy(F.col("src").alias("id")).agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("community")))
+        labels = written(all_votes.groupBy(F.col("src").alias("id")).agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("community")))
     return labels
 
 
@@ -166,26 +188,6 @@ def louvain(nodes: int, links: list[tuple[int, int, float]], resolution: float =
         graph = merged
 
 
-def communities(edges: DataFrame, parts: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """id, community (its smallest member): Louvain within each connected component, so components run in parallel.  parts: id, component."""
-    inside = edges.join(parts.withColumnRenamed("id", "src"), "src").select("component", "src", "dst", "weight")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(set(frame["src"]) | set(frame["dst"]))
-        place = {x: i for i, x in enumerate(ids)}
-        best: dict[tuple[int, int], float] = {}
-        for a, b, w in zip(frame["src"], frame["dst"], frame["weight"]):
-            pair = (min(place[a], place[b]), max(place[a], place[b]))
-            best[pair] = max(best.get(pair, 0.0), w)
-        group = louvain(len(ids), [(a, b, w) for (a, b), w in sorted(best.items())], resolution)
-        first: dict[int, str] = {}
-        for x, g in zip(ids, group):
-            first.setdefault(g, x)
-        return pd.DataFrame({"id": ids, "community": [first[g] for g in group]})
-
-    return inside.groupBy("component").applyInPandas(run, "id string, community string")
-
-
 def community_table(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """community, name (its most mentioned member's, the smallest id first), size, entity_ids."""
     rows = members.join(nodes.select("id", "name", "mentions"), "id", "left")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.acl import readable_entities
 from quarry.operators.retrieval import matched_entities
+from quarry.sources.tables import written
 
 MATCHED, RELATIONS, COMMUNITIES, PASSAGE, PROMPT_TEXT = 20, 20, 20, 800, 800
 #: Names most like the query that are matched besides those that it holds.
@@ -52,15 +53,10 @@ def reached(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     out = seeds.select("id", F.lit(0).alias("hops")).distinct()
     for hop in range(1, depth + 1):
-        out = settled(out)  # else every step holds the plans of all before twice
+        out = written(out)  # else every step holds the plans of all before twice
         step = both.join(out.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"), F.lit(hop).alias("hops"))
         out = out.unionByName(step).groupBy("id").agg(F.min("hops").alias("hops"))
-    return settled(out)
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the checkpoint folder; as it is where there is none (tests)."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    return written(out)
 
 
 def visible(entities: DataFrame, sources: DataFrame, may_read: Column) -> DataFrame:
@@ -77,9 +73,9 @@ def local_search(query: str, entities: DataFrame, edges: DataFrame, members: Dat
 
     entities: id, name, mentions; edges: src, dst, relation_type; members: community, id; sources: id, source_path.
     """
-    matched = settled(visible(matched_entities(entities, query, MATCHED, fuzzy), sources, may_read).select("id"))
+    matched = written(visible(matched_entities(entities, query, MATCHED, fuzzy), sources, may_read).select("id"))
     near = reached(edges, matched, depth)
-    related = settled(visible(entities.select("id").join(near.where("hops > 0"), "id", "left_semi"), sources, may_read).select("id"))
+    related = written(visible(entities.select("id").join(near.where("hops > 0"), "id", "left_semi"), sources, may_read).select("id"))
     inner = near.where(F.col("hops") < depth).select("id")
     met = edges.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(edges.join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns))
     lines = met.select("src", "dst", "relation_type").distinct().orderBy("src", "dst", "relation_type").limit(RELATIONS)
@@ -168,11 +164,11 @@ def community_tags(nodes: DataFrame, members: DataFrame) -> DataFrame:
 
 def entity_detail(entities: DataFrame, edges: DataFrame, sources: DataFrame, may_read: Column, start: str) -> DataFrame:
     """section, item: the entity, its neighbours and the relations to them, as far as they may be seen; nothing if the entity may not."""
-    own = settled(visible(entities.where(F.col("id") == start), sources, may_read).select("id"))
+    own = written(visible(entities.where(F.col("id") == start), sources, may_read).select("id"))
     touching = edges.where((F.col("src") == start) | (F.col("dst") == start)).withColumn("id", F.lit(start)).join(own, "id", "left_semi").drop("id")
     other = F.when(F.col("src") == start, F.col("dst")).otherwise(F.col("src"))
-    touching = settled(touching)
-    seen = settled(visible(entities.select("id").join(touching.select(other.alias("id")).distinct(), "id", "left_semi"), sources, may_read).select("id"))
+    touching = written(touching)
+    seen = written(visible(entities.select("id").join(touching.select(other.alias("id")).distinct(), "id", "left_semi"), sources, may_read).select("id"))
     lines = touching.withColumn("id", other).join(seen, "id", "left_semi").select("src", "dst", "relation_type").distinct()
     return _items(own, "entity", "id").unionByName(_items(seen, "neighbour", "id")).unionByName(_items(lines, "relation", F.concat_ws("|", "src", "relation_type", "dst")))
 

@@ -5,43 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.tables import written
+
 
 def closure(deps: DataFrame, start: str | None = None) -> DataFrame:
-    """skill, needs: everything that a skill rests on, directly or not.  The graph is of registered skills, a small table; rounds stop when nothing is new."""
-    edges = deps.select("skill", F.col("dep").alias("needs")).distinct()
+    """skill, needs: everything that a skill rests on, directly or not (itself too, if it lies on a cycle).
+
+    For one skill the frontier goes a step a round; for all of them paths double, so rounds grow with the logarithm of the longest.
+    """
+    edges = written(deps.select("skill", F.col("dep").alias("needs")).distinct())
     found = edges.where(F.col("skill") == start) if start else edges
-    frontier, spark = found, deps.sparkSession
+    frontier = found
     while True:
-        step = frontier.join(edges.select(F.col("skill").alias("needs"), F.col("needs").alias("further")), "needs").select("skill", F.col("further").alias("needs")).distinct()
-        fresh = step.join(found, ["skill", "needs"], "left_anti")
-        rows = fresh.collect()
-        if not rows:
+        ahead = edges if start else found
+        step = frontier.join(ahead.select(F.col("skill").alias("needs"), F.col("needs").alias("further")), "needs").select("skill", F.col("further").alias("needs")).distinct()
+        fresh = written(step.join(found, ["skill", "needs"], "left_anti"))
+        if not fresh.take(1):
             return found
-        frontier = spark.createDataFrame(rows, fresh.schema)
-        found = found.unionByName(frontier)
+        found = written(found.unionByName(fresh))
+        frontier = fresh if start else found
 
 
 def levels(skills: DataFrame, deps: DataFrame) -> DataFrame:
     """skill, level (0 needs nothing, else one more than the highest it needs); skills on a cycle, or that need one, have a null level.
 
-    A step peels all skills whose needs are all placed; only known skills count as needs.
+    A round peels all skills whose needs are all placed, and the dependencies on them; only known skills count as needs.
     """
-    spark = skills.sparkSession
-    known = {r[0] for r in skills.select("skill").collect()}
-    needs: dict[str, set[str]] = {s: set() for s in known}
-    for r in deps.collect():
-        if r["skill"] in known and r["dep"] in known:
-            needs[r["skill"]].add(r["dep"])
-    placed: dict[str, int] = {}
-    level = 0
-    while ready := [s for s in needs if s not in placed and needs[s] <= placed.keys()]:
-        placed.update(dict.fromkeys(ready, level))
+    left = written(skills.select("skill").where("skill is not null").distinct())
+    known = left.select(F.col("skill").alias("dep"))
+    needs = written(deps.select("skill", "dep").distinct().join(left, "skill", "left_semi").join(known, "dep", "left_semi").select("skill", "dep"))
+    placed, level = None, 0
+    while True:
+        ready = written(left.join(needs.select("skill").distinct(), "skill", "left_anti"))
+        if not ready.take(1):
+            rest = left.select("skill", F.lit(None).cast("int").alias("level"))
+            return rest if placed is None else placed.unionByName(rest)
+        now = ready.select("skill", F.lit(level).alias("level"))
+        placed = now if placed is None else placed.unionByName(now)
+        left = written(left.join(ready, "skill", "left_anti"))
+        needs = written(needs.join(ready.select(F.col("skill").alias("dep")), "dep", "left_anti").select("skill", "dep"))
         level += 1
-    return spark.createDataFrame([(s, placed.get(s)) for s in sorted(known)], "skill string, level int")
 
 
 def execution_plan(skills: DataFrame, deps: DataFrame, target: str) -> DataFrame:
-    """step, skill: what must run for the target, in order."""
+    """step, skill: what must run for the target, in order.  The steps of one plan are numbered in one task."""
     wanted = closure(deps, target).select(F.col("needs").alias("skill")).unionByName(skills.where(F.col("skill") == target).select("skill")).distinct()
     placed = levels(skills, deps).join(wanted, "skill", "left_semi")
     return placed.select(F.row_number().over(Window.partitionBy().orderBy("level", "skill")).alias("step"), "skill")

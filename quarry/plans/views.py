@@ -78,15 +78,20 @@ VIEWS: dict[str, str] = {
           concat('2024-', lpad(CAST(1 + doc_id % 12 AS STRING), 2, '0'), '-01') AS effective_date
         FROM {documents}""",
     "v_skills": """
-        SELECT * FROM (VALUES
-          ('lookup', 'core', 'GET'), ('score', 'core', 'POST'), ('quote', 'policy', 'POST'), ('report', 'policy', 'POST'), ('notify', '', 'POST'), ('archive', 'core', 'POST'), ('audit', 'core', 'GET')
-        ) AS s(skill, endpoint, method)""",
+        SELECT concat('skill', CAST(p_partkey AS STRING)) AS skill, CASE WHEN p_size % 7 = 0 THEN '' WHEN p_size % 2 = 0 THEN 'core' ELSE 'policy' END AS endpoint,
+          CASE WHEN p_partkey % 3 = 0 THEN 'GET' ELSE 'POST' END AS method, CAST(floor(p_size / 10) AS INT) AS tier
+        FROM {part}""",
     "v_skill_deps": """
-        SELECT * FROM (VALUES
-          ('score', 'lookup'), ('quote', 'score'), ('quote', 'lookup'), ('report', 'quote'), ('notify', 'report'), ('archive', 'report'), ('archive', 'missing')
-        ) AS d(skill, dep)""",
+        SELECT DISTINCT a.skill, b.skill AS dep
+        FROM (SELECT l_orderkey, l_linenumber, concat('skill', CAST(l_partkey AS STRING)) AS skill FROM {lineitem}) x
+        JOIN (SELECT l_orderkey, l_linenumber - 1 AS l_linenumber, concat('skill', CAST(l_partkey AS STRING)) AS dep FROM {lineitem}) y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber = y.l_linenumber
+        JOIN (SELECT skill, tier FROM {v_skills}) a ON a.skill = x.skill JOIN (SELECT skill, tier FROM {v_skills}) b ON b.skill = y.dep WHERE a.tier > b.tier
+        UNION ALL SELECT concat('skill', CAST(p_partkey AS STRING)), concat('retired', CAST(p_partkey AS STRING)) FROM {part} WHERE p_size = 50""",
     "v_users": """
-        SELECT * FROM (VALUES ('admin01', 'admin', 'it'), ('uw001', 'underwriter', 'underwriting'), ('analyst01', 'analyst', 'life_insurance'), ('user3', 'viewer', 'health_insurance')) AS u(user_id, role, department)""",
+        SELECT CASE c_custkey WHEN 0 THEN 'admin01' WHEN 1 THEN 'uw001' WHEN 2 THEN 'analyst01' WHEN 3 THEN 'user3' ELSE concat('customer', CAST(c_custkey AS STRING)) END AS user_id,
+          CASE c_custkey % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'underwriter' WHEN 2 THEN 'analyst' ELSE 'viewer' END AS role,
+          CASE c_custkey WHEN 0 THEN 'it' WHEN 1 THEN 'underwriting' WHEN 2 THEN 'life_insurance' WHEN 3 THEN 'health_insurance' ELSE lower(c_mktsegment) END AS department
+        FROM {customer}""",
     "v_role_globs": """
         SELECT * FROM (VALUES
           ('admin', 'read', '/Public/**'), ('admin', 'read', '/Shared/**'), ('admin', 'read', '/Private/**'), ('admin', 'write', '/Public/**'), ('admin', 'write', '/Shared/**'), ('admin', 'write', '/Private/**'),

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from quarry.functions import equations, skills
 from quarry.functions import security as sec
 from quarry.functions import text as tx
-from quarry.operators import acl, audit, chunks, control, documents, extract, graph, retrieval, workflow
+from quarry.operators import acl, audit, chunks, community, control, documents, extract, graph, retrieval, workflow
 from quarry.plans.views import spark_view, with_views
-from quarry.streaming import flows
+from quarry.streaming import edge_store, flows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -498,6 +498,40 @@ def edge_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("weight", F.col("weight").cast("double"))
 
 
+_LINE_EDGES = """SELECT concat('order', CAST(l_orderkey % 97 AS STRING)) AS src, concat('supplier', CAST(l_suppkey AS STRING)) AS dst, l_returnflag AS relation_type, 'lineitem' AS source_path,
+  ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 100 + CAST(l_quantity AS BIGINT) AS ord, CAST(l_quantity AS DOUBLE) AS weight, l_linestatus AS mode, CAST(l_linenumber AS STRING) AS line FROM lineitem"""
+
+
+def _line_edges(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    raw = spark.sql(_LINE_EDGES.replace("FROM lineitem", "FROM {lineitem}"), lineitem=rows)
+    return raw.select("src", "dst", "relation_type", "source_path", "ord", "weight", F.create_map(F.lit("mode"), "mode", F.lit("line"), "line").alias("properties"))
+
+
+_PROPERTY_SQL = f"SELECT src, dst, arg_min(relation_type, ord) AS relation_type, arg_min(weight, ord) + count(*) - 1 AS weight, arg_min(mode, ord) AS mode, arg_min(line, ord) AS line FROM ({_LINE_EDGES}) e GROUP BY src, dst"
+
+
+def _with_properties(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst", "relation_type", "weight", F.col("properties")["mode"].alias("mode"), F.col("properties")["line"].alias("line"))
+
+
+@query(_PROPERTY_SQL)
+def edge_properties(spark: SparkSession, sf: str) -> DataFrame:
+    return _with_properties(graph.upsert_edges(_line_edges(spark, spark_view(spark, sf, "lineitem"))))
+
+
+@query(_PROPERTY_SQL)
+def stream_edge_properties(spark: SparkSession, sf: str) -> DataFrame:
+    raw = _line_edges(spark, flows.table_stream(spark, f"{sf}/lineitem.parquet"))
+    return _with_properties(edge_store.incremental_edges(raw, flows.work_folder(spark, "edges")))
+
+
+@query("""WITH RECURSIVE b AS (SELECT src, dst FROM {v_tree_edges} e UNION ALL SELECT dst, src FROM {v_tree_edges} e),
+r(id, hops) AS (SELECT 'nation:3', 0 UNION SELECT b.dst, r.hops + 1 FROM r JOIN b ON b.src = r.id WHERE r.hops < 2), near AS (SELECT id, min(hops) AS hops FROM r GROUP BY id)
+SELECT e.src, e.dst, e.relation_type, CAST(min(n.hops) + 1 AS INT) AS hop FROM {v_tree_edges} e JOIN near n ON n.id = e.src OR n.id = e.dst WHERE n.hops < 2 GROUP BY 1, 2, 3""")
+def traversed_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.traversed(spark_view(spark, sf, "v_tree_edges"), "nation:3", 2)[1]
+
+
 @query("SELECT src, dst, relation_type, CAST(count(*) AS DOUBLE) AS weight FROM {v_edge_events} e GROUP BY src, dst, relation_type")
 def edge_upsert_multi(spark: SparkSession, sf: str) -> DataFrame:
     out = graph.upsert_edges(spark_view(spark, sf, "v_edge_events"), by_relation=True)
@@ -585,7 +619,7 @@ def _weighted(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def communities(spark: SparkSession, sf: str) -> DataFrame:
     edges = _weighted(spark, sf)
-    members = graph.communities(edges, graph.components(edges))
+    members = community.louvain_communities(edges)
     return graph.community_table(members, spark_view(spark, sf, "v_nodes")).withColumn("entity_ids", F.array_join("entity_ids", ","))
 
 
@@ -670,10 +704,10 @@ def topo_levels(spark: SparkSession, sf: str) -> DataFrame:
     return workflow.levels(spark_view(spark, sf, "v_skills"), spark_view(spark, sf, "v_skill_deps"))
 
 
-@query(f"""WITH RECURSIVE c(skill) AS (SELECT 'report' UNION SELECT dep FROM c JOIN {{v_skill_deps}} x ON x.skill = c.skill), l AS ({_LEVEL_SQL})
+@query(f"""WITH RECURSIVE c(skill) AS (SELECT 'skill1' UNION SELECT dep FROM c JOIN {{v_skill_deps}} x ON x.skill = c.skill), l AS ({_LEVEL_SQL})
 SELECT CAST(row_number() OVER (ORDER BY level, skill) AS INT) AS step, skill FROM l WHERE skill IN (SELECT skill FROM c)""")
 def exec_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return workflow.execution_plan(spark_view(spark, sf, "v_skills"), spark_view(spark, sf, "v_skill_deps"), "report")
+    return workflow.execution_plan(spark_view(spark, sf, "v_skills"), spark_view(spark, sf, "v_skill_deps"), "skill1")
 
 
 @query("SELECT skill, 'missing endpoint' AS problem FROM {v_skills} s WHERE endpoint = '' UNION ALL SELECT skill, 'unknown dependency ' || dep FROM {v_skill_deps} x WHERE dep NOT IN (SELECT skill FROM {v_skills} s)")
@@ -799,7 +833,7 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
 def stream_incremental_graph(spark: SparkSession, sf: str) -> DataFrame:
     raw = flows.table_stream(spark, f"{sf}/lineitem.parquet").selectExpr("concat('s', l_suppkey) AS src", "concat('p', l_partkey) AS dst", "l_returnflag AS relation_type", "l_orderkey * 10 + l_linenumber AS ord", "'lineitem' AS source_path", "1.0D AS weight")
     store = flows.work_folder(spark, "edges")
-    return flows.incremental_edges(raw, store).select("src", "dst", F.col("weight").cast("double").alias("weight"))
+    return edge_store.incremental_edges(raw, store).select("src", "dst", F.col("weight").cast("double").alias("weight"))
 
 
 # -- extraction, skills, control ---------------------------------------------
@@ -862,10 +896,10 @@ def legacy_response(spark: SparkSession, sf: str) -> DataFrame:
     return spark_view(spark, sf, "orders").select("o_orderkey", made["success"].alias("success"), made["error_code"].alias("error_code"))
 
 
-@query("SELECT skill, CASE WHEN skill IN ('score', 'audit') THEN 'custom' ELSE endpoint END AS endpoint FROM {v_skills} s")
+@query("SELECT skill, CASE WHEN skill IN ('skill3', 'skill6') THEN 'custom' ELSE endpoint END AS endpoint FROM {v_skills} s")
 def registry_layers(spark: SparkSession, sf: str) -> DataFrame:
     base = spark_view(spark, sf, "v_skills").select("skill", "endpoint")
-    return control.layered([base, base.where("skill in ('score', 'audit')").withColumn("endpoint", F.lit("custom"))], "skill")
+    return control.layered([base, base.where("skill in ('skill3', 'skill6')").withColumn("endpoint", F.lit("custom"))], "skill")
 
 
 @query("SELECT path, count(DISTINCT effective_date) > 1 AS many FROM {v_versions} v GROUP BY path")
@@ -885,10 +919,11 @@ def device_lines(spark: SparkSession, sf: str) -> DataFrame:
     return control.device_lines(spark_view(spark, sf, "nation").select(line.alias("line"))).select("idx", "name", "memory_total")
 
 
-@query("SELECT 'u1' AS user_id, 'main' AS label, 'sk-abcde...wxyz' AS key")
+@query("""WITH k AS (SELECT 'u' || c_nationkey AS user_id, c_name AS label, 'sk-' || sha256(c_name) AS key FROM customer)
+SELECT user_id, label, left(key, 8) || '...' || right(key, 4) AS key FROM k WHERE user_id = 'u7'""")
 def masked_keys(spark: SparkSession, sf: str) -> DataFrame:
-    keys = spark.createDataFrame([("u1", "main", "sk-abcdefghijklmnopqrstuvwxyz"), ("u2", "x", "sk-0123456789")], "user_id string, label string, key string")
-    return control.masked_keys(keys, "u1", False)
+    keys = spark_view(spark, sf, "customer").select(F.concat(F.lit("u"), F.col("c_nationkey").cast("string")).alias("user_id"), F.col("c_name").alias("label"), F.concat(F.lit("sk-"), F.sha2("c_name", 256)).alias("key"))
+    return control.masked_keys(keys, "u7", False)
 
 
 @query("SELECT path, security_grade FROM {v_docs} d WHERE security_grade < 3 AND path = '/Shared/it/d21.md'")

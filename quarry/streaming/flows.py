@@ -1,10 +1,7 @@
-"""Structured Streaming: daily figures, rate limits, deduplication, sessions, incremental graph."""
+"""Structured Streaming: daily figures, rate limits, deduplication, sessions."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarry.sources.tables import work_folder
+
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table, or one file of it, as a stream of its files."""
@@ -26,16 +25,6 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint folder; where that is unset, a temporary one in local mode (tests), an error on a cluster."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.gettempdir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, mode: str = "complete", key: list[str] | None = None, state: str | None = None) -> DataFrame:
     """What the stream gives once all that is there has been read, as a table.
 
@@ -88,36 +77,3 @@ def compacted_sessions(turns: DataFrame, keep: int = 3, beyond: int = 6) -> Data
         yield pd.DataFrame({"conv_id": [key[0]], "n_turns": [total], "n_kept": [total - folded], "n_folded": [folded]})
 
     return turns.groupBy("conv_id").applyInPandasWithState(run, "conv_id long, n_turns long, n_kept long, n_folded long", "total long, folded long", "update", GroupStateTimeout.NoTimeout)
-
-
-def incremental_edges(events: DataFrame, store: str) -> DataFrame:
-    """Folds a stream of raw edges into an edge table below store and gives the table as it then is.
-
-    Each version is the upsert of the one before and the batch, so a batch that is run again gives the same; the state of
-    the stream lies beside the versions, so the next run goes on from there.  Versions but the last two are removed.
-    """
-    from quarry.operators.graph import upsert_edges
-
-    spark = events.sparkSession
-
-    def put(batch: DataFrame, number: int) -> None:
-        fresh = upsert_edges(batch).join(batch.groupBy("src", "dst").agg(F.min("ord").alias("ord")), ["src", "dst"])
-        if number:
-            both = spark.read.parquet(f"{store}/versions/v{number - 1}").unionByName(fresh)
-            fresh = both.groupBy("src", "dst").agg(F.min_by("relation_type", "ord").alias("relation_type"), F.min_by("source_path", "ord").alias("source_path"), F.sum("weight").alias("weight"), F.min("ord").alias("ord"))
-        fresh.write.mode("overwrite").parquet(f"{store}/versions/v{number}")
-        if number > 1:
-            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/versions/v{number - 2}")
-            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
-
-    stream = events.writeStream.option("checkpointLocation", f"{store}/state").trigger(availableNow=True).foreachBatch(put).start()
-    stream.awaitTermination()
-    return edge_table(spark, store)
-
-
-def edge_table(spark: SparkSession, store: str) -> DataFrame:
-    """The last version of an edge table."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/versions")
-    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
-    last = max(int(f.getPath().getName()[1:]) for f in found)
-    return spark.read.parquet(f"{store}/versions/v{last}")

@@ -8,7 +8,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from quarry.operators import fuzzy, graph, retrieval
+from quarry.operators import community, fuzzy, graph, retrieval
 
 
 def links(seed: int, nodes: int, n: int) -> list[tuple[str, str, float]]:
@@ -42,7 +42,7 @@ def test_communities_by_component(spark):
     df = spark.createDataFrame(cliques + [("p0", "q0", 1.0), ("p0", "p1", 1.0)], "src string, dst string, weight double")
     parts = graph.components(df)
     assert {r.component for r in parts.collect()} == {"p0", "r0", "s0"}
-    assert {r.id: r.community for r in graph.communities(df, parts).collect()} == {f"{q}{i}": f"{q}0" for q in "pqrs" for i in range(4)}
+    assert {r.id: r.community for r in community.louvain_communities(df).collect()} == {f"{q}{i}": f"{q}0" for q in "pqrs" for i in range(4)}
 
 
 def test_fuzzy_search(spark):

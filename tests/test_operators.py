@@ -145,7 +145,7 @@ def test_roles_of_any_glob(spark):
 
 
 def test_streams_of_several_batches(spark, tmp_path):
-    from quarry.streaming import flows
+    from quarry.streaming import edge_store, flows
 
     folder, store = str(tmp_path / "in"), str(tmp_path / "store")
     put = lambda rows: spark.createDataFrame(rows, "src string, dst string, relation_type string, ord long, source_path string, weight double").coalesce(1).write.mode("append").parquet(folder)
@@ -153,9 +153,9 @@ def test_streams_of_several_batches(spark, tmp_path):
     put([("x", "y", "q", 3, "b", 1.0)])
     stream = lambda: spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
     weights = lambda df: {(r.src, r.dst): (r.relation_type, r.weight) for r in df.collect()}
-    assert weights(flows.incremental_edges(stream(), store)) == {("x", "y"): ("r", 2.0), ("x", "z"): ("r", 1.0)}
+    assert weights(edge_store.incremental_edges(stream(), store)) == {("x", "y"): ("r", 2.0), ("x", "z"): ("r", 1.0)}
     put([("x", "y", "q", 4, "b", 1.0), ("n", "m", "r", 5, "b", 1.0)])
-    assert weights(flows.incremental_edges(stream(), store)) == {("x", "y"): ("r", 3.0), ("x", "z"): ("r", 1.0), ("n", "m"): ("r", 1.0)}
+    assert weights(edge_store.incremental_edges(stream(), store)) == {("x", "y"): ("r", 3.0), ("x", "z"): ("r", 1.0), ("n", "m"): ("r", 1.0)}
     turns = str(tmp_path / "turns")
     for a in range(3):
         spark.range(3 * a, 3 * a + 3).selectExpr("1L AS conv_id", "id AS turn").coalesce(1).write.mode("append").parquet(turns)
@@ -163,6 +163,40 @@ def test_streams_of_several_batches(spark, tmp_path):
     assert [tuple(r) for r in flows.drained(flows.compacted_sessions(source), "update", ["conv_id"]).collect()] == [(1, 9, 3, 6)]
 
 
+def test_edges_of_any_weight_by_batches(spark, tmp_path):
+    """Batches folded one by one are the upsert of all rows; only buckets that a batch touches are written; a batch run again changes nothing."""
+    import random
+
+    from quarry.streaming import edge_store
+
+    rng, store = random.Random(3), str(tmp_path / "store")
+    schema = "src string, dst string, relation_type string, source_path string, ord long, weight double, properties map<string,string>"
+    row = lambda k: (f"a{rng.randrange(9)}", f"b{rng.randrange(9)}", rng.choice("rq"), f"p{k % 3}", rng.randrange(10**6) * 100 + k, float(rng.randint(1, 9)), {"k": str(k)})
+    batches = [[row(k + 20 * b) for k in range(20)] for b in range(4)] + [[("x", "y", "r", "p", 7, 5.0, {"k": "0"})], [("x", "y", "r", "p", 3, 5.0, {"k": "1"})], []]
+    told = lambda df: {(r.src, r.dst): (r.relation_type, r.source_path, r.weight, tuple(r.properties.items())) for r in df.collect()}
+    for number, rows in enumerate(batches):
+        for _ in range(2 if number in (0, 3) else 1):
+            edge_store.fold_batch(spark.createDataFrame(rows, schema), store, number, buckets=8)
+        every = spark.createDataFrame([r for b in batches[: number + 1] for r in b], schema)
+        assert told(edge_store.edge_table(spark, store)) == told(graph.upsert_edges(every))
+    assert told(edge_store.edge_table(spark, store))["x", "y"] == ("r", "p", 6.0, (("k", "1"),))
+    assert len(list((tmp_path / "store/data/v5").glob("bucket=*"))) == 1 and not (tmp_path / "store/data/v6").exists()
+    assert sorted(p.name for p in (tmp_path / "store/manifests").glob("m*")) == ["m5", "m6"]
+    # a manifest without its mark is not there
+    (tmp_path / "store/manifests/m6/_SUCCESS").unlink()
+    assert told(edge_store.edge_table(spark, store))["x", "y"][2] == 6.0
+
+
+def test_traversed_edges(spark):
+    edges = spark.createDataFrame([("a", "b", "r", {"w": "1"}), ("b", "a", "q", {"w": "2"}), ("c", "b", "r", {}), ("c", "d", "q", {}), ("a", "a", "r", {}), ("x", "y", "r", {})], "src string, dst string, relation_type string, properties map<string,string>")
+    nodes, met = graph.traversed(edges, "a", 2)
+    assert {tuple(r) for r in nodes.collect()} == {("b", 1), ("c", 2)}
+    assert {(r.src, r.dst, r.hop, r.properties.get("w")) for r in met.collect()} == {("a", "b", 1, "1"), ("b", "a", 1, "2"), ("a", "a", 1, None), ("c", "b", 2, None)}
+    nodes, met = graph.traversed(edges, "a", 3, ["r"])
+    assert {r.id for r in nodes.collect()} == {"b", "c"} and met.count() == 3
+    assert [df.count() for df in graph.traversed(edges, "nowhere", 2)] == [0, 0] and [df.count() for df in graph.traversed(edges, "a", 0)] == [0, 0]
+
+
 def test_user_code_has_its_time(spark):
     from quarry.functions import skills
 
@@ -181,3 +215,16 @@ def test_findings(spark):
     assert [(x.kind, x.start) for x in got[1]][:2] == [("phone", 4), ("email", 19)] and not got[2] and not got[3]
     masked = security.masked_response(df, skip=("id",)).orderBy("id").first().text
     assert masked == "tel ***-****-****, ***@***.*** ******-*******" or "010" not in masked
+
+
+def test_closure_of_cycles_and_chains(spark):
+    deps = [(f"s{i}", f"s{i + 1}") for i in range(9)] + [("p", "q"), ("q", "p"), ("p", "s8")]
+    df = spark.createDataFrame(deps, "skill string, dep string")
+    want = set(deps)
+    while more := {(a, d) for a, b in want for c, d in want if b == c} - want:
+        want |= more
+    assert {tuple(r) for r in workflow.closure(df).collect()} == want
+    assert {tuple(r) for r in workflow.closure(df, "q").collect()} == {(a, b) for a, b in want if a == "q"} | {x for x in want if x[0] == "q"}
+    skills = spark.createDataFrame([(s, "x") for s in ["a", "a", None]], "skill string, endpoint string")
+    assert [tuple(r) for r in workflow.levels(skills, df.where("false")).collect()] == [("a", 0)]
+    assert workflow.levels(skills.where("false"), df).count() == 0
