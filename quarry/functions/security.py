@@ -56,22 +56,27 @@ CUES = {
 LONG_INPUT, THRESHOLD = 10_000, 0.7
 
 
+def _pii(kind: str) -> str:
+    """The pattern of a kind, digits of every script."""
+    return "(?U)" + PII[kind][0]
+
+
 def mask_full(text: Column) -> Column:
     """Every kind's fixed mask, kind after kind.  All kinds but e-mail hold two digits in a row, and masks hold none, so most texts need no pattern."""
 
     def masked(kinds: list[str]) -> Column:
         out = text
         for kind in kinds:
-            out = F.regexp_replace(out, *PII[kind])
+            out = F.regexp_replace(out, _pii(kind), PII[kind][1])
         return out
 
-    digits, at = text.rlike("[0-9][0-9]"), F.contains(text, F.lit("@"))
+    digits, at = text.rlike(r"(?U)\d\d"), F.contains(text, F.lit("@"))
     return F.when(digits & at, masked(list(PII))).when(digits, masked([k for k in PII if k != "email"])).when(at, masked(["email"])).otherwise(text)
 
 
 def _mask_found(text: Column, shown) -> Column:
     """Matches of any kind replaced by shown(match), in one pass, so that no mask is masked again."""
-    pattern = "|".join(f"(?:{p})" for p, _ in PII.values())
+    pattern = "(?U)" + "|".join(f"(?:{p})" for p, _ in PII.values())
     found = F.concat(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), shown), F.array(F.lit("")))
     return F.array_join(F.zip_with(F.split(text, pattern, -1), found, lambda a, b: F.concat(a, b)), "")
 
@@ -88,7 +93,7 @@ def mask_hash(text: Column) -> Column:
 
 def pii_findings(text: Column) -> Column:
     """All matches of every kind as structs of kind, start (from 0), length and masked text, by start; matches of different kinds may overlap."""
-    every = [_found(text, kind, pattern, mask) for kind, (pattern, mask) in PII.items()]
+    every = [_found(text, kind, _pii(kind), mask) for kind, (_, mask) in PII.items()]
     return F.array_sort(F.coalesce(F.concat(*every), F.array().cast("array<struct<start:int,length:int,kind:string,masked:string>>")))
 
 
@@ -106,7 +111,7 @@ def masked_response(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
 
 
 def pii_counts(text: Column) -> dict[str, Column]:
-    return {kind: F.regexp_count(text, F.lit(pattern)).cast("long") for kind, (pattern, _) in PII.items()}
+    return {kind: F.regexp_count(text, F.lit(_pii(kind))).cast("long") for kind in PII}
 
 
 def _hits(text: Column, patterns: Sequence[str], flag: str, mark: str) -> Column:

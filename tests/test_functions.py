@@ -162,3 +162,12 @@ def test_small_expressions(spark):
     assert one(spark, tx.id_namespace(F.lit("ns::x"))) == "ns" and one(spark, tx.id_base(F.lit("ns::x"))) == "x"
     assert one(spark, tx.entity_id(F.lit("Death"), F.lit("coverage"), F.lit("Public/Plan_약관_2504.md"))) == "plan::death"
     assert one(spark, tx.gfm_table(F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("x|y"))))) == "| a | b |\n| --- | --- |\n| x\\|y |  |"
+
+
+def test_personal_data_in_digits_of_any_script(spark):
+    df = spark.createDataFrame([("tel 010-１２３４-５６７８ end", ), ("٩٠٠١٠١-1٢٣٤٥٦٧",), ("plain 12 text",)], "text string")
+    full = [r.m for r in df.select(security.mask_full(F.col("text")).alias("m")).collect()]
+    assert full == ["tel ***-****-**** end", "******-*******", "plain 12 text"]
+    assert [r.m for r in df.select(security.mask_partial(F.col("text")).alias("m")).collect()][0] == "tel *********５６７８ end"
+    assert [len(r.f) for r in df.select(security.pii_findings(F.col("text")).alias("f")).collect()] == [1, 1, 0]
+    assert [r.n for r in df.select(security.pii_counts(F.col("text"))["phone"].alias("n")).collect()] == [1, 0, 0]
