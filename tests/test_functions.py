@@ -166,8 +166,8 @@ def test_small_expressions(spark):
 
 def test_personal_data_in_digits_of_any_script(spark):
     df = spark.createDataFrame([("tel 010-１２３４-５６７８ end", ), ("٩٠٠١٠١-1٢٣٤٥٦٧",), ("plain 12 text",)], "text string")
-    full = [r.m for r in df.select(security.mask_full(F.col("text")).alias("m")).collect()]
+    full = [r.m for r in df.select(sec.mask_full(F.col("text")).alias("m")).collect()]
     assert full == ["tel ***-****-**** end", "******-*******", "plain 12 text"]
-    assert [r.m for r in df.select(security.mask_partial(F.col("text")).alias("m")).collect()][0] == "tel *********５６７８ end"
-    assert [len(r.f) for r in df.select(security.pii_findings(F.col("text")).alias("f")).collect()] == [1, 1, 0]
-    assert [r.n for r in df.select(security.pii_counts(F.col("text"))["phone"].alias("n")).collect()] == [1, 0, 0]
+    assert [r.m for r in df.select(sec.mask_partial(F.col("text")).alias("m")).collect()][0] == "tel *********５６７８ end"
+    assert [len(r.f) for r in df.select(sec.pii_findings(F.col("text")).alias("f")).collect()] == [1, 1, 0]
+    assert [r.n for r in df.select(sec.pii_counts(F.col("text"))["phone"].alias("n")).collect()] == [1, 0, 0]
