@@ -267,8 +267,10 @@ class LanguageIdentifier:
     def __init__(self, sample: list[tuple[str, str]]):
         by: dict[str, list[str]] = {}
         held: list[tuple[str, str]] = []
-        for i, (lang, text) in enumerate(sample):
-            if i % 8 == 7:
+        seen: dict[str, int] = {}
+        for lang, text in sample:  # an eighth of each language calibrates, its first seven texts are counted
+            seen[lang] = seen.get(lang, 0) + 1
+            if seen[lang] % 8 == 0:
                 held.append((lang, text))
             else:
                 by.setdefault(lang, []).append(text)
@@ -312,7 +314,7 @@ class LanguageIdentifier:
 
 
 def training_sample(docs: DataFrame, learnable: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """At most SAMPLE whole texts of each of at most LANGUAGES languages, those with the smallest hashed ids."""
+    """At most SAMPLE whole texts of each of at most LANGUAGES languages, those with the smallest hashed ids; rows without an id are not learnt."""
     rows = docs.where(learnable & F.col(lang_col).isNotNull() & (F.length(F.trim(F.col(text_col))) > 0)).select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.lit(17)).alias("h"), F.octet_length(text_col).alias("bytes")
     )

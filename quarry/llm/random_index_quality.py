@@ -186,7 +186,9 @@ class QualityModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str, text_col: str, label_col: str) -> tuple[list[str], np.ndarray]:
-    """At most SAMPLE whole texts of SAMPLE_BYTES in all with their labels: those with the smallest hashed ids, learnable rows only; of rows with one id the least text.
+    """At most SAMPLE whole texts of SAMPLE_BYTES in all with their labels: of learnable documents with a label those with the smallest hashed ids; of rows with one id the least text.
+
+    Labels without a document are not drawn, and a text that would go beyond the bytes is passed over, not the texts after it.
 
     Sizes are looked at first, so no more than the sample comes to the driver.
     """
@@ -194,6 +196,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learnable: Column, id_co
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & learnable)
         .groupBy(F.col(id_col).alias("id"))
         .agg(F.min(label_col).cast("double").alias("label"))
+        .join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
         .withColumn("h", F.xxhash64("id", F.lit(29)))
         .orderBy("h", "id")
         .limit(SAMPLE)
@@ -202,9 +205,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learnable: Column, id_co
     sizes = texts.join(F.broadcast(few), "id").groupBy("id").agg(F.min(F.octet_length("text")).alias("size"), F.first("label").alias("label"), F.first("h").alias("h"))
     ids, used = [], 0
     for r in sorted(sizes.collect(), key=lambda r: (r["h"], str(r["id"]))):
+        if used + r["size"] > SAMPLE_BYTES:
+            continue
         used += r["size"]
-        if used > SAMPLE_BYTES:
-            break
         ids.append((r["id"], r["size"], r["label"], r["h"]))
     if not ids:
         return [], np.zeros(0)

@@ -225,3 +225,37 @@ def test_terms_of_long_texts():
 def test_shares_beyond_a_long(spark):
     row = spark.sql("SELECT 123456789012345678L AS n, 234567890123456789L AS total, 1000000007L AS v")
     assert row.select(source_divergence.share("n", "total", "v")).first()[0] == 1 + 10**9 * (123456789012345678 + 2) // (234567890123456789 + 2 * 1000000007)
+
+
+# -- samples of 5 and 7
+
+
+def test_labels_without_documents_are_not_drawn(spark, monkeypatch):
+    from quarry.llm import random_index_quality
+
+    monkeypatch.setattr(random_index_quality, "SAMPLE", 100)
+    docs = spark.createDataFrame([(k, ("good fine words " if k % 2 else "bad junk noise ") * 20 + str(k)) for k in range(200)], "doc_id long, text string")
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    texts, y = random_index_quality.labelled_sample(docs, labels, F.lit(True), "doc_id", "text", "quality")
+    assert len(texts) == len(y) == 100 and 0 < y.mean() < 1
+
+
+def test_a_text_beyond_the_bytes_is_passed_over(spark, monkeypatch):
+    from quarry.llm import random_index_quality
+
+    monkeypatch.setattr(random_index_quality, "SAMPLE_BYTES", 5_000)
+    docs = spark.createDataFrame([(k, "x" * 6_000 if k % 3 == 0 else f"words {k}") for k in range(30)], "doc_id long, text string")
+    labels = spark.range(30).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    texts, _ = random_index_quality.labelled_sample(docs, labels, F.lit(True), "doc_id", "text", "quality")
+    assert sorted(texts) == sorted(f"words {k}" for k in range(30) if k % 3)
+
+
+@pytest.mark.parametrize("place", range(16))
+def test_every_language_is_learnt(place):
+    from quarry.llm import kneser_ney
+
+    sample = [("en", f"the cat number {k} sat on the mat and the dog ran") for k in range(15)]
+    sample.insert(place, ("fi", "hyvää päivää kaikille ystäville täällä tänään"))
+    model = kneser_ney.LanguageIdentifier(sample)
+    assert model.models.languages == ["en", "fi"]
+    assert model.predict(["hyvää päivää ystäville", "the dog sat on the cat"])[0] == ["fi", "en"]
