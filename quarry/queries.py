@@ -36,13 +36,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from quarry import queries_build, queries_fuzzy, queries_graph, queries_ingest, queries_service, queries_stream  # noqa: F401  register their own
+    from quarry import queries_build, queries_fuzzy, queries_graph, queries_ingest, queries_packages, queries_service, queries_stream  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from quarry import queries_build, queries_fuzzy, queries_graph, queries_ingest, queries_service, queries_stream  # noqa: F401
+    from quarry import queries_build, queries_fuzzy, queries_graph, queries_ingest, queries_packages, queries_service, queries_stream  # noqa: F401
 
     return dict(_SQL)
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.chunks import gfm
+from quarry.sources.hwpx import section_parts
 
 #: Folders that are never documents (fixed values).
 HIDDEN_ROOTS = ("Skills", ".graph", ".obsidian", "assets")
@@ -155,7 +156,7 @@ def hwpx_elements(data: bytes) -> list[tuple[str, int, int, int, int, str]]:
     out: list[tuple[str, int, int, int, int, str]] = []
     text_of = lambda e: "".join(t.text or "" for t in e.iter() if _plain(t.tag) == "t")
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for part in sorted(n for n in z.namelist() if n.startswith("Contents/section") and n.endswith(".xml")):
+        for part in section_parts(z):
             todo = [ElementTree.fromstring(z.read(part))]
             while todo:
                 e = todo.pop(0)
