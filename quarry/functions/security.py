@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,12 +97,33 @@ def pii_findings(text: Column) -> Column:
     return F.array_sort(F.coalesce(F.concat(*every), F.array().cast("array<struct<start:int,length:int,kind:string,masked:string>>")))
 
 
+def _bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value), with the value computed once for all places in which it stands."""
+    return F.transform(F.array(value), made)[0]
+
+
+def _running(numbers: Column) -> Column:
+    """The running sums of an array, block by block: some n times the root of n additions for n numbers."""
+
+    def sums(n: Column) -> Column:
+        width = F.ceil(F.sqrt(F.greatest(F.size(n), F.lit(1)))).cast("int")
+        total = lambda first, many: F.aggregate(F.slice(n, first, many), F.lit(0), lambda a, x: a + x)
+        heads = F.transform(F.sequence(F.lit(0), width), lambda b: total(F.lit(1), b * width))
+        block = lambda i: F.floor(i / width).cast("int")
+        return _bound(heads, lambda h: F.transform(n, lambda _, i: F.get(h, block(i)) + total(block(i) * width + 1, i - block(i) * width + 1)))
+
+    return _bound(numbers, sums)
+
+
 def _found(text: Column, kind: str, pattern: str, mask: str) -> Column:
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(found, F.length)
-    total = lambda lengths, n: F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda a, x: a + x)
-    return F.transform(found, lambda m, i: F.struct((total(between, i + 1) + total(sizes, i)).alias("start"), F.length(m).alias("length"), F.lit(kind).alias("kind"), F.lit(mask).alias("masked")))
+    """Matches with their places: a match starts after all that lies between matches, and all matches, before it."""
+
+    def placed(found: Column) -> Column:
+        steps = F.zip_with(F.split(text, pattern, -1), F.concat(F.array(F.lit("")), found), lambda between, before: F.length(between) + F.length(before))
+        starts = F.slice(_running(steps), F.lit(1), F.size(found))
+        return F.zip_with(found, starts, lambda m, at: F.struct(at.alias("start"), F.length(m).alias("length"), F.lit(kind).alias("kind"), F.lit(mask).alias("masked")))
+
+    return _bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def masked_response(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:

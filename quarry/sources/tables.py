@@ -19,6 +19,19 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def files_of(spark: SparkSession, folder: str):
+    """(file system, path) of a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def whole_tables(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the tables below a folder whose writing has ended, sorted; none if there is no such folder."""
+    files, path = files_of(spark, folder)
+    found = [f.getPath() for f in files.listStatus(path)] if files.exists(path) else []
+    return sorted(p.getName() for p in found if files.exists(files_of(spark, f"{p}/_SUCCESS")[1]))
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """df, computed once, written to a fresh folder and read back: the lineage ends there."""
     path = work_folder(df.sparkSession, name)

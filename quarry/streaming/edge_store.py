@@ -14,25 +14,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.tables import files_of, whole_tables
+
 #: Buckets of a store that is made without a number: a bucket should hold some hundred MB.
 BUCKETS = 64
 #: What is kept of the first row of an edge, where events have it.
 FIRST = ("relation_type", "source_path", "weight", "properties")
 
 
-def _files(spark: SparkSession, folder: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
 def _manifests(spark: SparkSession, store: str) -> list[int]:
     """The numbers of all whole manifests."""
-    files, folder = _files(spark, f"{store}/manifests")
-    if not files.exists(folder):
-        return []
-    found = [f.getPath() for f in files.listStatus(folder)]
-    done = [p for p in found if files.exists(_files(spark, f"{p}/_SUCCESS")[1])]
-    return sorted(int(p.getName()[1:]) for p in done)
+    return sorted(int(name[1:]) for name in whole_tables(spark, f"{store}/manifests"))
 
 
 def _manifest(spark: SparkSession, store: str, number: int) -> dict[int, int]:
@@ -41,7 +33,7 @@ def _manifest(spark: SparkSession, store: str, number: int) -> dict[int, int]:
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
-    files, path = _files(spark, folder)
+    files, path = files_of(spark, folder)
     files.delete(path, True)
 
 
