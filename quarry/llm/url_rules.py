@@ -5,8 +5,11 @@ path starts with the rule's path, and the longest fitting rule wins.  For the
 rest, FP-growth mines token combinations of labelled URLs (host labels, path
 segments, query keys); combinations that imply the label ``bad`` with enough
 confidence and support, and none of whose parts does so as surely, are kept.
-They are matched by an inverted index from token to rules: a rule fires when
-all its tokens are there, and a URL is blocked by any rule that fires.
+A rule is a list of groups, each the tokens that are in the same labelled URLs;
+it stands for every choice of one token of each, and is never written out as
+such.  Rules are matched by an inverted index from token to groups of rules: a
+rule fires when all its groups have a token there, and a URL is blocked by any
+rule that fires.
 
 All tokens of a URL count; support (a share and a least number of bad URLs) and
 confidence (itself, and its lower bound over the share of bad URLs among all)
@@ -27,7 +30,6 @@ rule; columns of the names that are made are replaced.
 
 from __future__ import annotations
 
-import itertools
 import json
 import math
 from collections.abc import Mapping
@@ -44,6 +46,8 @@ LEAST = 20
 #: A rule's confidence must lie this many standard deviations over the share of bad URLs among all (Wilson's lower bound).
 SURE = 3.0
 _BAD = "=bad"
+#: Groups of tokens, confidence, support.
+Rule = tuple[list[list[str]], float, float]
 
 
 def _after_scheme(url: Column) -> Column:
@@ -88,8 +92,8 @@ def lower_bound(share: float, n: float, deviations: float) -> float:
     return (share + square / 2 - deviations * math.sqrt(share * (1 - share) / n + square / n / 4)) / (1 + square)
 
 
-def mine_rules(urls: DataFrame, url_col: str, bad_col: str, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST, sure: float = SURE) -> list[tuple[list[str], float, float]]:
-    """(tokens, confidence, support) of the rules kept, the surest first; all that labels teach by chance is left out."""
+def mine_rules(urls: DataFrame, url_col: str, bad_col: str, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST, sure: float = SURE) -> list[Rule]:
+    """(groups of tokens, confidence, support) of the rules kept, the surest first; all that labels teach by chance is left out."""
     from pyspark.ml.fpm import FPGrowth
 
     known = urls.where(F.col(bad_col).isNotNull()).select(F.array_sort(tokens_of(F.col(url_col))).alias("items"), F.col(bad_col).alias("bad"))
@@ -109,40 +113,40 @@ def mine_rules(urls: DataFrame, url_col: str, bad_col: str, support: float = SUP
     rows = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _BAD)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").collect()
     base = total["bad"] / total["n"]
     rows = [r for r in rows if r["support"] * total["n"] > least - 0.5 and lower_bound(r["confidence"], r["support"] * total["n"] / r["confidence"], sure) >= base]
-    kept: list[tuple[list[str], float, float]] = []
+    kept: list[Rule] = []
     by_first: dict[str, list[tuple[set[str], float]]] = {}
     for r in sorted(rows, key=lambda r: (len(r["tokens"]), -r["confidence"], -r["support"], r["tokens"])):
         own = set(r["tokens"])
         if not any(c >= r["confidence"] and t <= own for x in own for t, c in by_first.get(x, ())):
             by_first.setdefault(r["tokens"][0], []).append((own, r["confidence"]))
-            kept += [(sorted(t), r["confidence"], r["support"]) for t in itertools.product(*[members[x] for x in r["tokens"]])]
+            kept.append(([members[x] for x in r["tokens"]], r["confidence"], r["support"]))
     return sorted(kept, key=lambda k: (-k[1], -k[2], k[0]))
 
 
-def _fired(tokens: Column, rules: list[tuple[list[str], float, float]]) -> Column:
-    """Numbers of the rules all of whose tokens are there, smallest (surest) first."""
-    index: dict[str, list[list[int]]] = {}
-    for i, (parts, _, _) in enumerate(rules):
-        for t in parts:
-            index.setdefault(t, []).append([i, len(parts)])
+def _fired(tokens: Column, rules: list[Rule]) -> Column:
+    """Numbers of the rules of which every group has a token there, smallest (surest) first."""
+    index: dict[str, list[dict[str, int]]] = {}
+    for i, (groups, _, _) in enumerate(rules):
+        for g, members in enumerate(groups):
+            for t in members:
+                index.setdefault(t, []).append({"r": i, "g": g, "n": len(groups)})
     if not index:
         return F.array().cast("array<int>")
-    as_json = json.dumps({t: [{"r": r, "n": n} for r, n in x] for t, x in index.items()})
-    table = F.from_json(F.lit(as_json), "map<string, array<struct<r: int, n: int>>>")
-    none = F.array().cast("array<struct<r: int, n: int>>")
-    hits = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), none)))
-    whole = F.transform(F.array(hits), lambda h: F.filter(F.array_distinct(h), lambda x: F.size(F.filter(h, lambda y: y["r"] == x["r"])) == x["n"]))[0]
+    table = F.from_json(F.lit(json.dumps(index)), "map<string, array<struct<r: int, g: int, n: int>>>")
+    none = F.array().cast("array<struct<r: int, g: int, n: int>>")
+    hits = F.array_distinct(F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), none))))
+    whole = F.transform(F.array(hits), lambda h: F.filter(h, lambda x: (x["g"] == 0) & (F.size(F.filter(h, lambda y: y["r"] == x["r"])) == x["n"])))[0]
     return F.array_sort(F.transform(whole, lambda x: x["r"]))
 
 
 def judge_urls(pages: DataFrame, labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST, sure: float = SURE) -> DataFrame:
-    """All columns of pages, and host, path, rule, verdict, mined_rule (the tokens of the surest rule that fires, else null).
+    """All columns of pages, and host, path, rule, verdict, mined_rule (the surest rule that fires: groups with a blank, their tokens with a bar between; else null).
 
     labelled: rows with a URL and a boolean bad_col.
     """
     rules = mine_rules(labelled, url_col, bad_col, support, confidence, least, sure)
     url = F.col(url_col)
-    names = F.array(*[F.lit(" ".join(t)) for t, _, _ in rules]) if rules else F.array().cast("array<string>")
+    names = F.array(*[F.lit(" ".join("|".join(g) for g in groups)) for groups, _, _ in rules]) if rules else F.array().cast("array<string>")
     out = pages.withColumns({"__host": host_of(url), "__path": path_of(url), "__fired": _fired(tokens_of(url), rules)})
     out = out.withColumn("__base", rule_for(F.col("__host"), F.col("__path")))
     made = {

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
+import os
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -513,10 +516,57 @@ def test_rules(spark, url, host, path, rule, verdict):
     assert (row.host, row.path, row["rule"], row.verdict) == (host, path, rule, verdict)
 
 
+def written_out(rules):
+    """Every choice of one token of each group, the surest rule first."""
+    return sorted(((sorted(t), c, n) for groups, c, n in rules for t in itertools.product(*groups)), key=lambda k: (-k[1], -k[2], k[0]))
+
+
+def mined(*args, **kwargs):
+    return written_out(url_rules.mine_rules(*args, **kwargs))
+
+
+def test_rules_of_groups(spark):
+    """Segments that always come together make one rule of groups, not a rule for every choice; any member matches."""
+    left, right = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    path = lambda *parts: "http://x.io/" + "/".join(p for part in parts for p in part)
+    known = spark.createDataFrame([(path(left, right), True)] * 20 + [(path(left), False)] * 20 + [(path(right), False)] * 20, "url string, bad boolean")
+    limits = {"support": 0.05, "confidence": 0.9, "least": 1, "sure": 0}
+    rules = url_rules.mine_rules(known, "url", "bad", **limits)
+    assert [[len(g) for g in groups] for groups, _, _ in rules] == [[60, 60]]
+    urls = [path([a], [b]) for a, b in (("a0", "b59"), ("b3", "a7"), ("a1", "a2"), ("b1", "c1"))] + [path(left, right), "http://x.io/"]
+    got = url_rules.judge_urls(spark.createDataFrame([(u,) for u in urls], "url string"), known, **limits)
+    assert [r.verdict for r in got.collect()] == ["block", "block", "allow", "allow", "block", "allow"]
+    assert got.where("verdict = 'block'").select("mined_rule").distinct().count() == 1
+
+
+def test_fired_rules_against_every_choice(spark):
+    rng = random.Random(12)
+    tokens = [f"t{k}" for k in range(12)]
+    rules = [([rng.sample(tokens, rng.randint(1, 4)) for _ in range(rng.randint(1, 3))], 1.0, 1.0) for _ in range(25)]
+    held = [rng.sample(tokens, rng.randint(0, 8)) for _ in range(60)]
+    got = spark.createDataFrame([(k, h) for k, h in enumerate(held)], "k int, t array<string>").select("k", url_rules._fired(F.col("t"), rules).alias("f")).collect()
+    assert {r.k: r.f for r in got} == {k: [i for i, (groups, _, _) in enumerate(rules) if any(set(c) <= set(h) for c in itertools.product(*groups))] for k, h in enumerate(held)}
+
+
+def test_base_columns_of_pages(spark):
+    """Host, path, rule and the rules' own verdicts of the whole table, against SQL."""
+    sf = SF
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p in sorted(url_rules.RULES, key=lambda r: -len(r[0] + r[1])))
+    sql = f"""WITH s AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM '{sf}/pages.parquet'),
+    u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s)
+    SELECT page_id, host, path, CASE {fits} END AS rule FROM u"""
+    rows = queries.op10_url_rules(spark, sf).collect()
+    assert sorted(((r.page_id, r.host, r.path, r["rule"]) for r in rows), key=str) == sorted(duckdb.sql(sql).fetchall(), key=str)
+    named = {h + p: v for (h, p), v in url_rules.RULES.items()}
+    assert all(r.verdict == named[r["rule"]] for r in rows if r["rule"]) and any(r["rule"] for r in rows)
+
+
 def test_mined_rules(spark):
     rows = [(f"http://spam.x.com/{k}", True) for k in range(30)] + [(f"http://good.x.com/win/{k}", False) for k in range(30)] + [(f"http://mixed{k % 3}.com/win/?buy={k}", True) for k in range(30)] + [(f"http://mixed{k % 3}.com/", False) for k in range(30)]
     known = spark.createDataFrame(rows, "url string, bad boolean")
-    rules = url_rules.mine_rules(known, "url", "bad", support=0.05, confidence=0.9, least=1, sure=0)
+    rules = mined(known, "url", "bad", support=0.05, confidence=0.9, least=1, sure=0)
     kept = [t for t, _, _ in rules]
     assert ["h:spam"] in kept and ["q:buy"] in kept and not any(len(t) > 1 and set(k) < set(t) for t in kept for k in kept)
     pages = spark.createDataFrame([("http://spam.x.com/new",), ("http://good.x.com/win/1",), ("http://other.com/win?buy=1",)], "url string")
@@ -527,7 +577,7 @@ def test_chance_makes_no_rules(spark):
     rng = random.Random(6)
     rows = [(f"http://h{rng.randrange(9)}.com/{rng.choice('abcdefgh')}/{rng.randrange(1000)}?{rng.choice('xyz')}=1", rng.random() < 0.26) for _ in range(1500)]
     known = spark.createDataFrame(rows + [("http://ads.io/1", True)] * 30, "url string, bad boolean")
-    assert [t for t, _, _ in url_rules.mine_rules(known, "url", "bad")] == [["h:ads"], ["h:io"], ["p:1"]] or [t for t, _, _ in url_rules.mine_rules(known, "url", "bad")] == [["h:ads"], ["h:io"]]
+    assert [t for t, _, _ in mined(known, "url", "bad")] == [["h:ads"], ["h:io"], ["p:1"]] or [t for t, _, _ in mined(known, "url", "bad")] == [["h:ads"], ["h:io"]]
     odd = spark.createDataFrame([(None, "was"), ("http://ads.io/" + "x/" * 50_000, "was")], "url string, host string")
     assert [(r.host, r.verdict) for r in url_rules.judge_urls(odd, known).collect()] == [("", "allow"), ("ads.io", "block")]
     assert url_rules.judge_urls(odd.where("false"), known.where("false")).count() == 0
@@ -540,7 +590,7 @@ def test_all_tokens_are_mined_and_matched(spark):
     four = ["a", "b", "c", "d"]
     urls += [("http://y.org/" + "/".join(four), True)] * 12 + [("http://y.org/" + "/".join(x for x in four if x != out), False) for out in four for _ in range(12)]
     known = spark.createDataFrame(urls, "url string, bad boolean")
-    rules = [t for t, _, _ in url_rules.mine_rules(known, "url", "bad", support=0.05, confidence=0.9, least=1, sure=0)]
+    rules = [t for t, _, _ in mined(known, "url", "bad", support=0.05, confidence=0.9, least=1, sure=0)]
     assert rules == [["p:a", "p:b", "p:c", "p:d"], ["q:buy"]]
     many = "/".join(f"z{i}" for i in range(20))
     pages = spark.createDataFrame([(f"http://v.edu/{many}?{'&'.join(f'k{i}=1' for i in range(20))}&buy=1",), (f"http://v.edu/{many}/d/c/b/a",), (f"http://v.edu/{many}/d/c/b",)], "url string")
@@ -549,7 +599,7 @@ def test_all_tokens_are_mined_and_matched(spark):
 
 def test_tokens_always_together(spark):
     known = spark.createDataFrame([("http://x.io/p/q/r", True)] * 5 + [("http://x.io/p/q/s", False)] * 5 + [("http://u.io/r", False)] * 5, "url string, bad boolean")
-    rules = [(t, c) for t, c, _ in url_rules.mine_rules(known, "url", "bad", support=0.05, confidence=0.9, least=1, sure=0)]
+    rules = [(t, c) for t, c, _ in mined(known, "url", "bad", support=0.05, confidence=0.9, least=1, sure=0)]
     assert rules == [(["h:x", "p:r"], 1.0), (["p:p", "p:r"], 1.0), (["p:q", "p:r"], 1.0)]
 
 
