@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import boundary_bpe, feistel_pii, kneser_ney, minhash_containment, trie_join
 from quarry.llm.kernel import settle
-from quarry.llm.queries import tokenizer_path
+from quarry.llm.queries import pii_key, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -37,7 +37,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms; n_chars follows."""
-    out = feistel_pii.pseudonymise(docs.select(*COLUMNS))
+    out = feistel_pii.pseudonymise(docs.select(*COLUMNS), key=pii_key(spark))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
