@@ -30,8 +30,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Used where spark.quarry.pii.key is not set; a deployment sets its own.
-DEFAULT_KEY = "quarry-development-key"
 ROUNDS = 5
 
 _EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.)+[A-Za-z0-9-]*[A-Za-z0-9]"
@@ -290,9 +288,12 @@ def _pattern(text: Column) -> Column:
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str | None = None, inverse: bool = False, found_col: str | None = None) -> DataFrame:
     """docs with text_col pseudonymised; found_col, if given, gets the kinds found, in order, as array<string>.
 
+    key: by default the session's spark.quarry.pii.key; there is no other, as whoever has the key can undo the pseudonyms.
     inverse: undo it (but for e-mail addresses, whose names are gone).
     """
-    key = key or docs.sparkSession.conf.get("spark.quarry.pii.key", DEFAULT_KEY)
+    key = key or docs.sparkSession.conf.get("spark.quarry.pii.key", None)
+    if not key:
+        raise ValueError("pseudonyms need a key: give one, or set spark.quarry.pii.key")
     text = F.col(text_col)
     searched = F.when(text.rlike("[0-9@]"), text)
     work, around, pattern = "__pii_found", "__pii_around", "__pii_pattern"

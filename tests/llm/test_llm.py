@@ -196,10 +196,25 @@ def test_pseudonyms(spark, odd):
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     back = feistel_pii.pseudonymise(out, key="k", inverse=True).orderBy("doc_id").first().text
     assert back.split(", card")[1] == text.split(", card")[1]
-    same = feistel_pii.pseudonymise(odd, found_col="found").select("text").collect()
+    same = feistel_pii.pseudonymise(odd, key="k", found_col="found").select("text").collect()
     assert collections.Counter(r.text for r in same) == collections.Counter(t for _, t in ODD)
 
 
+def test_pseudonyms_need_a_key(spark, odd):
+    with pytest.raises(ValueError, match="need a key"):
+        feistel_pii.pseudonymise(odd)
+    with pytest.warns(UserWarning, match="public key"):
+        assert queries.pii_key(spark) == queries.EVALUATION_KEY
+    spark.conf.set("spark.quarry.pii.key", "own")
+    try:
+        assert queries.pii_key(spark) == "own"
+        df = spark.createDataFrame([(1, "a 078-05-1120")], "doc_id long, text string")
+        given, named = (feistel_pii.pseudonymise(df, **k).first().text for k in ({}, {"key": "own"}))
+        assert given == named != feistel_pii.pseudonymise(df, key="other").first().text
+    finally:
+        spark.conf.unset("spark.quarry.pii.key")
+
+
 # -- 4 BPE
 
 
@@ -212,7 +227,7 @@ def test_valid_values_inside_longer_candidates(spark):
     }
     kept = ["4111 1111 1111 1112", "05/32/1980", "13/23/1980", "555-123-4567.8", "41111111111111119"]
     df = spark.createDataFrame(list(enumerate([*hidden, *kept])), "doc_id long, text string")
-    out = feistel_pii.pseudonymise(df, found_col="found")
+    out = feistel_pii.pseudonymise(df, key="k", found_col="found")
     got = {r.doc_id: r for r in out.collect()}
     for i, (text, value) in enumerate(hidden.items()):
         assert value not in got[i].text and len(got[i].text) == len(text), text
@@ -224,7 +239,7 @@ def test_valid_values_inside_longer_candidates(spark):
     assert [got[len(hidden) + i].text for i in range(len(kept))] == kept
     fresh = got[list(hidden.values()).index("05/23/1980")].text
     assert int(fresh[5:7]) <= 12 < int(fresh[8:10])
-    back = {r.doc_id: r.text for r in feistel_pii.pseudonymise(out.drop("found"), inverse=True).collect()}
+    back = {r.doc_id: r.text for r in feistel_pii.pseudonymise(out.drop("found"), key="k", inverse=True).collect()}
     assert all(back[i] == text for i, text in enumerate(hidden) if "/1980" in text or "Call" in text)
 
 
