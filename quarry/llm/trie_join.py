@@ -21,9 +21,11 @@ min(spare(n1), spare(n2)) n-grams of both prefixes.  So
    sets of like size are dealt to cells of bounded size.  Every cell is joined by
    the trie below, with a few sets that all cells near it hold (pivots), which
    brings most of a large family into one component;
-4. two cells of a family that may hold linked sets (by size) and are not of one
-   component yet are joined by the trie as well, so no link between components is
-   missed.
+4. sets of a large family's largest component need not meet again.  The others, its
+   stragglers, are dealt to cells of their own; these are joined by the trie with
+   every cell of the family that may hold linked sets (by size), with each other
+   and within themselves, so no link between components is missed and the work
+   grows with the stragglers times the family, not with the family's square.
 
 The trie holds the sets of a cell, each ordered with the cell's common n-grams
 first, as paths; n-grams without a branch are one node.  A probe walks down it,
@@ -508,14 +510,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = settle(_joined_cells(dealt, ["cell"], percent), "met")
     known = connected_components(links)
 
-    # pairs of cells of a large family that are not of one component yet
+    # what the largest component of a large family does not hold yet, against the family
     large = state.where("band is not null").join(known.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "n", "family", "band", "cell", F.coalesce("root", "sid").alias("known"))
-    large = settle(large, "large")
+    large = settle(with_stragglers(large, cell), "large")
     pairs = cell_pairs(large, reach, percent)
-    inside = large.select("sid", "cell", "known")
-    left = pairs.select("x", "y", F.col("x").alias("cell"), F.lit(True).alias("probing"))
-    right = pairs.select("x", "y", F.col("y").alias("cell"), F.lit(False).alias("probing"))
-    more = settle(_joined_cells(left.unionByName(right).join(inside, "cell").join(sets, "sid"), ["x", "y"], percent), "more")
+    alone = F.col("x") == F.col("y")
+    sides = pairs.select("x", "y", F.explode(F.when(alone, F.array(F.lit(None).cast("boolean"))).otherwise(F.array(F.lit(True), F.lit(False)))).alias("probing"))
+    sides = sides.withColumn("cell", F.when(F.col("probing"), F.col("x")).otherwise(F.col("y")))
+    more = settle(_joined_cells(sides.join(large.select("sid", "cell", "known"), "cell").join(sets, "sid"), ["x", "y"], percent), "more")
     final = connected_components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)) if more.take(1) else known
 
     smallest = rows.where("sid is not null").groupBy("sid").agg(F.min("id").alias("first"))
@@ -525,10 +527,28 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.select("id", "sid", "n").join(named, "sid", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.hex("sid").alias("class_id"))
 
 
+def with_stragglers(large: DataFrame, cell: int) -> DataFrame:
+    """The sets of large families with a column straggler: not of the family's largest component.  Stragglers leave their cells for cells of their own.
+
+    large: sid, n, family, band, cell, known (component so far).
+    """
+    sizes = large.groupBy("family", "known").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("family").agg(F.max(F.struct("c", "known"))["known"].alias("main"))
+    rows = large.join(main, "family").withColumn("straggler", F.col("known") != F.col("main"))
+    parts = rows.where("straggler").groupBy("family", "band").agg(F.ceil(F.sum(F.col("n") + SET_WEIGHT) / cell).alias("parts"))
+    own = F.concat_ws("-", F.lit("s"), F.hex("family"), "band", F.pmod(F.xxhash64("sid"), F.col("parts")))
+    rows = rows.join(parts, ["family", "band"], "left")
+    return rows.select("sid", "n", "family", "band", F.when(F.col("straggler"), own).otherwise(F.col("cell")).alias("cell"), "known", "straggler")
+
+
 def cell_pairs(large: DataFrame, reach: int, percent: int) -> DataFrame:
-    """x, y: different cells of a family whose sizes fit and that hold sets of different components."""
-    about = large.groupBy("family", "band", "cell").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("known").alias("lo"), F.max("known").alias("hi"))
-    x, y = (about.select("family", *[F.col(c).alias(f"{s}_{c}") for c in ("band", "cell", "least", "most", "lo", "hi")]) for s in ("x", "y"))
+    """x, y: a cell of stragglers and any other cell of its family whose sizes fit, or itself; two cells of stragglers once, and only if they hold different components.
+
+    large: as with_stragglers gives it.  Sets of the largest component need not meet each other.
+    """
+    about = large.groupBy("family", "band", "cell", "straggler").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("known").alias("lo"), F.max("known").alias("hi"))
+    x, y = (about.select("family", *[F.col(c).alias(f"{s}_{c}") for c in ("band", "cell", "straggler", "least", "most", "lo", "hi")]) for s in ("x", "y"))
     near = (F.abs(F.col("x_band") - F.col("y_band")) <= reach) & (F.col("x_most") * 100 >= F.col("y_least") * percent) & (F.col("y_most") * 100 >= F.col("x_least") * percent)
     apart = F.least("x_lo", "y_lo") != F.greatest("x_hi", "y_hi")
-    return x.join(y, (x["family"] == y["family"]) & (F.col("x_cell") < F.col("y_cell")) & near & apart).select(F.col("x_cell").alias("x"), F.col("y_cell").alias("y"))
+    once = ~F.col("y_straggler") | (F.col("x_cell") <= F.col("y_cell"))
+    return x.where("x_straggler").join(y, (x["family"] == y["family"]) & once & near & apart).select(F.col("x_cell").alias("x"), F.col("y_cell").alias("y"))

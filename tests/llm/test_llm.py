@@ -390,6 +390,39 @@ def test_quality_of_named_documents(spark):
     assert len(out) == 120 and np.mean([r.score for r in out if int(r.doc_id[1:]) % 2]) > np.mean([r.score for r in out if int(r.doc_id[1:]) % 2 == 0]) + 0.3
 
 
+def test_stragglers_meet_a_family_once(spark):
+    rows = [(f"{c:03}-{i}".encode(), 100, b"f", 92, f"c{c:03}", b"big" if i else f"{c:03}-0".encode()) for c in range(300) for i in range(6)]
+    rows += [(f"g{i}".encode(), 100, b"g", 92, f"d{i % 2}", b"one") for i in range(4)]
+    large = spark.createDataFrame(rows, "sid binary, n long, family binary, band long, cell string, known binary")
+    dealt = trie_join.with_stragglers(large, 1 << 18).cache()
+    assert dealt.count() == len(rows) and dealt.where("straggler").count() == 300
+    own = {r.cell for r in dealt.where("straggler").select("cell").distinct().collect()}
+    pairs = {(r.x, r.y) for r in trie_join.cell_pairs(dealt, 5, 85).collect()}
+    assert len(own) == 1 and pairs == {(x, y) for x in own for y in {f"c{c:03}" for c in range(300)} | own}
+    # without links every set but one is a straggler, and every two cells meet once
+    lone = trie_join.with_stragglers(large.where("family = X'66'").withColumn("known", F.col("sid")), 1 << 18)
+    names = sorted(r.cell for r in lone.where("straggler").select("cell").distinct().collect())
+    pairs = [(r.x, r.y) for r in trie_join.cell_pairs(lone, 5, 85).collect()]
+    assert len(names) > 1 and sorted(p for p in pairs if p[1] in names) == [(x, y) for x in names for y in names if x <= y] and len(pairs) == len(names) * (len(names) + 3) // 2
+
+
+def test_stragglers_of_a_large_family(spark):
+    rng = random.Random(12)
+    core = [f"t{k}" for k in range(60)]
+    rows = []
+    for k in range(90):  # one template: most copies link, some are a chain beside it, some stand alone
+        edits = rng.choice([0, 1, 1, 4, 5, 6, 12])
+        own = list(core)
+        for at in rng.sample(range(60), edits):
+            own[at] = f"x{rng.randrange(2000)}"
+        rows.append((k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for cell in (600, 4000):
+        got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in trie_join.ngram_components(df, cell=cell).collect())
+        assert got == plain_components(rows)
+    assert 3 < len({c for _, _, c in plain_components(rows)}) < 80
+
+
 def test_ngram_components_of_nothing(none):
     assert trie_join.ngram_components(none).count() == 0
 
