@@ -15,8 +15,13 @@ words of a line that meets the template itself are not looked at again, so a
 notice within a line is found once, as that line.  Where templates that are nearly
 alike (a licence and its stricter variant) are met at one place, the fullest counts.
 
-The templates are a fixed list, so they and the frequencies of their words (one
-count per word, summed over all rows) are what is broadcast.
+Windows are looked for only around the places of prefix words: an inverted index
+from those words to templates gives, for each template, the stretches of text that
+a window with a prefix word can cover, so templates without a hit cost nothing.
+
+Templates, tags (short ones of which every word must be there, as SPDX identifiers)
+and phrases are parameters; they and the frequencies of their words (one count per
+word, summed over all rows) are what is broadcast.
 
 Words: A-Z in lower case, maximal runs of 0-9, a-z and characters beyond ASCII.
 Defined results: a null text counts as empty; empty texts have no words, no
@@ -42,14 +47,51 @@ THRESHOLD = 0.8
 SHORT = 6
 #: Licence notices by label (fixed values).
 TEMPLATES = {
-    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
+    "mit": [
+        "Released under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ],
     "apache": ["Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License"],
     "gpl": ["This work is licensed under the GNU General Public License, version 3.", "it under the terms of the GNU General Public License as published by the Free Software Foundation"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "unlicense": ["This is free and unencumbered software released into the public domain."],
+}
+#: SPDX identifiers by label (fixed values).
+SPDX = {
+    "mit": ["MIT"],
+    "apache": ["Apache-2.0"],
+    "gpl": ["GPL-2.0", "GPL-3.0"],
+    "lgpl": ["LGPL-2.1", "LGPL-3.0"],
+    "agpl": ["AGPL-3.0"],
+    "bsd": ["BSD-2-Clause", "BSD-3-Clause"],
+    "isc": ["ISC"],
+    "mpl": ["MPL-2.0"],
+    "epl": ["EPL-2.0"],
+    "cc0": ["CC0-1.0"],
+    "cc-by": ["CC-BY-4.0"],
+    "cc-by-nc": ["CC-BY-NC-4.0"],
+    "unlicense": ["Unlicense"],
+}
+#: Titles of licences by label (fixed values).
+TITLES = {
+    "lgpl": ["GNU Lesser General Public License"],
+    "agpl": ["GNU Affero General Public License"],
+    "mpl": ["Mozilla Public License Version 2.0"],
+    "epl": ["Eclipse Public License"],
 }
+#: Tags: every word must be there.
+TAGS = {label: [f"SPDX-License-Identifier: {i}" for i in SPDX.get(label, [])] + TITLES.get(label, []) for label in {**SPDX, **TITLES}}
 #: Phrases whose places are counted, and their labels (fixed values).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -66,8 +108,10 @@ def _hashes_of(words: list[str]) -> np.ndarray:
 class TemplateIndex:
     """The templates' words, rarest first, and what the filters need."""
 
-    def __init__(self, counts: dict[str, int] | None = None, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD):
-        self.vocabulary = sorted({w for notices in templates.values() for n in notices for w in words_of(n)} | {w for p in phrases for w in p.split()})
+    def __init__(self, counts: dict[str, int] | None = None, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD, tags: dict[str, list[str]] | None = None):
+        listed = [(label, n, False) for label, notices in templates.items() for n in notices] + [(label, n, True) for label, notices in (tags or {}).items() for n in notices]
+        listed = [x for x in listed if words_of(x[1])]
+        self.vocabulary = sorted({w for _, n, _ in listed for w in words_of(n)} | {w for p in phrases for w in words_of(p)})
         hashes = _hashes_of(self.vocabulary)
         by_hash = np.argsort(hashes)
         self.keys, self.ids = hashes[by_hash], by_hash
@@ -76,25 +120,33 @@ class TemplateIndex:
         self.templates: list[tuple[str, list[int], int]] = []
         self.widths: list[int] = []
         self.prefixes: dict[int, list[tuple[int, int]]] = {}
-        for label, notices in templates.items():
-            for notice in notices:
-                order = sorted({number[w] for w in words_of(notice)}, key=lambda i: (counts.get(self.vocabulary[i], 0), self.vocabulary[i]))
-                need = math.ceil(threshold * len(order) - 1e-9) if len(order) >= SHORT else len(order)
-                for place in range(len(order) - need + 1):
-                    self.prefixes.setdefault(order[place], []).append((len(self.templates), place))
-                self.templates.append((label, order, need))
-                self.widths.append(math.floor(len(words_of(notice)) / threshold + 1e-9))
+        for label, notice, whole in listed:
+            order = sorted({number[w] for w in words_of(notice)}, key=lambda i: (counts.get(self.vocabulary[i], 0), self.vocabulary[i]))
+            need = len(order) if whole or len(order) < SHORT else math.ceil(threshold * len(order) - 1e-9)
+            for place in range(len(order) - need + 1):
+                self.prefixes.setdefault(order[place], []).append((len(self.templates), place))
+            self.templates.append((label, order, need))
+            self.widths.append(math.floor(len(words_of(notice)) / threshold + 1e-9))
+        #: Which words each template holds.
+        self.holds = np.zeros((len(self.templates), len(self.vocabulary)), bool)
+        for t, (_, order, _) in enumerate(self.templates):
+            self.holds[t, order] = True
         #: Templates of other labels that share the threshold's part of the smaller one: only one of them is meant.
-        self.rivals = [
-            [u for u, (other, theirs, _) in enumerate(self.templates) if other != label and len(set(order) & set(theirs)) >= threshold * min(len(order), len(theirs))]
-            for label, order, _ in self.templates
-        ]
-        self.phrases = [([number[w] for w in p.split()], label) for p, label in phrases.items()]
+        both = self.holds.astype(np.float32) @ self.holds.astype(np.float32).T
+        sizes = np.diag(both)
+        alike = both >= threshold * np.minimum.outer(sizes, sizes)
+        self.rivals = [{u for u in np.flatnonzero(row).tolist() if self.templates[u][0] != label} for row, (label, _, _) in zip(alike, self.templates)]
+        self.phrases = [([number[w] for w in words_of(p)], label) for p, label in phrases.items() if words_of(p)]
         self.starts_block = np.zeros(len(self.vocabulary), bool)
         self.starts_block[list(self.prefixes)] = True
+        #: The templates of each prefix word, one after the other, and where those of a word begin.
+        self.posted = np.array([t for w in range(len(self.vocabulary)) for t, _ in self.prefixes.get(w, ())], np.int64)
+        self.posted_at = np.concatenate([[0], np.cumsum([len(self.prefixes.get(w, ())) for w in range(len(self.vocabulary))])]).astype(np.int64)
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each word in the vocabulary, -1 outside it."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         return np.where(self.keys[at] == hashes, self.ids[at], -1)
 
@@ -128,7 +180,27 @@ class TemplateIndex:
             own = by.get(u, [])
             return own[bisect.bisect_left(own, (m[0] - reach + 1,)) : bisect.bisect_left(own, (m[0] + reach,))]
 
-        return [m for m in met if not any(rank(o) > rank(m) for u in self.rivals[m[1]] for o in near(m, u))]
+        return [m for m in met if not any(rank(o) > rank(m) for u in self.rivals[m[1]] & by.keys() for o in near(m, u))]
+
+    def stretches(self, at: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(template, which of the words): for each template with a prefix word, its words that lie within a window's length of one.
+
+        at: places of words of the vocabulary, ascending; words: which they are.
+        """
+        core = np.flatnonzero(self.starts_block[words])
+        each = self.posted_at[words[core] + 1] - self.posted_at[words[core]]
+        template = self.posted[_ranges(self.posted_at[words[core]], each)]
+        hit = np.repeat(core, each)
+        by = np.argsort(template, kind="stable")
+        template, hit = template[by], hit[by]
+        cuts = np.flatnonzero(np.diff(template, prepend=-1, append=-1)) if len(template) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            t, places = int(template[a]), at[hit[a:b]]
+            lo, hi = np.searchsorted(at, places - self.widths[t] + 1), np.searchsorted(at, places + self.widths[t])
+            first = np.append(True, lo[1:] > hi[:-1])
+            lo, hi = lo[first], hi[np.append(first[1:], True)]
+            near = _ranges(lo, hi - lo)
+            yield t, near[self.holds[t, words[near]]]
 
     def wrapped(self, t: int, at: np.ndarray, words: np.ndarray, ends: np.ndarray) -> list[tuple[int, float]]:
         """(first word, containment) of the windows that meet template t, fullest of those that overlap.
@@ -165,6 +237,12 @@ class TemplateIndex:
         return out
 
 
+def _ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each length, one after the other."""
+    ends = np.cumsum(length)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + length, length)
+
+
 def _located(index: TemplateIndex, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     raw, offs = string_buffers(column)
     hashes, where, bounds = word_hashes(raw, offs, ALPHANUMERIC, LOWER)
@@ -186,9 +264,15 @@ def word_frequencies(docs: DataFrame, text_col: str, index: TemplateIndex) -> di
     return {vocabulary[r["w"]]: r["n"] for r in rows.collect()}
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_words, places (start word of each phrase), place_labels, blocks (first word of the line or window, template label, containment)."""
-    index = TemplateIndex(word_frequencies(docs, text_col, TemplateIndex()), threshold=threshold)
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates: dict[str, list[str]] = TEMPLATES, tags: dict[str, list[str]] = TAGS, phrases: dict[str, str] = PHRASES) -> DataFrame:
+    """doc_id, n_words, places (start word of each phrase), place_labels, blocks (first word of the line or window, template label, containment).
+
+    templates: texts of notices by label, of which the threshold's share of words must be there; tags: short ones by
+    label, of which all must be; phrases: labels by phrase, whose words must follow each other.  Texts without words
+    stand for nothing.
+    """
+    counts = word_frequencies(docs, text_col, TemplateIndex(None, templates, phrases, threshold, tags))
+    index = TemplateIndex(counts, templates, phrases, threshold, tags)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,10 +307,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             words = numbers[known]
             text = np.searchsorted(bounds, known, "right") - 1
             line = np.searchsorted(newlines, where[known]) + text  # counts on from text to text
-            for t, (_, order, _) in enumerate(index.templates):
-                mine = np.isin(words, order)
+            for t, mine in index.stretches(known, words):
                 if t in lines:
-                    mine &= ~np.isin(line, lines[t])
+                    mine = mine[~np.isin(line[mine], lines[t])]
                 for at, c in index.wrapped(t, known[mine], words[mine], bounds[text[mine] + 1]):
                     i = int(np.searchsorted(bounds, at, "right")) - 1
                     met[i].append((at - int(bounds[i]), t, c))

@@ -8,10 +8,12 @@ import itertools
 import os
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -492,6 +494,66 @@ def test_licenses_told_apart(spark):
     assert got == {0: [], 1: ["mit"], 2: ["cc-by-nc"], 3: ["cc-by"], 4: ["cc-by-nc", "cc-by"]}
 
 
+def test_licenses_by_tags_and_clauses(spark):
+    rest = license_join.TEMPLATES["bsd"]
+    texts = ["// SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: EUPL-1.2", "Mozilla Public License Version 2.0", "GNU General Public License Version 2.0", "SPDX-License-Identifier: CC-BY-NC-4.0"]
+    texts += ["* " + "\n* ".join(textwrap.wrap(clause, 50)) for clause in rest[1:]] + ["SPDX License", "x SPDX-License-Identifier: BSD-3-Clause\ny SPDX-License-Identifier: Apache-2.0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [sorted({b.label for b in r.blocks}) for r in license_join.scan_licenses(df).orderBy("doc_id").collect()]
+    assert got == [["mit"], [], ["mpl"], [], ["cc-by-nc"]] + 4 * [["bsd"]] + [[], ["apache", "bsd"]]
+    own = license_join.scan_licenses(df, templates={"own": ["you may read this text on sundays and holidays only", ""]}, tags={}, phrases={"Mozilla Public": "m"})
+    assert [(r.places, r.blocks) for r in own.where("doc_id = 2").collect()] == [([0], [])]
+    here = spark.createDataFrame([(1, "you may read\nthis text on sundays\nand holidays only")], "doc_id long, text string")
+    assert [b.label for b in license_join.scan_licenses(here, templates={"own": ["you may read this text on sundays and holidays only"]}, tags={}, phrases={}).first().blocks] == ["own"]
+    assert license_join.scan_licenses(df, templates={}, tags={}, phrases={}).where("size(blocks) > 0 or size(places) > 0").count() == 0
+
+
+def test_stretches_of_licenses():
+    rng = random.Random(9)
+    index = license_join.TemplateIndex(tags=license_join.TAGS)
+    for _ in range(60):
+        chosen = [rng.choice(index.templates)[1] for _ in range(3)]
+        words = [rng.choice(rng.choice(chosen) + [-1] * 8) for _ in range(rng.randint(0, 400))]
+        if rng.random() < 0.7:
+            words[50:50] = rng.choice(chosen)
+        at = np.array([i for i, w in enumerate(words) if w >= 0], np.int64)
+        own = np.array([words[i] for i in at], np.int64)
+        ends = np.where(at < 100, 100, len(words))  # two texts
+        near = {t: index.wrapped(t, at[m], own[m], ends[m]) for t, m in index.stretches(at, own)}
+        for t, (_, order, _) in enumerate(index.templates):
+            m = np.isin(own, order)
+            assert near.get(t, []) == index.wrapped(t, at[m], own[m], ends[m])
+
+
+def test_templates_without_a_hit_cost_nothing():
+    rng = random.Random(3)
+    many = {f"l{i}": [" ".join(f"u{rng.randrange(20_000)}" for _ in range(60))] for i in range(500)}
+    few = {k: many[k] for k in list(many)[:10]}
+    words = " ".join(f"w{rng.randrange(5000)}" for _ in range(20_000)) + " " + few["l3"][0] + " end"
+    looked = []
+    for templates in (few, many):
+        index = license_join.TemplateIndex(None, templates)
+        numbers = license_join._located(index, pa.array([words]))[0]
+        known = np.flatnonzero(numbers >= 0)
+        found = [(t, len(m)) for t, m in index.stretches(known, numbers[known])]
+        assert (3, 60) in found or (3, len(set(few["l3"][0].split()))) in found
+        looked.append(sum(n for _, n in found))
+    assert looked[1] <= 2 * looked[0]
+
+
+def test_base_columns_of_licenses(spark):
+    sql = """
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM '/root/testdata/sf0.01/documents.parquet'),
+        p AS (SELECT doc_id, i - 1 AS place, CASE WHEN words[i] = 'mit' THEN 'mit' WHEN words[i] = 'apache' THEN 'apache' ELSE 'gpl' END AS label
+              FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w)
+              WHERE (words[i] IN ('mit', 'apache') AND words[i + 1] = 'license') OR (words[i] = 'general' AND words[i + 1] = 'public' AND words[i + 2] = 'license'))
+        SELECT w.doc_id, len(words), count(place), min(place), max(place), coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '')
+        FROM w LEFT JOIN p USING (doc_id) GROUP BY ALL"""
+    want = collections.Counter(duckdb.sql(sql).fetchall())
+    got = queries.op8_license_join(spark, "/root/testdata/sf0.01").select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert collections.Counter(tuple(r) for r in got.collect()) == want and sum(n for *_, n, _, _, _ in want) > 0
+
+
 def test_windows_of_licenses():
     index = license_join.TemplateIndex()
     rng = random.Random(5)
