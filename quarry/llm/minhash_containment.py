@@ -9,8 +9,9 @@ least the threshold's share of an item misses fewer than m of its shingles and
 so holds one of the m smallest.  A document is a candidate where one of its
 shingles is in a sketch; candidates are verified by exact containment.
 
-The items are the queries: they are taken in blocks of at most ``BLOCK`` items
-(what is broadcast), each block against all documents, however many there are.
+The items are the queries: they are taken in blocks of at most ``BLOCK`` items and
+``BLOCK_BYTES`` of text, but one item at least (what is broadcast), each block
+against all documents, however many there are.
 
 Shingles are of five words (0-9, a-z after folding A-Z, and characters beyond
 ASCII); an item of fewer words is one shingle, and is found in documents of
@@ -34,6 +35,7 @@ from .kernel import ALPHANUMERIC, LOWER, lean, shingle_hashes, string_buffers, w
 WORDS = 5
 THRESHOLD = 0.8
 BLOCK = 20_000
+BLOCK_BYTES = 16 << 20
 #: Largest size of each partition: the next is half as large again.
 GROWTH = 1.5
 _FILTER_BITS = 22
@@ -98,16 +100,19 @@ class ItemSketches:
         return out
 
 
-def item_blocks(items: DataFrame, item_id: str, item_text: str, block: int = BLOCK) -> Iterator[tuple[list, list]]:
-    """The items in blocks of bounded size, one after the other on the driver."""
+def item_blocks(items: DataFrame, item_id: str, item_text: str, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list, list]]:
+    """The items in blocks of bounded rows and bytes, one after the other on the driver; an item beyond the bytes is a block of its own."""
     ids: list = []
     texts: list = []
-    for row in items.select(F.col(item_id), F.col(item_text)).toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1])
-        if len(ids) == block:
+    size = 0
+    for item, text in items.select(F.col(item_id), F.col(item_text)).toLocalIterator():
+        own = len(text.encode()) if text else 0
+        if ids and (len(ids) == block or size + own > block_bytes):
             yield ids, texts
-            ids, texts = [], []
+            ids, texts, size = [], [], 0
+        ids.append(item)
+        texts.append(text)
+        size += own
     if ids:
         yield ids, texts
 

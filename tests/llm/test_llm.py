@@ -377,6 +377,15 @@ def test_ngram_components(spark, odd, options):
     assert got == plain_components(rows + ODD)
 
 
+def test_item_blocks_are_bounded_by_rows_and_bytes(spark):
+    texts = ["a" * 10, None, "\u00e9" * 10, "b" * 100, "", "c" * 15, "d" * 15, "e", "f", "g", "h"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").coalesce(1)
+    blocks = list(minhash_containment.item_blocks(items, "item_id", "text", block=4, block_bytes=30))
+    assert [ids for ids, _ in blocks] == [[0, 1, 2], [3], [4, 5, 6], [7, 8, 9, 10]]
+    assert [t for _, own in blocks for t in own] == texts and all(len(own) <= 4 and (len(own) == 1 or sum(len((t or "").encode()) for t in own) <= 30) for _, own in blocks)
+    assert list(minhash_containment.item_blocks(items.where("false"), "item_id", "text")) == []
+
+
 def test_leaks_of_nameless_documents(spark):
     items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog tonight")], "item_id long, text string")
     docs = spark.createDataFrame([(None, "so the quick brown fox jumps over the lazy dog tonight again"), (None, "clean"), (2, None), (3, "clean"), (3, "clean")], "doc_id long, text string").withColumn("item_id", F.lit("clash"))
