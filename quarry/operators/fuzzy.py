@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.sources.tables import written
+
 #: Names that set the threshold, for each one wanted.
 SEEDS = 4
 #: Weights of the comparisons (fixed values): by words, by parts, by parts of much longer names; lengths from which parts count.
@@ -140,7 +142,9 @@ def candidates(index: DataFrame, query: str, k: int) -> tuple[DataFrame, float]:
     seeds = compared(held.orderBy(F.desc("bound"), "name").limit(SEEDS * k), query)
     best = seeds.orderBy(F.desc("score")).limit(k).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).first()
     least = best["least"] if best["n"] == k else 0.0
-    return compared(held.where(F.col("bound") >= least).select("name"), query).where(F.col("score") >= least), least
+    # both are tables, else the comparison sinks below the sums of grams, and a join by name infers it for every row of the entities
+    near = written(compared(written(held.where(F.col("bound") >= least).select("name"), "names"), query), "near")
+    return near.where(F.col("score") >= least), least
 
 
 def fuzzy_top(entities: DataFrame, query: str, k: int, index: DataFrame | None = None) -> DataFrame:

@@ -112,6 +112,14 @@ def test_fuzzy_top_is_exact(spark):
         assert [r.id for r in retrieval.matched_entities(df, query).collect()] == [i for _, i in sorted((-m, i) for i, _, m in rows if i in want)[:20]]
 
 
+def test_names_are_compared_once(spark):
+    """The comparison may not sink below the distinct names, nor run for the entities that a join brings."""
+    df = spark.range(400).selectExpr("concat('e', id) AS id", "concat('name ', id % 4) AS name")
+    top = fuzzy.fuzzy_top(df, "name 3", 5)
+    assert "EvalPython" not in top._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.id for r in top.collect()] == ["e103", "e107", "e11", "e111", "e115"]
+
+
 def test_readable_fuzzy_search(spark):
     df = spark.createDataFrame([(f"e{i}", f"Europe {i}", 1) for i in range(9)], "id string, name string, mentions long")
     sources = spark.createDataFrame([(f"e{i}", "/Public/a" if i > 4 else "/Private/b") for i in range(8)], "id string, source_path string")
