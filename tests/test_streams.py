@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,47 @@ def test_called_answers(spark):
     assert rows == {1: (None, ["one"]), 2: ("ValueError: no", None), 3: ("no JSON", None), 4: (None, [""])}
     big = spark.createDataFrame([("x" * 16384, "/사업방법서1.md"), ("x" * 16384, "/a.md"), (None, "/a.md")], "text string, path string")
     assert [r.b for r in big.select(graph_build.budget(F.col("text"), F.col("path"), 2).alias("b")).collect()] == [7200, 2400, 1200]
+
+
+class _Counted:
+    """A value, a list and the timers of a switch, counting what is written."""
+
+    def __init__(self):
+        self.held, self.timers, self.writes = None, set(), 0
+
+    def getValueState(self, *_):  # noqa: N802
+        return _Counted()
+
+    getListState = getValueState  # noqa: N815
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return [] if self.held is None else self.held
+
+    def update(self, value):
+        self.held, self.writes = value, self.writes + 1
+
+    put = update
+
+    def clear(self):
+        self.held = None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+
+def test_switch_writes_its_state_once_a_batch():
+    one, handle = switch.Switch(3), _Counted()
+    one.init(handle)
+    rows = lambda first: pd.DataFrame({"at_ms": [first + i * 1000 for i in range(50)], "ord": range(50), "activate": [i % 2 == 0 or i > 40 for i in range(50)], "reason": "r", "seconds": [9.0 if i % 3 else None for i in range(50)]})
+    (out,) = one.handleInputRows(("s",), iter([rows(0)]), None)
+    assert one.history.writes == 1 and one.count.writes == 1 and one.state.writes == 1
+    assert out["nth"].tolist() == list(range(1, 51)) and out["n_kept"].tolist() == [1, 2, *[3] * 48]
+    assert handle.timers == {49_000 + 9_000} and one.state.get() == (58_000, "r")
+    (out,) = one.handleInputRows(("s",), iter([rows(100_000)]), None)
+    assert out["event"].tolist()[:2] == ["timed out", "activated"] and out["nth"].tolist()[0] == 51 and handle.timers == {158_000}
