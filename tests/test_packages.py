@@ -97,3 +97,19 @@ def test_page_and_broken_packages(spark):
     assert rows["ok", "page"].width == 10 and rows["ok", "page"].height == 84200 and rows["ok", "page"].margins["left"] == 1 and rows["ok", "page"].margins["top"] == 2835
     assert rows["cut", None].error == "BadZipFile" and rows["xml", None].error == "ParseError" and rows["ok", "paragraph"].error is None
     assert hwpx.equations(df).count() == 0 and hwpx.styled_elements(files.where("false")).count() == 0
+
+
+def test_files_leave_python_together():
+    """Rows of many small files make few batches."""
+    import pyarrow as pa
+
+    class Files:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return list(run(iter([pa.RecordBatch.from_pylist([{"path": str(i), "content": b"none"} for i in range(300)])])))
+
+    for read in (hwpx.styled_elements, compound.embedded_images):
+        made = read(Files())
+        assert len(made) == 1 and made[0].num_rows == 300 and made[0].column("error").null_count == 0
