@@ -171,3 +171,11 @@ def test_personal_data_in_digits_of_any_script(spark):
     assert [r.m for r in df.select(sec.mask_partial(F.col("text")).alias("m")).collect()][0] == "tel *********５６７８ end"
     assert [len(r.f) for r in df.select(sec.pii_findings(F.col("text")).alias("f")).collect()] == [1, 1, 0]
     assert [r.n for r in df.select(sec.pii_counts(F.col("text"))["phone"].alias("n")).collect()] == [1, 0, 0]
+
+
+def test_texts_without_tables_stay_in_the_jvm(spark):
+    df = spark.createDataFrame([("a <table><tr><td>x</td></tr></table>",), ("b",)], "t string").select(chunks.tables_from_html(F.col("t")).alias("t"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    call = next(x for x in plan.split("\n") if "ArrowEvalPython" in x)
+    assert "CASE WHEN" in call or "CASE WHEN" in plan[plan.index(call) + len(call):]
+    assert [r.t for r in df.collect()] == ["a \n| x |\n| --- |\n", "b"]
