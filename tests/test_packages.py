@@ -99,7 +99,7 @@ def test_page_and_broken_packages(spark):
     assert hwpx.equations(df).count() == 0 and hwpx.styled_elements(files.where("false")).count() == 0
 
 
-def test_files_leave_python_together():
+def test_files_leave_python_together(spark):
     """Rows of many small files make few batches."""
     import pyarrow as pa
 
