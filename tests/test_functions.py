@@ -179,3 +179,16 @@ def test_texts_without_tables_stay_in_the_jvm(spark):
     call = next(x for x in plan.split("\n") if "ArrowEvalPython" in x)
     assert "CASE WHEN" in call or "CASE WHEN" in plan[plan.index(call) + len(call):]
     assert [r.t for r in df.collect()] == ["a \n| x |\n| --- |\n", "b"]
+
+
+def test_events_of_one_ord_come_in_file_order(spark, tmp_path):
+    """The larger file is read first, the first file's row still counts."""
+    from quarry import queries
+
+    row = "CAST(1 AS BIGINT) AS l_orderkey, CAST({part} AS BIGINT) AS l_partkey, CAST(1 AS BIGINT) AS l_suppkey, 1 AS l_linenumber, '{flag}' AS l_returnflag, 'O' AS l_linestatus, TIMESTAMP_NTZ'{day} 00:00:00' AS l_shipdate"
+    at = f"{tmp_path}/lineitem.parquet"
+    spark.range(1).selectExpr(*row.format(part="7", flag="B", day="2024-02-02").split(", ")).coalesce(1).write.parquet(f"{at}/k=1")
+    spark.range(5000).selectExpr(*row.format(part="7 + id", flag="A", day="2024-01-01").split(", ")).coalesce(1).write.parquet(f"{at}/k=2")
+    found = queries.queries()["entity_upsert"](spark, str(tmp_path)).where("id = 'part:7'").first()
+    assert found.name == "Part 7 2024-02-02" and found.mentions == 2
+    assert queries.queries()["edge_upsert"](spark, str(tmp_path)).where("dst = 'part:7'").first().relation_type == "B"
