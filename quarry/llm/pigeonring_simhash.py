@@ -212,7 +212,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = settle(fingerprints(docs, id_col, text_col, k), "fingerprints")
     distinct = settle(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n_same")), "distinct")
     links = fingerprint_links(distinct.select("fp"), Ring(distance, segments), limit)
-    roots = connected_components(links)
+    roots = connected_components(links, of=[links])
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n_same", F.coalesce("root", "fp").alias("root"))
     named = settle(placed.join(placed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "n_same", "component_id"), "named")
     discard(distinct, links, roots)

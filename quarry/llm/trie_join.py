@@ -281,7 +281,7 @@ def _shared_cold(rows: DataFrame, buckets: int) -> DataFrame:
         return pa.table({"g": pa.array(g[shared].view(np.int64)), "sid": _names(ids[shared]), "n": pa.array(sizes[shared].astype(np.int64))})
 
     listed = rows.where("octet_length(cold) > 0").select("sid", "n", "cold")
-    return settle(listed.mapInArrow(lean(run), "bucket int, grams binary, ids binary, sizes binary").groupBy("bucket").applyInArrow(meet, "g long, sid binary, n long"), "shared")
+    return settle(listed.mapInArrow(lean(run), "bucket int, grams binary, ids binary, sizes binary").groupBy("bucket").applyInArrow(meet, "g long, sid binary, n long"), "shared", [rows])
 
 
 def _id_bitmap(ids: DataFrame) -> np.ndarray:
@@ -464,7 +464,7 @@ def candidates(rows: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """sid, n, family: the classes that may have partners; two that may link are in one family.  rows: as _signatures gives them; shared: as _shared_cold does."""
     warm = rows.where("size(hot) > 0").select("sid", "n", "hot").dropDuplicates(["sid"])
     tally = shared.select("sid", "n", F.lit(1).alias("c")).unionByName(warm.select("sid", "n", F.size("hot").alias("c"))).groupBy("sid").agg(F.min("n").alias("n"), F.sum("c").alias("c"))
-    hopeful = settle(tally.where(F.col("c") >= F.expr(f"1 + floor(floor(({percent} * n + 99) / 100) / {SPARE_EVERY})")).select("sid", "n"), "hopeful")
+    hopeful = settle(tally.where(F.col("c") >= F.expr(f"1 + floor(floor(({percent} * n + 99) / 100) / {SPARE_EVERY})")).select("sid", "n"), "hopeful", [rows, shared])
     cold = shared.join(hopeful.select("sid"), "sid", "left_semi")
     x, y = (cold.select("g", F.col("sid").alias(s), F.col("n").alias(f"{s}_n")) for s in ("x", "y"))
     least, most = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
@@ -472,8 +472,8 @@ def candidates(rows: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     ties = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.min(least).alias("n")).where(F.col("c") >= F.expr(f"1 + floor(n / {SPARE_EVERY})")).select(F.col("x").alias("a"), F.col("y").alias("b"))
     held = warm.join(hopeful.select("sid"), "sid", "left_semi").select("sid", F.explode("hot").alias("g"))
     stars = held.join(held.groupBy("g").agg(F.min("sid").alias("b")), "g").select(F.col("sid").alias("a"), "b").distinct()
-    families = connected_components(ties.unionByName(stars))
-    found = settle(hopeful.join(families, hopeful["sid"] == families["node"]).select("sid", "n", F.col("root").alias("family")), "candidates")
+    families = connected_components(ties.unionByName(stars), of=[rows, shared])
+    found = settle(hopeful.join(families, hopeful["sid"] == families["node"]).select("sid", "n", F.col("root").alias("family")), "candidates", [hopeful, families])
     discard(hopeful, families)
     return found
 
@@ -497,7 +497,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = _shared_cold(rows, buckets)
     found = candidates(rows, shared, percent)
     discard(shared)
-    state = settle(in_cells(found, cell), "cells")
+    state = settle(in_cells(found, cell), "cells", [found])
     places = rows.where("sid is not null").join(state.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id"))
     sets = _full_sets(texts, k, places)
 
@@ -507,22 +507,22 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     cells = state.where("band is not null").select("family", "band", "cell").distinct()
     guests = cells.join(pivots, "family").where(F.abs(F.col("band") - F.col("p_band")) <= reach).select("cell", "sid")
     dealt = state.select("cell", "sid").unionByName(guests).distinct().join(sets, "sid").withColumns({"known": F.col("sid"), "probing": F.lit(None).cast("boolean")})
-    links = settle(_joined_cells(dealt, ["cell"], percent), "met")
-    known = connected_components(links)
+    links = settle(_joined_cells(dealt, ["cell"], percent), "met", [state, sets])
+    known = connected_components(links, of=[links])
 
     # what the largest component of a large family does not hold yet, against the family
     large = state.where("band is not null").join(known.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "n", "family", "band", "cell", F.coalesce("root", "sid").alias("known"))
-    large = settle(with_stragglers(large, cell), "large")
+    large = settle(with_stragglers(large, cell), "large", [state, known])
     pairs = cell_pairs(large, reach, percent)
     alone = F.col("x") == F.col("y")
     sides = pairs.select("x", "y", F.explode(F.when(alone, F.array(F.lit(None).cast("boolean"))).otherwise(F.array(F.lit(True), F.lit(False)))).alias("probing"))
     sides = sides.withColumn("cell", F.when(F.col("probing"), F.col("x")).otherwise(F.col("y")))
     more = settle(_joined_cells(sides.join(large.select("sid", "cell", "known"), "cell").join(sets, "sid"), ["x", "y"], percent), "more")
-    final = connected_components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)) if more.take(1) else known
+    final = connected_components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), of=[known, more]) if more.take(1) else known
 
     smallest = rows.where("sid is not null").groupBy("sid").agg(F.min("id").alias("first"))
     placed = smallest.join(final.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
-    named = settle(placed.join(placed.groupBy("root").agg(F.min("first").alias("component")), "root").select("sid", "component"), "named")
+    named = settle(placed.join(placed.groupBy("root").agg(F.min("first").alias("component")), "root").select("sid", "component"), "named", [rows])
     discard(found, state, sets, links, large, more, known, final)
     return rows.select("id", "sid", "n").join(named, "sid", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.hex("sid").alias("class_id"))
 

@@ -96,6 +96,34 @@ def test_components(spark):
     assert got == {x: root(x) for p in links if p[0] != p[1] for x in p}
 
 
+def test_small_tables_have_few_files(spark, monkeypatch):
+    """Files follow the bytes, not the number of shuffle partitions: an executor forks for each file it writes."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        files = collections.defaultdict(list)
+
+        def counted(df, name, *of):
+            made = kernel.settle(df, name, *of)
+            files[name].append(len(made.inputFiles()))
+            return made
+
+        monkeypatch.setattr(components, "settle", counted)
+        found = components.connected_components(spark.createDataFrame([(k, k + 1) for k in range(0, 600, 2)], "a long, b long"))
+        assert {(r.node, r.root) for r in found.collect()} == {(k, k - k % 2) for k in range(600)}
+        assert files["hooks"] and max(files["hooks"]) <= 2 * spark.sparkContext.defaultParallelism
+        wide = kernel.settle(spark.range(1000).repartition(64), "wide")
+        many = kernel.settle(wide.repartition(64), "many", [wide])
+        assert many.count() == 1000 and len(many.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+        monkeypatch.setattr(kernel, "PART_BYTES", 1 + kernel.settled_bytes(wide) // 20)
+        assert len(kernel.settle(wide.repartition(64), "more", [wide]).inputFiles()) > 2 * spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # -- 1 chats
 
 
