@@ -46,8 +46,8 @@ def rolled_back(versions: DataFrame, path: str, commit: str, ts: int) -> DataFra
 
 
 def reprocessed(docs: DataFrame, cleaned: Column, text: str = "md") -> DataFrame:
-    """Only rows that the cleaning changes, with the new text."""
-    return docs.withColumn("_new", cleaned).where(F.trim("_new") != F.trim(text)).withColumn(text, F.col("_new")).drop("_new")
+    """Only rows that the cleaning changes, with the new text; cleaned once (as a column, the filter would be pushed below it and clean again)."""
+    return docs.select("*", F.explode(F.array(cleaned)).alias("_new")).where(F.trim("_new") != F.trim(text)).withColumn(text, F.col("_new")).drop("_new")
 
 
 def not_done(docs: DataFrame, done: DataFrame) -> DataFrame:

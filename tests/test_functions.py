@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import security as sec
 from quarry.functions import text as tx
-from quarry.operators import chunks
+from quarry.operators import chunks, documents
 
 
 def one(spark, column, *values, names=("x",)):
@@ -192,3 +192,22 @@ def test_events_of_one_ord_come_in_file_order(spark, tmp_path):
     found = queries.queries()["entity_upsert"](spark, str(tmp_path)).where("id = 'part:7'").first()
     assert found.name == "Part 7 2024-02-02" and found.mentions == 2
     assert queries.queries()["edge_upsert"](spark, str(tmp_path)).where("dst = 'part:7'").first().relation_type == "B"
+
+
+def test_first_heading_in_one_pass(spark):
+    """Lines end at line feeds only; no line looks at the others."""
+    texts = {
+        "a\n####### x\n#\n#  \n##  T \n# U": "a\n####### x\n#\n# \n##  T \n# U", "x # y\n###### T": "x # y\n# T", "#\tT\r\n## U": "# T\r\n## U", "# a\rb\n## c ": "# a\rb\n# c ",
+        "#x\n # y": "#x\n # y", "": "", "x\n" * 2000 + "## T\n## U": "x\n" * 2000 + "# T\n## U",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chunks.first_heading_up(F.col("t")).alias("h"))
+    assert {r.t: r.h for r in df.collect()} == texts
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_changed_texts_are_cleaned_once(spark):
+    rows = [(1, "# T\n<p>x</p>"), (2, "# T\n"), (3, None), (4, "## T <TABLE><tr><td>x</td></tr></TABLE>")]
+    df = documents.reprocessed(spark.createDataFrame(rows, "doc_id long, md string").repartition(2), chunks.post_processed(F.col("md")))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("(?U)^") == 1
+    assert sorted((r.doc_id, r.md) for r in df.collect()) == [(1, "# T\nx\n"), (4, "# T \n| x |\n| --- |\n")]
